@@ -103,6 +103,22 @@ def measure(docs: DataFrame, common_words: dict[str, str] | None = None) -> Data
     return docs.select(F.col("doc_id").cast("long"), F.col("lang").cast("string"), F.col("text").cast("string")).mapInArrow(work, _SCHEMA)
 
 
+def passing(docs: DataFrame) -> DataFrame:
+    """The documents that pass, with all their columns: the texts are measured for the references, and again for the verdicts, but never shuffled."""
+    lists = {k: [w.encode() for w in v.split()] for k, v in COMMON_WORDS.items()}
+    figures = pa.struct([(n, t) for n, t in _FIELDS[2:]])
+
+    @F.arrow_udf(_SCHEMA.split(", ", 2)[2])
+    def measured(texts: pa.Array, langs: pa.Array) -> pa.Array:
+        rows = [features(t.as_py() or "", g.as_py(), lists) for t, g in zip(texts, langs, strict=True)]
+        return pa.array([dict(zip((f.name for f in figures), r, strict=True)) for r in rows], figures)
+
+    whole = docs.select(F.struct(*docs.columns).alias("row"), F.col("lang").cast("string").alias("lang"), F.col("text").cast("string").alias("text"))
+    whole = whole.withColumn("m", measured.asNondeterministic()("text", "lang"))  # so that it runs once, not once per figure
+    judged = judge(whole.select("row", "lang", "m.*"), materialise(references(measure(docs)), "quality-references"))
+    return judged.filter("kept").select("row.*")
+
+
 def distance(counts: Column, reference: Column) -> Column:
     """Jensen-Shannon distance of two histograms of the same length; null if either is empty."""
     share = lambda xs: F.transform(xs, lambda x: x / F.aggregate(xs, F.lit(0).cast("long"), lambda a, b: a + b))
@@ -112,16 +128,22 @@ def distance(counts: Column, reference: Column) -> Column:
     return F.sqrt(F.greatest(both / 2, F.lit(0.0)))
 
 
-def judge(measured: DataFrame, max_char: float = MAX_CHAR_DISTANCE, max_word: float = MAX_WORD_DISTANCE, min_chars: int = MIN_CHARS_JUDGED, min_words: int = MIN_WORDS_JUDGED, min_reference: int = MIN_WORDS_REFERENCE) -> DataFrame:
-    """Adds distances and verdicts. The references have one row per language: sums of arrays, combined before the shuffle."""
+def references(measured: DataFrame) -> DataFrame:
+    """One row per language: words and both histograms, summed."""
     m = measured.withColumn("lang", F.coalesce("lang", F.lit("")))
+    longest = 1 + max(len(v.split()) for v in COMMON_WORDS.values())
     sums = m.groupBy("lang").agg(
-        F.sum("n_words").alias("r_words"),
-        F.array(*[F.sum(F.col("chars")[i]) for i in range(len(CHAR_CLASSES))]).alias("r_chars"),
-        F.array(*[F.sum(F.get("common", F.lit(i))) for i in range(1 + max(len(v.split()) for v in COMMON_WORDS.values()))]).alias("r_common"),
+        F.sum("n_words").alias("n_words"),
+        F.array(*[F.sum(F.col("chars")[i]) for i in range(len(CHAR_CLASSES))]).alias("chars"),
+        F.array(*[F.sum(F.get("common", F.lit(i))) for i in range(longest)]).alias("common"),
     )
-    sums = sums.withColumn("r_common", F.filter("r_common", lambda x: x.isNotNull()))
-    j = m.join(sums, "lang")
+    return sums.withColumn("common", F.filter("common", lambda x: x.isNotNull()))
+
+
+def judge(measured: DataFrame, reference: DataFrame, max_char: float = MAX_CHAR_DISTANCE, max_word: float = MAX_WORD_DISTANCE, min_chars: int = MIN_CHARS_JUDGED, min_words: int = MIN_WORDS_JUDGED, min_reference: int = MIN_WORDS_REFERENCE) -> DataFrame:
+    """Adds distances and verdicts."""
+    r = reference.select("lang", F.col("n_words").alias("r_words"), F.col("chars").alias("r_chars"), F.col("common").alias("r_common"))
+    j = measured.withColumn("lang", F.coalesce("lang", F.lit(""))).join(r, "lang")
     sized = F.col("r_words") >= min_reference
     letters = F.aggregate("chars", F.lit(0).cast("long"), lambda a, b: a + b)
     j = j.withColumn("char_distance", F.when(sized & (letters >= min_chars), distance(F.col("chars"), F.col("r_chars"))))
@@ -133,5 +155,6 @@ def judge(measured: DataFrame, max_char: float = MAX_CHAR_DISTANCE, max_word: fl
 
 def apply_rules(docs: DataFrame) -> DataFrame:
     """One row per document: doc_id, the base figures, base_failed, kept and both distances."""
-    judged = judge(materialise(measure(docs), "quality"))
+    measured = materialise(measure(docs), "quality")
+    judged = judge(measured, references(measured))
     return judged.select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept", "char_distance", "word_distance")
