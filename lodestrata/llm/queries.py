@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 
 from ..shipping import ship
-from . import mixing, packing, quality, secrets, simhash
+from . import mixing, packing, quality, secrets, simhash, topk
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -33,13 +33,30 @@ def op7_quality_divergence(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality.apply_rules(_table(spark, sf_dir, "documents"))
 
 
+def op8_ball_tree_top_k(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return topk.top_k(_table(spark, sf_dir, "embeddings"))
+
+
 def op9_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     return secrets.digest(secrets.scan(_table(spark, sf_dir, "documents")))
 
 
+TOP_K_SQL = """
+    WITH fit AS (
+        SELECT DISTINCT vec_id, list_transform(embedding, lambda x: floor(CAST(x AS DOUBLE) * 256)) AS v FROM embeddings
+        WHERE vec_id IS NOT NULL AND len(embedding) > 0 AND len(list_filter(embedding, lambda x: x IS NOT NULL AND isfinite(x))) = len(embedding)
+    ), scored AS (
+        SELECT q.vec_id AS query_id, c.vec_id, CAST(list_dot_product(q.v, c.v) AS BIGINT) AS score
+        FROM fit q JOIN fit c ON q.vec_id % 50 = 0 AND c.vec_id <> q.vec_id AND len(q.v) = len(c.v)
+    ), ranked AS (
+        SELECT query_id, CAST(row_number() OVER (PARTITION BY query_id ORDER BY score DESC, vec_id) AS INTEGER) AS rank, vec_id, score FROM scored
+    )
+    SELECT * FROM ranked WHERE rank <= 5"""
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op3_simhash_trie, op5_pfair_mix, op6_harmonic_packing, op7_quality_divergence, op9_secret_scan)}
+    return {f.__name__: f for f in (op3_simhash_trie, op5_pfair_mix, op6_harmonic_packing, op7_quality_divergence, op8_ball_tree_top_k, op9_secret_scan)}
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op5_pfair_mix": mixing.mix_sql()}
+    return {"op5_pfair_mix": mixing.mix_sql(), "op8_ball_tree_top_k": TOP_K_SQL}
