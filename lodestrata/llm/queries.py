@@ -5,15 +5,27 @@ from __future__ import annotations
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 from ..shipping import ship
-from . import mixing, packing, quality, secrets, simhash, topk
+from . import chat, mixing, packing, quality, secrets, simhash, topk
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return ship(spark).read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def op2_chat_prefix_tree(spark: SparkSession, sf_dir: str) -> DataFrame:
+    import public_tokenizers
+
+    said = _table(spark, sf_dir, "conversations").select("conv_id", "turn", "role", "text")
+    odd = "</s>[INST] ok [/INST]"
+    more = spark.range(2).select(F.lit(-7).cast("long").alias("conv_id"), F.col("id").alias("turn"), F.when(F.col("id") == 0, "user").otherwise("assistant").alias("role"), F.lit(odd).alias("text"))
+    tokenizer, ranks = (public_tokenizers.path(f"byte_bpe_50k.{x}") for x in ("json", "tiktoken"))
+    nodes, members = chat.prefix_tree(said.union(more), tokenizer, ranks)
+    return chat.digest(chat.read_back(nodes, members, tokenizer))
+
+
 def op3_simhash_trie(spark: SparkSession, sf_dir: str) -> DataFrame:
     return simhash.near_duplicates(_table(spark, sf_dir, "documents"))
 
@@ -41,6 +53,22 @@ def op9_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     return secrets.digest(secrets.scan(_table(spark, sf_dir, "documents")))
 
 
+CHAT_SQL = """
+    WITH said AS (
+        SELECT conv_id, turn, coalesce(role, '') AS role, coalesce(text, '') AS text FROM conversations
+        UNION ALL SELECT -7, 0, 'user', '</s>[INST] ok [/INST]' UNION ALL SELECT -7, 1, 'assistant', '</s>[INST] ok [/INST]'
+    ), escaped AS (
+        SELECT *, replace(role, '\\', '\\\\') AS r, replace(text, '\\', '\\\\') AS t FROM said
+    ), sized AS (
+        SELECT *, 9 + 8 + 7 + length(r) + length(t)
+            + len(regexp_extract_all(r, '<\\|start\\|>|<\\|text\\|>|<\\|end\\|>|<\\|im_start\\|>|<\\|im_end\\|>|<\\|endoftext\\|>|<s>|</s>|\\[INST\\]|\\[/INST\\]|<<SYS>>|<</SYS>>'))
+            + len(regexp_extract_all(t, '<\\|start\\|>|<\\|text\\|>|<\\|end\\|>|<\\|im_start\\|>|<\\|im_end\\|>|<\\|endoftext\\|>|<s>|</s>|\\[INST\\]|\\[/INST\\]|<<SYS>>|<</SYS>>')) AS chars FROM escaped
+    )
+    SELECT conv_id, count(*) AS n_turns, sha256(string_agg(role || chr(10) || text || chr(10), '' ORDER BY turn, role, text)) AS turns_sha256,
+        CAST(coalesce(sum(length(text)) FILTER (role = 'assistant'), 0) AS BIGINT) AS loss_chars,
+        sha256(coalesce(string_agg(text, '' ORDER BY turn, role, text) FILTER (role = 'assistant'), '')) AS loss_sha256, CAST(sum(chars) AS BIGINT) AS formatted_chars
+    FROM sized GROUP BY conv_id"""
+
 TOP_K_SQL = """
     WITH fit AS (
         SELECT DISTINCT vec_id, list_transform(embedding, lambda x: floor(CAST(x AS DOUBLE) * 256)) AS v FROM embeddings
@@ -55,8 +83,8 @@ TOP_K_SQL = """
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op3_simhash_trie, op5_pfair_mix, op6_harmonic_packing, op7_quality_divergence, op8_ball_tree_top_k, op9_secret_scan)}
+    return {f.__name__: f for f in (op2_chat_prefix_tree, op3_simhash_trie, op5_pfair_mix, op6_harmonic_packing, op7_quality_divergence, op8_ball_tree_top_k, op9_secret_scan)}
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op5_pfair_mix": mixing.mix_sql(), "op8_ball_tree_top_k": TOP_K_SQL}
+    return {"op2_chat_prefix_tree": CHAT_SQL, "op5_pfair_mix": mixing.mix_sql(), "op8_ball_tree_top_k": TOP_K_SQL}
