@@ -8,13 +8,17 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..shipping import ship
-from . import chat, mixing, packing, quality, secrets, simhash, topk
+from . import chat, mixing, packing, pii, quality, secrets, simhash, topk
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return ship(spark).read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def op1_pii_weak_supervision(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return pii.digest(pii.tag(_table(spark, sf_dir, "documents")))
+
+
 def op2_chat_prefix_tree(spark: SparkSession, sf_dir: str) -> DataFrame:
     import public_tokenizers
 
@@ -83,7 +87,7 @@ TOP_K_SQL = """
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op2_chat_prefix_tree, op3_simhash_trie, op5_pfair_mix, op6_harmonic_packing, op7_quality_divergence, op8_ball_tree_top_k, op9_secret_scan)}
+    return {f.__name__: f for f in (op1_pii_weak_supervision, op2_chat_prefix_tree, op3_simhash_trie, op5_pfair_mix, op6_harmonic_packing, op7_quality_divergence, op8_ball_tree_top_k, op9_secret_scan)}
 
 
 def oracle_sql() -> dict[str, str]:
