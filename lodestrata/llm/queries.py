@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..shipping import ship
-from . import chat, mixing, packing, pii, quality, secrets, simhash, topk
+from . import chat, mixing, packing, pii, quality, secrets, simhash, suffixes, topk
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -34,6 +34,10 @@ def op3_simhash_trie(spark: SparkSession, sf_dir: str) -> DataFrame:
     return simhash.near_duplicates(_table(spark, sf_dir, "documents"))
 
 
+def op4_suffix_repeats(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return suffixes.digest(suffixes.dedup(_table(spark, sf_dir, "documents")))
+
+
 def op5_pfair_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixing.mix(_table(spark, sf_dir, "documents"))
 
@@ -87,7 +91,7 @@ TOP_K_SQL = """
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_pii_weak_supervision, op2_chat_prefix_tree, op3_simhash_trie, op5_pfair_mix, op6_harmonic_packing, op7_quality_divergence, op8_ball_tree_top_k, op9_secret_scan)}
+    return {f.__name__: f for f in (op1_pii_weak_supervision, op2_chat_prefix_tree, op3_simhash_trie, op4_suffix_repeats, op5_pfair_mix, op6_harmonic_packing, op7_quality_divergence, op8_ball_tree_top_k, op9_secret_scan)}
 
 
 def oracle_sql() -> dict[str, str]:
