@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..shipping import ship
-from . import chat, mixing, packing, pii, quality, secrets, simhash, suffixes, topk
+from . import chat, mixing, packing, paragraphs, pii, quality, secrets, simhash, suffixes, topk
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -90,8 +90,12 @@ TOP_K_SQL = """
     SELECT * FROM ranked WHERE rank <= 5"""
 
 
+def op10_paragraph_minhash(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return paragraphs.digest(paragraphs.repeated(_table(spark, sf_dir, "documents")))
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_pii_weak_supervision, op2_chat_prefix_tree, op3_simhash_trie, op4_suffix_repeats, op5_pfair_mix, op6_harmonic_packing, op7_quality_divergence, op8_ball_tree_top_k, op9_secret_scan)}
+    return {f.__name__: f for f in (op1_pii_weak_supervision, op2_chat_prefix_tree, op3_simhash_trie, op4_suffix_repeats, op5_pfair_mix, op6_harmonic_packing, op7_quality_divergence, op8_ball_tree_top_k, op9_secret_scan, op10_paragraph_minhash)}
 
 
 def oracle_sql() -> dict[str, str]:

@@ -30,62 +30,13 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .common import materialise, release
+from .rolling import Hasher, grouped, identity, least_leftmost, mix
 
 LENGTH, GROUP_BYTES, BUFFER_BYTES, STEP = 400, 1 << 20, 2 << 20, 16
-_CHUNK = 4 << 20
-
-
-def _mix(x: np.ndarray) -> np.ndarray:
-    """A 64-bit finaliser."""
-    x = (x ^ (x >> np.uint64(33))) * np.uint64(0xFF51AFD7ED558CCD)
-    x = (x ^ (x >> np.uint64(33))) * np.uint64(0xC4CEB9FE1A85EC53)
-    return x ^ (x >> np.uint64(33))
-
-
-class Hasher:
-    """Hashes of any substring of a buffer from prefix sums: sum of T[byte] * B**i over the substring, times B**-start, modulo 2**64."""
-
-    def __init__(self, seed: int):
-        rng = np.random.default_rng(seed)
-        self.table = rng.integers(0, 1 << 63, 256, np.uint64) * np.uint64(2) + np.uint64(1)
-        self.base = int(rng.integers(1 << 20, 1 << 62)) * 8 + 5
-        self.inverse = pow(self.base, -1, 1 << 64)
-        self.up, self.down = np.ones(1, np.uint64), np.ones(1, np.uint64)
-
-    def _powers(self, base: int, n: int) -> np.ndarray:
-        out = np.ones(n, np.uint64)
-        done = 1
-        while done < n:
-            step = min(done, n - done)
-            out[done : done + step] = out[:step] * np.uint64(pow(base, done, 1 << 64))
-            done += step
-        return out
-
-    def sums(self, data: np.ndarray) -> np.ndarray:
-        n = len(data) + 1
-        if len(self.up) < n:
-            self.up, self.down = self._powers(self.base, n), self._powers(self.inverse, n)
-        out = np.zeros(n, np.uint64)
-        np.cumsum(self.table[data] * self.up[: n - 1], out=out[1:])
-        return out
-
-    def of(self, sums: np.ndarray, start: np.ndarray, end: np.ndarray) -> np.ndarray:
-        return _mix((sums[end] - sums[start]) * self.down[start])
-
-
-def least_leftmost(values: np.ndarray, width: int) -> np.ndarray:
-    """Position of the least value, leftmost of several, in each window of ``width``: block prefix and suffix minima."""
-    n = len(values)
-    keys = (values & ~np.uint64((1 << 28) - 1)) | np.arange(n, dtype=np.uint64)  # buffers have less than 2**28 positions
-    pad = -n % width
-    blocks = np.concatenate((keys, np.full(pad, np.uint64((1 << 64) - 1)))).reshape(-1, width)
-    ahead = np.minimum.accumulate(blocks, axis=1).ravel()
-    back = np.minimum.accumulate(blocks[:, ::-1], axis=1)[:, ::-1].ravel()
-    return (np.minimum(back[: n - width + 1], ahead[width - 1 : n]) & np.uint64((1 << 28) - 1)).astype(np.int64)
 
 
 def segments(data: np.ndarray, bounds: np.ndarray, length: int, hashers: tuple[Hasher, Hasher]) -> dict[str, np.ndarray]:
@@ -109,7 +60,7 @@ def segments(data: np.ndarray, bounds: np.ndarray, length: int, hashers: tuple[H
     shape = ((p - first).astype(np.uint64) << np.uint64(32)) | (edge - first).astype(np.uint64)
     return {
         "doc": d, "first": first - bounds[d], "last": edge - bounds[d], "anchor": p - bounds[d],
-        "key": _mix(hashers[1].of(two, p, p + k)).view(np.int64), "h1": _mix(hashers[0].of(one, first, end) ^ _mix(shape)).view(np.int64), "h2": _mix(hashers[1].of(two, first, end) + shape).view(np.int64),
+        "key": mix(hashers[1].of(two, p, p + k)).view(np.int64), "h1": mix(hashers[0].of(one, first, end) ^ mix(shape)).view(np.int64), "h2": mix(hashers[1].of(two, first, end) + shape).view(np.int64),
     }
 
 
@@ -204,27 +155,6 @@ def _hashers() -> tuple[Hasher, Hasher]:
     return Hasher(20240229), Hasher(20240331)
 
 
-def _identity(docs: DataFrame, *more: Column) -> DataFrame:
-    """doc_id, the hash that tells rows of one doc_id apart, and the text's bytes."""
-    raw = F.coalesce(F.col("text").cast("string"), F.lit("")).cast("binary")
-    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), raw.alias("raw")).select("doc_id", F.xxhash64("raw").alias("th"), "raw", *more)
-
-
-def _grouped(batch: pa.RecordBatch) -> Iterator[tuple[int, int, np.ndarray, np.ndarray]]:
-    """(first row, last + 1, their texts as one buffer, bounds) in runs of about _CHUNK bytes."""
-    column = batch.column(batch.schema.get_field_index("raw"))
-    at = 0
-    while at < len(column):
-        parts, size, stop = [], 0, at
-        while stop < len(column) and (not parts or size < _CHUNK):
-            parts.append(column[stop].as_buffer())
-            size += len(parts[-1])
-            stop += 1
-        data = np.frombuffer(b"".join(parts), np.uint8)
-        yield at, stop, data, np.cumsum([0, *map(len, parts)])
-        at = stop
-
-
 def _mark(docs: DataFrame, length: int) -> DataFrame:
     """One row per distinct segment of a document: hashes, distances and the (first, last) starts of its occurrences there."""
 
@@ -233,7 +163,7 @@ def _mark(docs: DataFrame, length: int) -> DataFrame:
         for batch in batches:
             ids, th = batch.column(0).to_numpy(zero_copy_only=False), batch.column(1).to_numpy()
             null = np.asarray(batch.column(0).is_null())
-            for at, stop, data, bounds in _grouped(batch):
+            for at, stop, data, bounds in grouped(batch):
                 s = segments(data, bounds, length, hashers)
                 if not len(s["doc"]):
                     continue
@@ -249,14 +179,14 @@ def _mark(docs: DataFrame, length: int) -> DataFrame:
                 ]
                 yield pa.RecordBatch.from_arrays(arrays, ["doc_id", "th", "key", "h1", "h2", "span", "dist", "firsts"])
 
-    return _identity(docs).mapInArrow(work, "doc_id long, th long, key long, h1 long, h2 long, span int, dist int, firsts array<int>")
+    return identity(docs).mapInArrow(work, "doc_id long, th long, key long, h1 long, h2 long, span int, dist int, firsts array<int>")
 
 
 def _fetch(wanted: DataFrame, docs: DataFrame, length: int) -> DataFrame:
     """Adds ``body``, the text from ``first`` to ``span`` + length bytes on. A document's wanted segments are gathered first, so that it is read once."""
     fields = [c for c in wanted.columns if c not in ("doc_id", "th")]
     gathered = wanted.groupBy("doc_id", "th").agg(F.collect_list(F.struct(*fields)).alias("ws"))
-    d = _identity(docs)
+    d = identity(docs)
     # rows repeated whole would give each body several times; one is enough
     rows = gathered.join(d, gathered["doc_id"].eqNullSafe(d["doc_id"]) & (gathered["th"] == d["th"])).select(F.explode("ws").alias("w"), "raw")
     return rows.select("w.*", F.substring("raw", F.col("w.first") + 1, F.col("w.span") + length).alias("body"))
@@ -331,11 +261,11 @@ def _pieces(bodies: DataFrame, length: int, step: int) -> DataFrame:
                 first, end = dist - high, dist - low + length
                 shared = dist - block * step
                 tail = shared + length - step + 1
-                mark = _mix(block.astype(np.uint64) ^ np.uint64(key & (1 << 64) - 1))
-                sub = _mix(hashers[1].of(two, shared, tail) ^ mark).view(np.int64)
-                shape = _mix(mark ^ (high - low).astype(np.uint64) ^ (high.astype(np.uint64) << np.uint64(32)))
+                mark = mix(block.astype(np.uint64) ^ np.uint64(key & (1 << 64) - 1))
+                sub = mix(hashers[1].of(two, shared, tail) ^ mark).view(np.int64)
+                shape = mix(mark ^ (high - low).astype(np.uint64) ^ (high.astype(np.uint64) << np.uint64(32)))
                 n = len(block)
-                rows.append([sub, _mix(hashers[0].of(one, first, end) ^ shape).view(np.int64), _mix(hashers[1].of(two, first, end) + shape).view(np.int64), np.full(n, key), np.full(n, h1), np.full(n, h2), first, end - first])
+                rows.append([sub, mix(hashers[0].of(one, first, end) ^ shape).view(np.int64), mix(hashers[1].of(two, first, end) + shape).view(np.int64), np.full(n, key), np.full(n, h1), np.full(n, h2), first, end - first])
             if rows:
                 yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(c).astype(np.int64)) for c in zip(*rows, strict=True)], names)
 
@@ -389,7 +319,7 @@ def dedup(docs: DataFrame, length: int = LENGTH) -> DataFrame:
     cover = marks.select("doc_id", "th", *parts, "firsts").join(found, parts).groupBy("doc_id", "th").agg(F.collect_list(F.struct("firsts", "spans")).alias("found"))
     cover = materialise(cover, "suffix-cover")
     release(docs.sparkSession)
-    d = _identity(docs)
+    d = identity(docs)
     rows = d.join(cover, d["doc_id"].eqNullSafe(cover["doc_id"]) & (d["th"] == cover["th"]), "left").select(d["doc_id"], "raw", "found")
     span = pa.struct([("start", pa.int64()), ("end", pa.int64())])
 
