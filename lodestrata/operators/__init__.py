@@ -1 +1 @@
-
+"""Relational and image operators over labelled measurements."""

@@ -1 +1 @@
-
+"""Sources and sinks: images, feedback documents, run artefacts."""
