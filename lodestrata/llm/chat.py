@@ -98,7 +98,8 @@ def prefix_tree(conversations: DataFrame, tokenizer_path: str, ranks_path: str |
     facts = placed.select("tree", "key", "offset").join(above, "key", "left")
     out = nodes.withColumn("key", F.element_at("path", -1)).join(facts, "key")
     parent = F.try_element_at("path", F.lit(-2))
-    return out.select("tree", "key", parent.alias("parent"), "depth", "role", "offset", "length", F.coalesce("position", F.lit(0)).alias("position"), F.coalesce("ancestors", F.array().cast("array<struct<start:long,end:long>>")).alias("ancestors"), "loss_start", "loss_end", "ids"), members
+    out = out.select("tree", "key", parent.alias("parent"), "depth", "role", "offset", "length", F.coalesce("position", F.lit(0)).alias("position"), F.coalesce("ancestors", F.array().cast("array<struct<start:long,end:long>>")).alias("ancestors"), "loss_start", "loss_end", "ids")
+    return materialise(out, "chat-tree"), members
 
 
 def read_back(nodes: DataFrame, members: DataFrame, tokenizer_path: str) -> DataFrame:
