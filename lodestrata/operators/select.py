@@ -12,8 +12,9 @@ MARGIN = 0.002
 
 
 def percentile_threshold(features: DataFrame, feature: str = "area", percentile: float = 99) -> DataFrame:
-    """One row: threshold, the exact percentile (0 to 100, linear between ranks) of the feature; null without rows."""
-    return features.agg(F.percentile(F.col(f"`{feature}`").cast("double"), F.lit(percentile / 100)).alias("threshold"))
+    """One row: threshold, the exact percentile (0 to 100, linear between ranks) of the feature; null without rows, NaN with any NaN."""
+    v = F.col(f"`{feature}`").cast("double")
+    return features.agg(F.when(F.bool_or(F.isnan(v)), F.lit(float("nan"))).otherwise(F.percentile(v, F.lit(percentile / 100))).alias("threshold"))
 
 
 def exact_percentile(features: DataFrame, feature: str, percentile: float) -> float | None:
