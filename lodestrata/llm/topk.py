@@ -14,7 +14,8 @@ in blocks, each block meets each shard once:
 Scores that tie with the threshold are kept, so results are exact. Vectors that are null, empty, or hold null
 or non-finite components, and rows without vec_id, take no part. Only vectors of one length are compared. A repeated row
 (same vec_id and vector) counts once; rows of the query's own vec_id are no candidates. Inner products are
-taken in doubles while every sum must stay under 2**53, else in Python integers; scores beyond 64 bits are an error.
+taken in doubles while every sum must stay under 2**53, else in Python integers; components and scores beyond 64 bits
+count as the largest there are.
 """
 
 from __future__ import annotations
@@ -31,6 +32,7 @@ from .common import materialise
 
 SCALE, K, EVERY = 256.0, 5, 50
 LEAF, SHARD_ROWS, BLOCK_QUERIES = 128, 8192, 512
+MOST = 2**63 - 1
 
 
 def quantised(vectors: DataFrame, scale: float = SCALE) -> DataFrame:
@@ -77,9 +79,7 @@ def _products(q: np.ndarray, v: np.ndarray) -> np.ndarray:
         return (q @ v.T).astype(np.int64)
     whole = np.vectorize(int, otypes=[object])
     exact = whole(q) @ whole(v).T
-    if any(abs(x) >= 2**63 for x in exact.flat):
-        raise ValueError("a score is beyond 64 bits")
-    return exact.astype(np.int64)
+    return np.maximum(np.minimum(exact, MOST), -MOST).astype(np.int64)
 
 
 class Best:
@@ -110,7 +110,9 @@ class Best:
 def search(tree: dict[str, np.ndarray], query_ids: np.ndarray, q: np.ndarray, floor: np.ndarray, k: int, seed_only: bool) -> pd.DataFrame:
     """The k best of one shard for each query of a block, but none that score under floor."""
     best, length = Best(query_ids, floor, k), np.sqrt((q**2).sum(axis=1))
-    limit = lambda node, rows: (q[rows] @ tree["centre"][node] + length[rows] * tree["radius"][node]) * (1 + 1e-9) + 1
+    size = np.sqrt((tree["centre"] ** 2).sum(axis=1)) + tree["radius"]
+    # with room for rounding
+    limit = lambda node, rows: q[rows] @ tree["centre"][node] + length[rows] * (tree["radius"][node] + 1e-9 * size[node]) + 1
     leaves = np.flatnonzero(tree["child"][:, 0] < 0)
     if seed_only:
         bounds = q @ tree["centre"][leaves].T + length[:, None] * tree["radius"][leaves]
