@@ -6,7 +6,8 @@ import gc
 import tempfile
 import uuid
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 #: ASCII blanks: the word separators of every operator here.
 BLANKS = " \t\n\r\x0b\x0c"
@@ -26,6 +27,11 @@ def shared_dir(spark: SparkSession) -> str:
     return current.rstrip("/")
 
 
+def whole_row(df: DataFrame) -> Column:
+    """All columns as one struct ``row``, out of the way of an operator's own names."""
+    return F.struct(*[F.col(f"`{c.replace('`', '``')}`") for c in df.columns]).alias("row")
+
+
 def table_path(spark: SparkSession, name: str) -> str:
     return f"{shared_dir(spark)}/lodestrata/{name}-{uuid.uuid4().hex}"
 

@@ -22,6 +22,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from .common import whole_row
+
 ALPHA, SLOTS, BLOCK_DOCS, BUCKET_DIGITS = 0.8, 1000, 8, 3
 
 
@@ -75,11 +77,9 @@ def plans(scheduled: DataFrame, block_docs: int) -> DataFrame:
     return each.withColumn("taken", F.floor(F.col("horizon") / F.col("period")) * F.col("q") + rest).select("key", "n", "q", "period", "slots", "blocks", "taken")
 
 
-def mix(docs: DataFrame, weights: dict[str, float] | None = None, *, alpha: float = ALPHA, slots: int = SLOTS, block_docs: int = BLOCK_DOCS, columns: list[str] | None = None) -> DataFrame:
-    """The given columns (default doc_id, source), then epoch, block, slot, place, release and deadline. Sorted by (slot, place), rows are the mix."""
-    columns = columns or ["doc_id", "source"]
+def _placed(docs: DataFrame, weights: dict[str, float] | None, alpha: float, slots: int, block_docs: int) -> DataFrame:
     hashed = F.md5(F.coalesce(F.col("doc_id").cast("string"), F.lit("")).cast("binary"))
-    rows = docs.select(F.struct(*columns).alias("row"), _key().alias("key"), hashed.alias("h"), F.col("doc_id").alias("id"))
+    rows = docs.select(whole_row(docs), _key().alias("key"), hashed.alias("h"), F.col("doc_id").alias("id"))
     rows = rows.withColumn("bucket", F.substring("h", 1, BUCKET_DIGITS))
     counts = docs.select(_key().alias("key"), F.substring(hashed, 1, BUCKET_DIGITS).alias("bucket")).groupBy("key", "bucket").count()
     before = counts.select("key", "bucket", (F.sum("count").over(Window.partitionBy("key").orderBy("bucket")) - F.col("count")).alias("before"))
@@ -91,7 +91,7 @@ def mix(docs: DataFrame, weights: dict[str, float] | None = None, *, alpha: floa
     placed = placed.withColumn("epoch", F.explode(F.sequence(F.lit(0).cast("long"), F.floor((F.col("taken") - 1 - F.col("first")) / F.col("blocks")))))
     placed = placed.withColumn("block", F.col("first") + F.col("epoch") * F.col("blocks"))
     return placed.select(
-        *[F.col("row")[c].alias(c) for c in columns], "epoch", "block",
+        "row", "epoch", "block",
         (F.floor(F.col("block") / F.col("q")) * F.col("period") + F.get("slots", (F.col("block") % F.col("q")).cast("int"))).alias("slot"),
         (F.col("at") % block_docs).alias("place"),
         F.floor(F.col("block") * F.col("period") / F.col("q")).alias("release"),
@@ -99,6 +99,17 @@ def mix(docs: DataFrame, weights: dict[str, float] | None = None, *, alpha: floa
     )
 
 
+def mix(docs: DataFrame, weights: dict[str, float] | None = None, *, alpha: float = ALPHA, slots: int = SLOTS, block_docs: int = BLOCK_DOCS) -> DataFrame:
+    """doc_id, source, epoch, block, slot, place, release and deadline. Sorted by (slot, place), rows are the mix."""
+    placed = _placed(docs.select("doc_id", "source"), weights, alpha, slots, block_docs)
+    return placed.select("row.doc_id", "row.source", "epoch", "block", "slot", "place", "release", "deadline")
+
+
+def mixed_rows(docs: DataFrame, weights: dict[str, float] | None = None, *, alpha: float = ALPHA, slots: int = SLOTS, block_docs: int = BLOCK_DOCS) -> DataFrame:
+    """The documents with all their columns, in the mix's order, repeated as it says."""
+    return _placed(docs, weights, alpha, slots, block_docs).orderBy("slot", "place").select("row.*")
+
+
 def mix_sql(alpha: float = ALPHA, slots: int = SLOTS, block_docs: int = BLOCK_DOCS) -> str:
     """The same mix with default weights, in DuckDB SQL over the table documents."""
     return f"""

@@ -22,7 +22,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import BLANKS, materialise
+from .common import BLANKS, materialise, whole_row
 
 # Frequent function words by language.
 COMMON_WORDS = {
@@ -113,7 +113,7 @@ def passing(docs: DataFrame) -> DataFrame:
         rows = [features(t.as_py() or "", g.as_py(), lists) for t, g in zip(texts, langs, strict=True)]
         return pa.array([dict(zip((f.name for f in figures), r, strict=True)) for r in rows], figures)
 
-    whole = docs.select(F.struct(*docs.columns).alias("row"), F.col("lang").cast("string").alias("lang"), F.col("text").cast("string").alias("text"))
+    whole = docs.select(whole_row(docs), F.col("lang").cast("string").alias("lang"), F.col("text").cast("string").alias("text"))
     whole = whole.withColumn("m", measured.asNondeterministic()("text", "lang"))  # so that it runs once, not once per figure
     judged = judge(whole.select("row", "lang", "m.*"), materialise(references(measure(docs)), "quality-references"))
     return judged.filter("kept").select("row.*")
@@ -157,4 +157,43 @@ def apply_rules(docs: DataFrame) -> DataFrame:
     """One row per document: doc_id, the base figures, base_failed, kept and both distances."""
     measured = materialise(measure(docs), "quality")
     judged = judge(measured, references(measured))
-    return judged.select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept", "char_distance", "word_distance")
+    return judged.select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept", F.round("char_distance", 6).alias("char_distance"), F.round("word_distance", 6).alias("word_distance"))
+
+
+def rules_sql() -> str:
+    """The same verdicts in DuckDB SQL over the table documents."""
+    quote = lambda x: "'" + x.replace("'", "''") + "'"
+    listed = ", ".join(f"({quote(g)}, {i}, {quote(w)})" for g, words in COMMON_WORDS.items() for i, w in enumerate(words.split()))
+    kinds = {"lower": "[^a-z]", "upper": "[^A-Z]", "digit": "[^0-9]", "space": r"[^\x20]", "line": r"[^\x09-\x0D]", "sentence": r"[^.,;:!?'\"()-]", "symbol": r"[a-zA-Z0-9\x20\x09-\x0D.,;:!?'\"()-]|[^\x00-\x7F]", "beyond_ascii": r"[\x00-\x7F]"}
+    chars = " UNION ALL ".join(f"SELECT rid, lang, {i} AS slot, length(regexp_replace(text, {quote(pattern)}, '', 'g')) AS n FROM docs" for i, pattern in enumerate(kinds[k] for k in CHAR_CLASSES))
+    distance = lambda name, counts: f"""{name} AS (
+        SELECT rid, sqrt(greatest(sum((CASE WHEN p > 0 THEN p * log2(2 * p / (p + q)) ELSE 0 END) + (CASE WHEN q > 0 THEN q * log2(2 * q / (p + q)) ELSE 0 END)) / 2, 0)) AS far, max(whole) AS whole
+        FROM (SELECT rid, CAST(sum(n) OVER (PARTITION BY rid) AS DOUBLE) AS whole, n / CAST(sum(n) OVER (PARTITION BY rid) AS DOUBLE) AS p, r / CAST(sum(r) OVER (PARTITION BY rid) AS DOUBLE) AS q
+              FROM {counts} JOIN (SELECT lang, slot, sum(n) AS r FROM {counts} GROUP BY lang, slot) USING (lang, slot)) GROUP BY rid)"""
+    return rf"""
+    WITH docs AS (SELECT row_number() OVER () AS rid, doc_id, coalesce(lang, '') AS lang, coalesce(text, '') AS text FROM documents),
+    listed(lang, slot, word) AS (VALUES {listed}),
+    words AS (SELECT rid, lang, text, regexp_extract_all(text, '[^\x20\x09-\x0D]+') AS w FROM docs),
+    placed AS (SELECT rid, i, w[i] || ' ' || w[i + 1] || ' ' || w[i + 2] AS key FROM (SELECT rid, w, unnest(generate_series(1, len(w) - 2)) AS i FROM words)),
+    again AS (SELECT rid, i FROM (SELECT *, count(*) OVER (PARTITION BY rid, key) AS c FROM placed) WHERE c > 1),
+    repeated AS (SELECT rid, count(DISTINCT i + d) AS n FROM again, (VALUES (0), (1), (2)) t(d) GROUP BY rid),
+    base AS (
+        SELECT rid, len(w) AS n_words, length(array_to_string(w, '')) AS word_chars, len(regexp_extract_all(text, '[#*$%&|<>]')) AS n_symbols,
+            len(list_filter(string_split(text, chr(10)), lambda x: regexp_matches(x, '[^\x20\x09-\x0D]'))) - len(list_distinct(list_filter(string_split(text, chr(10)), lambda x: regexp_matches(x, '[^\x20\x09-\x0D]')))) AS n_dup_lines
+        FROM words),
+    chars AS ({chars}),
+    said AS (SELECT rid, lang, unnest(regexp_extract_all(regexp_replace(translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[.,;:!?"''()]', '', 'g'), '[^\x20\x09-\x0D]+')) AS word FROM docs),
+    slotted AS (SELECT rid, lang, coalesce(slot, 99) AS slot, count(*) AS n FROM said LEFT JOIN listed USING (lang, word) WHERE lang IN (SELECT lang FROM listed) GROUP BY ALL),
+    common AS (SELECT rid, docs.lang, slot, coalesce(n, 0) AS n FROM docs JOIN (SELECT lang, slot FROM listed UNION ALL SELECT DISTINCT lang, 99 FROM listed) USING (lang) LEFT JOIN slotted USING (rid, slot) WHERE rid IN (SELECT rid FROM slotted)),
+    {distance("by_chars", "chars")},
+    {distance("by_words", "common")},
+    sized AS (SELECT lang, sum(n_words) >= {MIN_WORDS_REFERENCE} AS sized FROM base JOIN docs USING (rid) GROUP BY lang),
+    judged AS (
+        SELECT doc_id, n_words, word_chars, n_symbols, n_dup_lines, coalesce(repeated.n, 0) AS n_repeat_words,
+            CASE WHEN sized AND by_chars.whole >= {MIN_CHARS_JUDGED} THEN by_chars.far END AS char_distance,
+            CASE WHEN sized AND n_words >= {MIN_WORDS_JUDGED} THEN by_words.far END AS word_distance
+        FROM docs JOIN base USING (rid) JOIN sized USING (lang) LEFT JOIN repeated USING (rid) LEFT JOIN by_chars USING (rid) LEFT JOIN by_words USING (rid))
+    SELECT doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, n_words < {MIN_WORDS} OR 100 * n_repeat_words > {MAX_REPEAT_PERCENT} * n_words AS base_failed,
+        NOT (n_words < {MIN_WORDS} OR 100 * n_repeat_words > {MAX_REPEAT_PERCENT} * n_words) AND coalesce(char_distance, 0) <= {MAX_CHAR_DISTANCE} AND coalesce(word_distance, 0) <= {MAX_WORD_DISTANCE} AS kept,
+        round(char_distance, 6) AS char_distance, round(word_distance, 6) AS word_distance
+    FROM judged"""

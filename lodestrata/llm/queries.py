@@ -99,4 +99,4 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op2_chat_prefix_tree": CHAT_SQL, "op5_pfair_mix": mixing.mix_sql(), "op8_ball_tree_top_k": TOP_K_SQL}
+    return {"op2_chat_prefix_tree": CHAT_SQL, "op5_pfair_mix": mixing.mix_sql(), "op7_quality_divergence": quality.rules_sql(), "op8_ball_tree_top_k": TOP_K_SQL}

@@ -23,7 +23,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import materialise
+from .common import materialise, whole_row
 from .components import components
 
 SHINGLE, SEED, BUDGET, BITS = 3, 42, 2, 64
@@ -169,4 +169,4 @@ def one_of_each(docs: DataFrame, size: int = SHINGLE, budget: int = BUDGET) -> D
     lost = classes(materialise(fingerprints(named, size), "simhash"), budget).filter("doc_id <> component_id").select(F.col("doc_id").alias("_lost")).distinct()
     rest = named.join(lost, named["doc_id"].cast("long") == lost["_lost"], "left_anti")
     nth = F.row_number().over(Window.partitionBy("doc_id").orderBy(F.xxhash64("text")))
-    return rest.select(F.struct(*docs.columns).alias("row"), "doc_id", "text").withColumn("nth", nth).filter("nth = 1").select("row.*").union(docs.filter("doc_id IS NULL"))
+    return rest.select(whole_row(docs), "doc_id", "text").withColumn("nth", nth).filter("nth = 1").select("row.*").union(docs.filter("doc_id IS NULL"))

@@ -58,8 +58,11 @@ def test_repeated_rows_null_ids_and_no_rows(spark):
     assert mixing.mix(docs(spark, {})).count() == 0
 
 
-def test_columns_of_the_input_are_kept(spark):
-    assert mixing.mix(docs(spark, {"a": 3}), columns=["doc_id", "source"]).columns[:2] == ["doc_id", "source"]
+def test_rows_keep_their_columns_and_come_in_the_mixs_order(spark):
+    df = docs(spark, {"a": 40, "b": 9})
+    got = mixing.mixed_rows(df, slots=20, block_docs=2)
+    order = [r.doc_id for r in mixing.mix(df, slots=20, block_docs=2).orderBy("slot", "place").collect()]
+    assert got.columns == df.columns and [r.doc_id for r in got.collect()] == order
 
 
 def test_plan_is_native_and_its_broadcast_is_the_schedule(spark):

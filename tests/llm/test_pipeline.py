@@ -93,6 +93,19 @@ def _cut(n):
         at += size
 
 
+def test_stages_with_odd_rows_and_clashing_columns(spark):
+    schema = "doc_id long, text string, lang string, source string, n_chars long, row string, slot int, kept boolean, fp long, nth int, spans string, `a.b` int"
+    good = " ".join(f"word{i}" for i in range(160))
+    rows = [(1, good, "en", "s", 1), (1, good, "en", "s", 1), (2, good, "en", None, 1), (None, good + " x y z", None, "s", None), (3, None, None, None, None), (4, "", "en", "s", 0), (5, "password=abcdefgh " + good[::-1], "en", "t", 1), (6, "é" * 300000, "en", "s", 1)]
+    docs = spark.createDataFrame([(*r, "r", 1, True, 2, 3, "s", 4) for r in rows], schema)
+    for name, stage in corpus_pipeline.STAGES[:4]:
+        got = stage(spark, docs, SMALL)
+        assert got.columns == docs.columns, name
+        ids = Counter(r.doc_id for r in got.collect())
+        assert set(ids) == {"quality rules": {1, 2, None, 5}, "simhash near-dedup": {1, None, 3, 5, 6}}.get(name, {1, 2, 3, 4, 5, 6, None})
+    assert corpus_pipeline.sequence_packing(spark, docs, SMALL).select("doc_id").distinct().count() == 7
+
+
 def test_run_gives_the_last_stage(spark):
     assert set(corpus_pipeline.run(spark, SMALL).columns) >= {"doc_id", "start", "length", "sequence_id", "offset"}
 
