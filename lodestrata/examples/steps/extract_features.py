@@ -9,7 +9,7 @@ def run(state, **params):
 
     feature, percentile = params.get("select_by", "area"), params.get("percentile", 99)
     found = state["segment"]
-    features = region_properties(found["pixels"], tuple(found["keys"]))
+    features = region_properties(found["pixels"], tuple(found["keys"])).persist()  # the percentile and the selection read it several times
     threshold = exact_percentile(features, feature, percentile)
     state["extract_features"] = {"properties": features, "select_by": feature, "percentile": percentile, "threshold": threshold, "selected": at_or_above(features, feature, threshold)}
     return state

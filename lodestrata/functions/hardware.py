@@ -9,10 +9,11 @@ import subprocess
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-# Builds that can be had, newest first, and the one taken when nothing fits.
+# Builds that can be had, newest first, the one taken when nothing fits, where they are, and labels.
 BUILDS = ("cu128", "cu126", "cu124", "cu121", "cu118")
 FALLBACK = "cu124"
 INDEX = "https://download.pytorch.org/whl/"
+LABELS = {"mps": "Apple MPS (Metal Performance Shaders)", "cpu": "CPU (no GPU acceleration)", "cuda": "NVIDIA CUDA "}
 PROBE_SECONDS = 10
 
 
@@ -32,7 +33,7 @@ def gpu_tag(major: Column, minor: Column) -> Column:
 
 def gpu_label(tag: Column) -> Column:
     version = F.concat(F.substring(tag, 3, 2), F.lit("."), F.substring(tag, 5, 1))
-    return F.when(tag == "mps", "Apple MPS (Metal Performance Shaders)").when(tag == "cpu", "CPU (no GPU acceleration)").otherwise(F.concat(F.lit("NVIDIA CUDA "), version))
+    return F.when(tag == "mps", LABELS["mps"]).when(tag == "cpu", LABELS["cpu"]).otherwise(F.concat(F.lit(LABELS["cuda"]), version))
 
 
 def torch_install_args(tag: Column) -> Column:
