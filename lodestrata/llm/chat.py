@@ -3,17 +3,19 @@
 A turn is written as OPEN role TEXT text CLOSE. Inside roles and texts a backslash is doubled, and every place
 where a control string would begin gets a backslash after its first character, so that none is left and
 taking each backslash away gives the original back. A node of the tree is a turn together with all turns
-before it; its key is a chained hash. Per root, nodes in the order of their key paths are the depth-first
-order, and each node's tokens stand at one offset of the tree's one sequence. A node carries
+before it; its key is a chained hash. Conversations in the order of their key paths walk the tree depth-first: each adds,
+as one run, the nodes that it does not share with the one before it, so that every node is emitted once, and each node's tokens
+stand at one offset of the tree's one sequence. A node carries
 
 * ``offset`` and ``length`` in that sequence, and ``position``, the position id of its first token: the number
   of tokens of its ancestors, so that each conversation's positions run from 0 without gaps;
 * ``ancestors``, the intervals [start, end) of the sequence that its tokens attend to besides the node's own
-  earlier tokens;
+  earlier tokens; touching ones are one, so a long conversation has as many as it has branchings above;
 * ``loss_start`` and ``loss_end``, the part of its tokens under the loss mask: an assistant's text.
 
 Offsets are prefix sums over ranges of the sorted paths: summed inside a range, then over the ranges' totals,
-so a root that most conversations share needs no task of its own. Nodes are made distinct before the shuffle.
+so a root that most conversations share needs no task of its own. No row holds more than one conversation, and none is
+repeated for each of its ancestors.
 
 Rows are ordered by turn, ties by role and text; repeated rows are repeated turns. Null roles and texts are
 empty strings. Rows with a null conv_id are one conversation.
@@ -26,7 +28,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import materialise
+from .common import drop_table, materialise, materialise_at
 from .packing import load_encoder
 
 OPEN, TEXT, CLOSE, MASKED_ROLE = "<|start|>", "<|text|>", "<|end|>", "assistant"
@@ -34,6 +36,10 @@ OPEN, TEXT, CLOSE, MASKED_ROLE = "<|start|>", "<|text|>", "<|end|>", "assistant"
 CONTROL = [OPEN, TEXT, CLOSE, "<|im_start|>", "<|im_end|>", "<|endoftext|>", "<s>", "</s>", "[INST]", "[/INST]", "<<SYS>>", "<</SYS>>"]
 
 
+def _no_spans() -> Column:
+    return F.array().cast("array<struct<start:long,end:long>>")
+
+
 def _pattern() -> str:
     import re
 
@@ -78,32 +84,63 @@ def tokenised(nodes: DataFrame, tokenizer_path: str, ranks_path: str | None) ->
     return done.select("*", "t.*").drop("t", "text")
 
 
+def _above(runs: DataFrame) -> DataFrame:
+    """(run, above): the intervals over each run's first token, from (run, up, above) with those of the next run up only. Each round doubles how far up a run has looked."""
+    old = None
+    while True:
+        runs, path = materialise_at(runs, "chat-runs")
+        if old:
+            drop_table(runs.sparkSession, old)
+        old = path
+        if runs.filter("up IS NOT NULL").isEmpty():
+            return runs.select("run", "above")
+        t = runs.select(F.col("run").alias("up"), F.col("up").alias("next"), F.col("above").alias("more"))
+        runs = runs.join(t, "up", "left").select("run", F.col("next").alias("up"), F.concat(F.coalesce("more", _no_spans()), "above").alias("above"))
+
+
+def _touching(merged: Column, s: Column) -> Column:
+    last = F.try_element_at(merged, F.lit(-1))
+    grown = F.concat(F.slice(merged, F.lit(1), F.size(merged) - 1), F.array(F.struct(last["start"].alias("start"), s["end"].alias("end"))))
+    return F.when((F.size(merged) > 0) & (last["end"] == s["start"]), grown).otherwise(F.concat(merged, F.array(s)))
+
+
 def prefix_tree(conversations: DataFrame, tokenizer_path: str, ranks_path: str | None = None) -> tuple[DataFrame, DataFrame]:
-    """(nodes, members): the tree's nodes as above, with tree (the root's key) and key; and per conversation conv_id and its last node."""
+    """(nodes, members): the tree's nodes as above, with tree (the root's key) and key; and per conversation conv_id and the keys of its nodes."""
     paths = materialise(_paths(conversations), "chat-paths")
-    members = paths.select("conv_id", F.element_at("path", 1).alias("tree"), F.element_at("path", -1).alias("key"))
-    each = paths.select("path", F.posexplode("turns").alias("depth", "t")).select(F.slice("path", F.lit(1), F.col("depth") + 1).alias("path"), "depth", "t.role", "t.text")
-    distinct = each.groupBy("path").agg(F.first("depth").alias("depth"), F.first("role").alias("role"), F.first("text").alias("text"))
-    ordered = tokenised(distinct, tokenizer_path, ranks_path).withColumn("route", F.array_join("path", "")).orderBy("route").withColumn("range", F.spark_partition_id())
-    nodes = materialise(ordered, "chat-nodes")
+    members = paths.select("conv_id", F.col("path").alias("keys"))
+    # equal conversations are one; in the order of their paths, each adds the nodes that it doesn't share with the one before
+    distinct = paths.groupBy(F.element_at("path", -1).alias("run")).agg(F.first("turns").alias("turns"), F.first("path").alias("path"))
+    ordered = materialise(distinct.orderBy("path").withColumn("range", F.spark_partition_id()), "chat-order")
+    here = Window.partitionBy("range").orderBy("path")
+    # one row per range of the sort: where the one before it ends
+    ends = ordered.groupBy("range").agg(F.max("path").alias("last")).withColumn("last", F.lag("last").over(Window.orderBy("range")))
+    lined = ordered.withColumn("nth", F.row_number().over(here)).withColumn("before", F.lag("path").over(here)).join(F.broadcast(ends), "range")
+    lined = lined.withColumn("shared", F.size(F.array_intersect("path", F.coalesce("before", "last", F.array().cast("array<string>")))))  # keys are of whole prefixes
+    each = lined.select("run", "range", "nth", "shared", "path", F.posexplode(F.slice("turns", F.col("shared") + 1, F.size("turns"))).alias("i", "t")).withColumn("depth", F.col("i") + F.col("shared"))
+    each = each.select("run", "range", "nth", "depth", F.col("path")[0].alias("tree"), F.get("path", F.col("depth")).alias("key"), F.get("path", F.col("depth") - 1).alias("parent"), "t.role", "t.text")
+    nodes = materialise(tokenised(each, tokenizer_path, ranks_path), "chat-nodes")
+    slim = nodes.select("run", "range", "nth", "depth", "tree", "key", "parent", "length")
     # one row per range of the sort
-    totals = nodes.groupBy("range").agg(F.sum("length").alias("total")).withColumn("before", F.sum("total").over(Window.orderBy("range")) - F.col("total"))
-    placed = nodes.select("path", "route", "range", "length").join(F.broadcast(totals), "range")
-    placed = placed.withColumn("at", F.col("before") + F.sum("length").over(Window.partitionBy("range").orderBy("route")) - F.col("length"))
-    placed = placed.select(F.element_at("path", 1).alias("tree"), F.element_at("path", -1).alias("key"), "path", "length", "at")
-    starts = placed.groupBy("tree").agg(F.min("at").alias("first"))
-    placed = materialise(placed.join(starts, "tree").select("tree", "key", "path", "length", (F.col("at") - F.col("first")).alias("offset")), "chat-offsets")
-    above = placed.select(F.col("key").alias("node"), F.explode("path").alias("key")).filter("node <> key").join(placed.select("key", "offset", "length"), "key")
-    above = above.groupBy(F.col("node").alias("key")).agg(F.array_sort(F.collect_list(F.struct(F.col("offset").alias("start"), (F.col("offset") + F.col("length")).alias("end")))).alias("ancestors"), F.sum("length").alias("position"))
-    facts = placed.select("tree", "key", "offset").join(above, "key", "left")
-    out = nodes.withColumn("key", F.element_at("path", -1)).join(facts, "key")
-    parent = F.try_element_at("path", F.lit(-2))
-    out = out.select("tree", "key", parent.alias("parent"), "depth", "role", "offset", "length", F.coalesce("position", F.lit(0)).alias("position"), F.coalesce("ancestors", F.array().cast("array<struct<start:long,end:long>>")).alias("ancestors"), "loss_start", "loss_end", "ids")
+    totals = slim.groupBy("range").agg(F.sum("length").alias("total")).withColumn("before", F.sum("total").over(Window.orderBy("range")) - F.col("total"))
+    placed = slim.join(F.broadcast(totals), "range").withColumn("at", F.col("before") + F.sum("length").over(Window.partitionBy("range").orderBy("nth", "depth")) - F.col("length"))
+    placed = placed.withColumn("head", F.min("at").over(Window.partitionBy("range", "nth")))
+    placed = materialise(placed.select("run", "depth", "tree", "key", "parent", "length", "at", "head"), "chat-places")
+    starts = materialise(placed.filter("depth = 0").select("tree", F.col("at").alias("first")), "chat-trees")
+    placed = placed.join(starts, "tree").select("run", "tree", "key", "parent", "length", (F.col("at") - F.col("first")).alias("offset"), (F.col("head") - F.col("first")).alias("head"))
+    placed = materialise(placed, "chat-offsets")
+    # a conversation's own nodes are a run of the sequence; what is over it hangs on the parent of its first node
+    hung = placed.filter("offset = head").select("run", F.col("parent").alias("key"))
+    over = placed.select("key", F.col("run").alias("up"), F.array(F.struct(F.col("head").alias("start"), (F.col("offset") + F.col("length")).alias("end"))).alias("above"))
+    above = _above(hung.join(over, "key", "left").select("run", "up", F.coalesce("above", _no_spans()).alias("above")))
+    own = F.when(F.col("offset") > F.col("head"), F.array(F.struct(F.col("head").alias("start"), F.col("offset").alias("end")))).otherwise(_no_spans())
+    facts = placed.join(above, "run").select("key", "tree", "offset", F.aggregate(F.concat("above", own), _no_spans(), _touching).alias("ancestors"))
+    position = F.aggregate("ancestors", F.lit(0).cast("long"), lambda a, s: a + s["end"] - s["start"])
+    out = nodes.drop("tree").join(facts, "key").select("tree", "key", "parent", "depth", "role", "offset", "length", position.alias("position"), "ancestors", "loss_start", "loss_end", "ids")
     return materialise(out, "chat-tree"), members
 
 
 def read_back(nodes: DataFrame, members: DataFrame, tokenizer_path: str) -> DataFrame:
-    """(conv_id, turns): turns decoded from the tree's tokens, through each last node's intervals: an array of (nth, role, text, loss, chars)."""
+    """(conv_id, turns): turns decoded from the tree's tokens: an array of (nth, role, text, loss, chars)."""
     holder: list = []
     made = pa.struct([("formatted", pa.string()), ("loss", pa.string())])
 
@@ -119,13 +156,11 @@ def read_back(nodes: DataFrame, members: DataFrame, tokenizer_path: str) -> Data
             rows.append({"formatted": holder[0].decode(tokens, skip_special_tokens=False), "loss": holder[0].decode(tokens[a:b], skip_special_tokens=False)})
         return pa.array(rows, made)
 
-    read = nodes.withColumn("d", decode.asNondeterministic()("ids", "loss_start", "loss_end")).select("tree", F.col("offset").alias("start"), "d.*")
+    read = nodes.withColumn("d", decode.asNondeterministic()("ids", "loss_start", "loss_end")).select("key", "d.*")
     head = F.substring_index("formatted", TEXT, 1)
     body = F.substring("formatted", F.length(head) + len(TEXT) + 1, F.length("formatted") - F.length(head) - len(TEXT) - len(CLOSE))
-    read = read.select("tree", "start", unescape(F.substring(head, len(OPEN) + 1, F.length(head))).alias("role"), unescape(body).alias("text"), unescape(F.col("loss")).alias("loss"), F.length("formatted").cast("long").alias("chars"))
-    last = nodes.select("key", F.concat("ancestors", F.array(F.struct(F.col("offset").alias("start"), (F.col("offset") + F.col("length")).alias("end")))).alias("spans"))
-    spread = members.join(last, "key").select("conv_id", "tree", F.posexplode("spans").alias("nth", "span")).select("conv_id", "tree", "nth", "span.start")
-    turns = spread.join(read, ["tree", "start"])
+    read = read.select("key", unescape(F.substring(head, len(OPEN) + 1, F.length(head))).alias("role"), unescape(body).alias("text"), unescape(F.col("loss")).alias("loss"), F.length("formatted").cast("long").alias("chars"))
+    turns = members.select("conv_id", F.posexplode("keys").alias("nth", "key")).join(read, "key")
     return turns.groupBy("conv_id").agg(F.array_sort(F.collect_list(F.struct("nth", "role", "text", "loss", "chars"))).alias("turns"))
 
 
