@@ -33,7 +33,17 @@ def whole_row(df: DataFrame) -> Column:
 
 
 def table_path(spark: SparkSession, name: str) -> str:
-    return f"{shared_dir(spark)}/lodestrata/{name}-{uuid.uuid4().hex}"
+    return f"{application_dir(spark)}/{name}-{uuid.uuid4().hex}"
+
+
+def application_dir(spark: SparkSession) -> str:
+    """Where this application's intermediate tables are. Results may read them lazily, so they stay until clear() or until someone removes the folder."""
+    return f"{shared_dir(spark)}/lodestrata/{spark.sparkContext.applicationId}"
+
+
+def clear(spark: SparkSession) -> None:
+    """Remove all intermediate tables of this application, once its results are written."""
+    drop_table(spark, application_dir(spark))
 
 
 def materialise(df: DataFrame, name: str) -> DataFrame:

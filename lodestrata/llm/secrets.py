@@ -34,7 +34,7 @@ MIN_ASSIGN, MIN_ACCESS, MIN_HEX = 6, 20, 24
 
 GITHUB = re.compile(rb"gh[pousr]_[A-Za-z0-9]{36}(?![A-Za-z0-9])")
 NPM = re.compile(rb"npm_[A-Za-z0-9]{36}(?![A-Za-z0-9])")
-JWT = re.compile(rb"eyJ[A-Za-z0-9_-]{8,4096}\.[A-Za-z0-9_-]{2,}\.[A-Za-z0-9_-]+")
+JWT = re.compile(rb"eyJ[A-Za-z0-9_-]{8,4096}+\.[A-Za-z0-9_-]{2,16384}+\.[A-Za-z0-9_-]++")
 PEM = re.compile(rb"-----BEGIN (?:[A-Z]{2,12} ){0,3}PRIVATE KEY-----[A-Za-z0-9+/=\s]{16,16384}-----END (?:[A-Z]{2,12} ){0,3}PRIVATE KEY-----")
 KEYWORDS = {
     "password": "assign", "passwd": "assign", "secret": "assign", "token": "assign", "apikey": "assign", "api_key": "assign",
