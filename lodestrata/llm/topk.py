@@ -13,7 +13,7 @@ in blocks, each block meets each shard once:
 
 Scores that tie with the threshold are kept, so results are exact. Vectors that are null, empty, or hold null
 or non-finite components, and rows without vec_id, take no part. Only vectors of one length are compared. A repeated row
-(same vec_id and vector) counts once; rows of the query's own vec_id are no candidates. Inner products are
+(same vec_id and vector) counts once; a vec_id with several vectors is a query, and a candidate, with each; rows of the query's own vec_id are no candidates. Inner products are
 taken in doubles while every sum must stay under 2**53, else in Python integers; components and scores beyond 64 bits
 count as the largest there are.
 """
@@ -104,7 +104,7 @@ class Best:
 
     def frame(self) -> pd.DataFrame:
         at, rank = np.nonzero(self.ids != np.iinfo(np.int64).max)
-        return pd.DataFrame({"query_id": self.query_ids[at], "vec_id": self.ids[at, rank], "score": self.scores[at, rank]})
+        return pd.DataFrame({"nth": at, "query_id": self.query_ids[at], "vec_id": self.ids[at, rank], "score": self.scores[at, rank]})
 
 
 def search(tree: dict[str, np.ndarray], query_ids: np.ndarray, q: np.ndarray, floor: np.ndarray, k: int, seed_only: bool) -> pd.DataFrame:
@@ -143,7 +143,7 @@ def search(tree: dict[str, np.ndarray], query_ids: np.ndarray, q: np.ndarray, fl
 
 
 def _ranked(found: DataFrame, k: int) -> DataFrame:
-    order = Window.partitionBy("query_id").orderBy(F.desc("score"), "vec_id")
+    order = Window.partitionBy("dim", "block", "nth").orderBy(F.desc("score"), "vec_id")
     return found.withColumn("rank", F.row_number().over(order)).filter(F.col("rank") <= k)
 
 
@@ -160,13 +160,13 @@ def top_k(vectors: DataFrame, k: int = K, every: int = EVERY, shard_rows: int =
         return pd.DataFrame({"dim": [key[0]], "shard": [key[1]], "tree": [packed(**build(f["vec_id"].to_numpy(), np.stack(f["v"].to_numpy()), leaf))]})
 
     def gather(key: tuple, f: pd.DataFrame) -> pd.DataFrame:
-        f = f.sort_values("vec_id", kind="stable")
+        f = f.iloc[np.lexsort((f["v"].map(lambda v: v.tobytes()), f["vec_id"]))]  # the same order whenever it is run
         return pd.DataFrame({"dim": [key[0]], "block": [key[1]], "queries": [packed(ids=f["vec_id"].to_numpy(), q=np.stack(f["v"].to_numpy()))]})
 
-    shard = F.pmod(F.xxhash64("vec_id"), F.col("shards"))
+    shard = F.pmod(F.xxhash64("vec_id", "v"), F.col("shards"))
     trees = materialise(sized.select("dim", shard.alias("shard"), "vec_id", "v").groupBy("dim", "shard").applyInPandas(plant, "dim int, shard long, tree binary"), "trees")
     asked = sized.filter(F.col("vec_id") % every == 0)
-    block = F.pmod(F.xxhash64("vec_id"), F.col("blocks"))
+    block = F.pmod(F.xxhash64("vec_id", "v"), F.col("blocks"))
     blocks = materialise(asked.select("dim", block.alias("block"), "vec_id", "v").groupBy("dim", "block").applyInPandas(gather, "dim int, block long, queries binary"), "query-blocks")
 
     def walk(seed_only: bool):
@@ -179,16 +179,16 @@ def top_k(vectors: DataFrame, k: int = K, every: int = EVERY, shard_rows: int =
                     asked = unpacked(row.queries)
                     floor = np.full(len(asked["ids"]), np.iinfo(np.int64).min)
                     if not seed_only and row.floors is not None:
-                        known = {x["id"]: x["score"] for x in row.floors}
-                        floor = np.array([known.get(i, np.iinfo(np.int64).min) for i in asked["ids"].tolist()], np.int64)
+                        for x in row.floors:
+                            floor[x["nth"]] = x["score"]
                     yield search(kept[1], asked["ids"], asked["q"], floor, k, seed_only).assign(dim=row.dim, block=row.block)
 
         return work
 
-    schema = "query_id long, vec_id long, score long, dim int, block long"
+    schema = "nth long, query_id long, vec_id long, score long, dim int, block long"
     # the stated queries against all shards, block by block
     meets = blocks.join(sizes.select("dim", "shards"), "dim").withColumn("shard", F.explode(F.sequence(F.lit(0).cast("long"), F.col("shards") - 1))).join(trees, ["dim", "shard"])
     seeds = meets.select("dim", "shard", "block", "queries", "tree").mapInPandas(walk(True), schema)
-    floors = _ranked(seeds, k).filter(F.col("rank") == k).groupBy("dim", "block").agg(F.collect_list(F.struct(F.col("query_id").alias("id"), "score")).alias("floors"))
+    floors = _ranked(seeds, k).filter(F.col("rank") == k).groupBy("dim", "block").agg(F.collect_list(F.struct("nth", "score")).alias("floors"))
     found = meets.join(floors, ["dim", "block"], "left").select("dim", "shard", "block", "queries", "tree", "floors").mapInPandas(walk(False), schema)
-    return _ranked(found.select("query_id", "vec_id", "score"), k).select("query_id", "rank", "vec_id", "score")
+    return _ranked(found, k).select("query_id", "rank", "vec_id", "score")

@@ -19,7 +19,7 @@ def brute(rows, k=5, every=50):
 def test_against_brute_force(spark):
     rng = np.random.default_rng(0)
     rows = [(i, rng.normal(0, 0.2, 6).tolist()) for i in range(400)]
-    rows += [(i + 1000, rows[50][1]) for i in range(30)] + [(2000, [0.0] * 6), (2001, None), (2002, []), (2003, [None] * 6), (2050, [float("nan")] + [0.0] * 5), (2100, [float("inf")] * 6), (None, [0.1] * 6), rows[100], (2200, [0.5, 0.25]), (2201, [-0.5, 0.25]), (-50, [1e7] * 6), (-51, [1e7] * 6), (-52, [-1e7] * 6), (2300, [0.3] * 9)]
+    rows += [(i + 1000, rows[50][1]) for i in range(30)] + [(2000, [0.0] * 6), (2001, None), (2002, []), (2003, [None] * 6), (2050, [float("nan")] + [0.0] * 5), (2100, [float("inf")] * 6), (None, [0.1] * 6), rows[100], (100, rows[7][1]), (150, rows[8][1]), (150, rows[9][1]), (2200, [0.5, 0.25]), (2201, [-0.5, 0.25]), (-50, [1e7] * 6), (-51, [1e7] * 6), (-52, [-1e7] * 6), (2300, [0.3] * 9)]
     df = spark.createDataFrame([(i, v, "s") for i, v in rows], "vec_id long, embedding array<float>, shard string")
     exact = [(i, None if v is None else [None if x is None else float(np.float32(x)) for x in v]) for i, v in rows]
     got = topk.top_k(df, shard_rows=64, block_queries=3, leaf=8)
