@@ -9,7 +9,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-_CHUNK = 4 << 20
+_CHUNK = 1 << 20
 
 
 def mix(x: np.ndarray) -> np.ndarray:

@@ -36,7 +36,7 @@ from pyspark.sql import functions as F
 from .common import materialise, release
 from .rolling import Hasher, grouped, identity, least_leftmost, mix
 
-LENGTH, GROUP_BYTES, BUFFER_BYTES, STEP = 400, 1 << 20, 2 << 20, 16
+LENGTH, GROUP_BYTES, BUFFER_BYTES, STEP = 400, 512 << 10, 1 << 20, 16
 
 
 def segments(data: np.ndarray, bounds: np.ndarray, length: int, hashers: tuple[Hasher, Hasher]) -> dict[str, np.ndarray]:
