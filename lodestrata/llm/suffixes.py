@@ -192,42 +192,71 @@ def _fetch(wanted: DataFrame, docs: DataFrame, length: int) -> DataFrame:
     return rows.select("w.*", F.substring("raw", F.col("w.first") + 1, F.col("w.span") + length).alias("body"))
 
 
-def solve(held: list[tuple[int, int, int, bytes]], length: int) -> list[tuple[int, int, int, list[dict]]]:
-    """(key, h1, h2, spans) of the bodies with maximal repeats of at least ``length``: what the repeats cover, merged."""
-    held = list({h[:3]: h for h in held}.values())
-    texts = [h[3] for h in held]
-    sizes = np.array([len(x) for x in texts])
-    bounds = np.concatenate(([0], np.cumsum(sizes + 1)))
-    starts = np.concatenate([np.arange(a, a + n - length + 1) for a, n in zip(bounds, sizes, strict=False)])
-    owner = np.searchsorted(bounds, starts, side="right") - 1
-    array = SuffixArray(texts, starts, bounds[owner] + sizes[owner], int(sizes.max()))
-    left = np.concatenate(([-1], np.frombuffer(b"".join(x + b"\0" for x in texts), np.uint8)[:-1].astype(np.int16)))
-    left[bounds[:-1]] = -1
-    covered = np.zeros(len(starts), np.int64)
-    for size, first, stop in maximal_repeats(array, left, length):
-        np.maximum(covered[first:stop], size, out=covered[first:stop])
-    at = np.flatnonzero(covered)
-    if not len(at):
-        return []
-    a = array.starts[at]
-    a, b = merged(a, a + covered[at])  # bodies are a byte apart, so spans of two never touch
-    own = np.searchsorted(bounds, a, side="right") - 1
-    out: dict[int, list[dict]] = {}
-    for o, x, y in zip(own.tolist(), (a - bounds[own]).tolist(), (b - bounds[own]).tolist(), strict=True):
-        out.setdefault(o, []).append({"start": x, "end": y})
-    return [(*held[o][:3], spans) for o, spans in out.items()]
+class Group:
+    """Bodies of one or more keys, one of each, and the array of the suffixes that start windows in them."""
+
+    def __init__(self, held: list[tuple[int, int, int, bytes]], length: int):
+        self.names = [n for n in {h[:3]: None for h in held}]
+        self.texts = list({h[:3]: h[3] for h in held}.values())
+        self.length = length
+        sizes = np.array([len(x) for x in self.texts])
+        self.bounds = np.concatenate(([0], np.cumsum(sizes + 1)))
+        starts = np.concatenate([np.arange(a, a + n - length + 1) for a, n in zip(self.bounds, sizes, strict=False)])
+        owner = np.searchsorted(self.bounds, starts, side="right") - 1
+        self.array = SuffixArray(self.texts, starts, self.bounds[owner] + sizes[owner], int(sizes.max()))
+        left = np.concatenate(([-1], np.frombuffer(b"".join(x + b"\0" for x in self.texts), np.uint8)[:-1].astype(np.int16)))
+        left[self.bounds[:-1]] = -1
+        self.left = left
+
+    def repeats(self) -> Iterator[tuple[int, int, int]]:
+        return maximal_repeats(self.array, self.left, self.length)
+
+    def spans(self) -> list[tuple]:
+        """(key, h1, h2, spans) of the bodies with repeats: what these cover, merged."""
+        starts = self.array.starts
+        covered = np.zeros(len(starts), np.int64)
+        for size, first, stop in self.repeats():
+            np.maximum(covered[first:stop], size, out=covered[first:stop])
+        at = np.flatnonzero(covered)
+        if not len(at):
+            return []
+        a, b = merged(starts[at], starts[at] + covered[at])  # bodies are a byte apart, so spans of two never touch
+        own = np.searchsorted(self.bounds, a, side="right") - 1
+        out: dict[int, list[dict]] = {}
+        for o, x, y in zip(own.tolist(), (a - self.bounds[own]).tolist(), (b - self.bounds[own]).tolist(), strict=True):
+            out.setdefault(o, []).append({"start": x, "end": y})
+        return [(*self.names[o], spans) for o, spans in out.items()]
+
+    def occurrences(self) -> list[tuple]:
+        """(key, h1, h2, repeat, size, start) of every occurrence of every maximal repeat; a repeat's name is a hash of its bytes."""
+        from xxhash import xxh64_intdigest
+
+        out = []
+        for size, first, stop in self.repeats():
+            at = self.array.starts[first:stop]
+            own = np.searchsorted(self.bounds, at, side="right") - 1
+            rel = (at - self.bounds[own]).tolist()
+            name = xxh64_intdigest(self.texts[own[0]][rel[0] : rel[0] + size])
+            name -= (name >> 63) << 64
+            out += [(*self.names[o], name, size, r) for o, r in zip(own.tolist(), rel, strict=True)]
+        return out
 
 
 _SPANS = "array<struct<start:int,end:int>>"
+_KEY = [("key", pa.int64()), ("h1", pa.int64()), ("h2", pa.int64())]
+_SHAPES = {
+    "spans": ("key long, h1 long, h2 long, spans " + _SPANS, pa.schema([*_KEY, ("spans", pa.list_(pa.struct([("start", pa.int32()), ("end", pa.int32())])))])),
+    "occurrences": ("key long, h1 long, h2 long, repeat long, size int, start int", pa.schema([*_KEY, ("repeat", pa.int64()), ("size", pa.int32()), ("start", pa.int32())])),
+}
 
 
-def _repeats(groups: DataFrame, length: int) -> DataFrame:
-    """(key, h1, h2, spans), from all bodies of a key together: (key, h1, h2, body)."""
-    schema = pa.schema([("key", pa.int64()), ("h1", pa.int64()), ("h2", pa.int64()), ("spans", pa.list_(pa.struct([("start", pa.int32()), ("end", pa.int32())])))])
+def _repeats(groups: DataFrame, length: int, shape: str = "spans") -> DataFrame:
+    """Spans or occurrences of the maximal repeats, from all bodies of a key together: (key, h1, h2, body)."""
+    declared, schema = _SHAPES[shape]
 
     def table(held: list) -> pa.RecordBatch:
-        rows = solve(held, length)
-        return pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(zip(*rows, strict=True) if rows else [[]] * 4, schema, strict=True)], schema=schema)
+        rows = getattr(Group(held, length), shape)()
+        return pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(zip(*rows, strict=True) if rows else [[]] * len(schema), schema, strict=True)], schema=schema)
 
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held: list[tuple[int, int, int, bytes]] = []
@@ -242,7 +271,7 @@ def _repeats(groups: DataFrame, length: int) -> DataFrame:
         if held:
             yield table(held)
 
-    return groups.select("key", "h1", "h2", "body").repartition("key").sortWithinPartitions("key").mapInArrow(work, f"key long, h1 long, h2 long, spans {_SPANS}")
+    return groups.select("key", "h1", "h2", "body").repartition("key").sortWithinPartitions("key").mapInArrow(work, declared)
 
 
 def _pieces(bodies: DataFrame, length: int, step: int) -> DataFrame:
@@ -272,51 +301,80 @@ def _pieces(bodies: DataFrame, length: int, step: int) -> DataFrame:
     return bodies.select("key", "h1", "h2", "dist", "span", "body").mapInArrow(work, ", ".join(f"{n} long" for n in names))
 
 
-def _split(big: DataFrame, length: int, steps: tuple[int, ...]) -> DataFrame:
-    """(key, h1, h2, spans) for groups too large for one task, by ever smaller pieces."""
+def _split(big: DataFrame, length: int, steps: tuple[int, ...], shape: str) -> DataFrame:
+    """The same for groups too large for one task, by ever smaller pieces: (key, h1, h2, spans), or occurrences, where pieces that are equal whole are repeats named by their hash."""
     out = None
     for step in steps:
         pieces = materialise(_pieces(big, length, step), "suffix-pieces")
         kinds = pieces.groupBy("sub", "p1", "p2").agg(F.count("*").alias("n"), F.first("size").alias("size"))
         subs = kinds.groupBy("sub").agg(F.count("*").alias("kinds"), F.count_if(F.col("n") == 1).alias("open"), F.sum("size").alias("bytes"))
-        settled = pieces.join(kinds.filter("n > 1").select("sub", "p1", "p2"), ["sub", "p1", "p2"]).select("key", "h1", "h2", "rel", (F.col("rel") + F.col("size")).alias("to"))
+        settled = pieces.join(kinds.filter("n > 1").select("sub", "p1", "p2"), ["sub", "p1", "p2"]).select("key", "h1", "h2", "p1", "size", "rel")
         todo = subs.filter("kinds > 1 AND open > 0")
         small = pieces.join(todo.filter(F.col("bytes") <= GROUP_BYTES).select("sub"), "sub").join(big.select("key", "h1", "h2", "body"), ["key", "h1", "h2"])
         small = small.select("sub", "p1", "p2", "key", "h1", "h2", "rel", F.substring("body", F.col("rel").cast("int") + 1, F.col("size").cast("int")).alias("body"))
         small = materialise(small, "suffix-piece-bodies")
-        solved = _repeats(small.select(F.col("sub").alias("key"), F.col("p1").alias("h1"), F.col("p2").alias("h2"), "body"), length).selectExpr("key AS sub", "h1 AS p1", "h2 AS p2", "spans")
-        solved = small.drop("body").join(solved, ["sub", "p1", "p2"]).select("key", "h1", "h2", "rel", F.explode("spans").alias("s"))
-        found = settled.union(solved.select("key", "h1", "h2", F.col("rel") + F.col("s.start"), F.col("rel") + F.col("s.end")))
+        solved = _repeats(small.select(F.col("sub").alias("key"), F.col("p1").alias("h1"), F.col("p2").alias("h2"), "body"), length, shape).withColumnsRenamed({"key": "sub", "h1": "p1", "h2": "p2"})
+        solved = small.drop("body").join(solved, ["sub", "p1", "p2"])
+        if shape == "spans":
+            solved = solved.select("key", "h1", "h2", "rel", F.explode("spans").alias("s")).select("key", "h1", "h2", F.lit(0).cast("long").alias("p1"), F.col("s.end") - F.col("s.start"), F.col("rel") + F.col("s.start"))
+        else:
+            solved = solved.select("key", "h1", "h2", "repeat", "size", F.col("rel") + F.col("start"))
+        found = settled.union(solved)
         out = found if out is None else out.union(found)
         rest = pieces.join(todo.filter(F.col("bytes") > GROUP_BYTES).select("sub"), "sub").select("key", "h1", "h2").distinct()
         if rest.isEmpty():
             break
         big = big.join(rest, ["key", "h1", "h2"])
-    spans = F.collect_set(F.struct(F.col("rel").cast("int").alias("start"), F.col("to").cast("int").alias("end")))
+    if shape == "occurrences":
+        return out.select("key", "h1", "h2", F.col("p1").alias("repeat"), F.col("size").cast("int").alias("size"), F.col("rel").cast("int").alias("start"))
+    spans = F.collect_set(F.struct(F.col("rel").cast("int").alias("start"), (F.col("rel") + F.col("size")).cast("int").alias("end")))
     return out.groupBy("key", "h1", "h2").agg(spans.alias("spans"))
 
 
-def dedup(docs: DataFrame, length: int = LENGTH) -> DataFrame:
-    """One row per document: doc_id, n_bytes, the maximal removed spans (start, end) and the kept bytes."""
+_PARTS = ["key", "h1", "h2"]
+
+
+def _classes(docs: DataFrame, length: int) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """The documents' segments; the classes of equal segments whose anchor occurs twice or more; the texts of those classes that must be compared."""
     marks = materialise(_mark(docs, length), "suffix-segments")
-    parts = ["key", "h1", "h2"]
-    classes = marks.groupBy(*parts).agg(F.sum(F.size("firsts")).alias("n"), *[F.first(c).alias(c) for c in ("doc_id", "th", "span", "dist")], F.first(F.element_at("firsts", 1)).alias("first"))
+    classes = marks.groupBy(*_PARTS).agg(F.sum(F.size("firsts")).alias("n"), *[F.first(c).alias(c) for c in ("doc_id", "th", "span", "dist")], F.first(F.element_at("firsts", 1)).alias("first"))
     groups = classes.groupBy("key").agg(F.count("*").alias("kinds"), F.sum("n").alias("total"), F.count_if(F.col("n") == 1).alias("open"), F.sum(F.col("span") + length).alias("bytes")).filter("total > 1")
     alike = materialise(classes.join(groups, "key"), "suffix-classes")
     release(docs.sparkSession)
-    wanted = alike.filter("kinds > 1 AND open > 0").select(*parts, "doc_id", "th", "first", "span", "dist", "bytes")
+    wanted = alike.filter("kinds > 1 AND open > 0").select(*_PARTS, "doc_id", "th", "first", "span", "dist", "bytes")
     bodies = materialise(_fetch(wanted, docs, length), "suffix-bodies")
     release(docs.sparkSession)
-    found = _repeats(bodies.filter(F.col("bytes") <= GROUP_BYTES), length)
+    return marks, alike, bodies
+
+
+def _compare(bodies: DataFrame, length: int, shape: str) -> DataFrame:
+    found = _repeats(bodies.filter(F.col("bytes") <= GROUP_BYTES), length, shape)
     big = bodies.filter(F.col("bytes") > GROUP_BYTES)
-    if not big.isEmpty():
-        found = found.union(_split(materialise(big.dropDuplicates(parts), "suffix-big"), length, (min(STEP, max(1, length // 2)), 1)))
-    whole = alike.filter("n > 1").select(*parts, F.array(F.struct(F.lit(0).alias("start"), (F.col("span") + length).alias("end"))).alias("spans"))
-    settled = alike.filter("n > 1").select(*parts)
+    if big.isEmpty():
+        return found
+    steps = (min(STEP, max(1, length // 2)), 1)
+    return found.union(_split(materialise(big.dropDuplicates(_PARTS), "suffix-big"), length, steps, shape))
+
+
+def repeat_groups(docs: DataFrame, length: int = LENGTH) -> DataFrame:
+    """(repeat, size, doc_id, start): every occurrence, in bytes, of every repeat of at least ``length`` bytes that is maximal inside its segments. Rows of one repeat are its group."""
+    marks, alike, bodies = _classes(docs, length)
+    whole = alike.filter("n > 1").select(*_PARTS, F.col("h1").alias("repeat"), (F.col("span") + length).alias("size"), F.lit(0).alias("start"))
+    found = whole.union(_compare(bodies, length, "occurrences"))
+    placed = marks.select("doc_id", *_PARTS, "firsts").join(found, _PARTS)
+    return placed.select("repeat", "size", "doc_id", F.explode("firsts").alias("at"), "start").select("repeat", "size", "doc_id", (F.col("at") + F.col("start")).alias("start")).distinct()
+
+
+def dedup(docs: DataFrame, length: int = LENGTH) -> DataFrame:
+    """One row per document: doc_id, n_bytes, the maximal removed spans (start, end) and the kept bytes."""
+    marks, alike, bodies = _classes(docs, length)
+    found = _compare(bodies, length, "spans")
+    whole = alike.filter("n > 1").select(*_PARTS, F.array(F.struct(F.lit(0).alias("start"), (F.col("span") + length).alias("end"))).alias("spans"))
+    settled = alike.filter("n > 1").select(*_PARTS)
     # what counting has settled needs no spans of the suffix array
-    found = materialise(whole.union(found.join(settled, parts, "left_anti")), "suffix-found")
+    found = materialise(whole.union(found.join(settled, _PARTS, "left_anti")), "suffix-found")
     release(docs.sparkSession)
-    cover = marks.select("doc_id", "th", *parts, "firsts").join(found, parts).groupBy("doc_id", "th").agg(F.collect_list(F.struct("firsts", "spans")).alias("found"))
+    cover = marks.select("doc_id", "th", *_PARTS, "firsts").join(found, _PARTS).groupBy("doc_id", "th").agg(F.collect_list(F.struct("firsts", "spans")).alias("found"))
     cover = materialise(cover, "suffix-cover")
     release(docs.sparkSession)
     d = identity(docs)

@@ -46,6 +46,21 @@ def test_against_brute_force(spark, monkeypatch, group_bytes):
     assert sorted(map(tuple, suffixes.digest(suffixes.dedup(df, 12)).collect()), key=repr) == brute(rows, 12)
 
 
+@pytest.mark.parametrize("group_bytes", [1 << 20, 60])
+def test_groups_hold_all_occurrences(spark, monkeypatch, group_bytes):
+    monkeypatch.setattr(suffixes, "GROUP_BYTES", group_bytes)
+    texts = some_texts(random.Random(9), 40)
+    df = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    raw = [t.encode() for t in texts]
+    groups, cover = {}, [bytearray(len(t)) for t in raw]
+    for r in suffixes.repeat_groups(df, 12).collect():
+        groups.setdefault((r.repeat, r.size), set()).add((r.doc_id, r.start))
+        cover[r.doc_id][r.start : r.start + r.size] = b"\1" * r.size
+    assert [bytes(c) for c in cover] == mask(raw, 12)
+    for (_, size), places in groups.items():
+        assert len({raw[d][a : a + size] for d, a in places}) == 1 and len(places) > 1 and size >= 12
+
+
 def test_real_length_with_long_and_periodic_texts(spark):
     rng = random.Random(4)
     passage = "".join(rng.choice("abcdefgh ") for _ in range(900))
