@@ -60,7 +60,7 @@ def select_rare(features: DataFrame, feature: str = "area", percentile: float =
     """The rare rows as one lazy plan: the threshold is one row beside every row. An unknown feature fails at once.
 
     The built-in percentile brings a feature's distinct values to one task. For features with many millions of them,
-    take exact_percentile() of a persisted table and at_or_above() instead, as the pipeline step does.
+    take exact_percentile() of a written table and at_or_above() instead, as the pipeline step does.
     """
     v = F.col(f"`{feature}`")
     threshold = percentile_threshold(features, feature, percentile)

@@ -81,7 +81,8 @@ def _in_environment(step: StepSpec, path: Path, state: dict, chosen: dict, regis
     return handoff.attach(result, _read)
 
 
-def _materialised(value: Any, shared: str | None) -> Any:
+def materialised(value: Any, shared: str | None = None) -> Any:
+    """The value with its tables written to the shared folder and read again."""
     folder = _table_folder(shared)
     return handoff.attach(handoff.detach(value, folder), _read)
 
@@ -110,7 +111,7 @@ def run_pipeline(yaml_path: str | Path, label: str = "test", input_data: dict |
             else:
                 state = module.run(state, **step.params)
                 if chosen["materialize"]:
-                    state = _materialised(state, shared)
+                    state = materialised(state, shared)
         except Exception as e:
             e.add_note(f"in step {step.index}, {step.name}, of {spec.path}")
             raise
