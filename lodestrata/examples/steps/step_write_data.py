@@ -1,4 +1,4 @@
-"""Writes one value of each kind that must survive an environment switch."""
+"""Leaves one value of each kind, signed with where it was written."""
 
 METADATA = {"description": "Values to be carried over", "version": "1.0", "environment": "local"}
 
@@ -6,12 +6,8 @@ METADATA = {"description": "Values to be carried over", "version": "1.0", "envir
 def run(state, **params):
     import os
 
+    from lodestrata.examples.record import RECORD
     from lodestrata.plans.environments import current_name
 
-    # The record that the check looks for.
-    state["step_write_data"] = {
-        "string": "hello_from_step_write_data", "integer": 42, "float": 3.14159, "boolean": True,
-        "list": [1, 2, 3, "four", 5.0], "nested": {"key": "value", "numbers": [10, 20, 30]}, "none_value": None,
-        "written_by_env": current_name(), "written_by_pid": os.getpid(),
-    }
+    state["step_write_data"] = RECORD | {"written_by_env": current_name(), "written_by_pid": os.getpid()}
     return state

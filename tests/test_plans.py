@@ -136,3 +136,13 @@ def test_command_line(capsys):
 def test_load_step_needs_a_file(tmp_path):
     with pytest.raises(FileNotFoundError, match="absent.py"):
         load_step("absent", tmp_path)
+
+
+def test_changed_records_are_found():
+    from lodestrata.examples.record import RECORD, verdicts
+
+    good = RECORD | {"written_by_env": "x", "written_by_pid": 1}
+    assert all(verdicts(good).values()) and len(verdicts(good)) == 11
+    for change, name in (({"list": [1, 2, 3, "four", 5]}, "list_mixed_types"), ({"integer": 42.0}, "integer"), ({"boolean": 1}, "boolean"), ({"nested": {}}, "nested_key"), ({"list": None}, "list_length"), ({"written_by_pid": "1"}, "has_written_by_pid")):
+        assert not verdicts(good | change)[name]
+    assert not any(verdicts(None).values())
