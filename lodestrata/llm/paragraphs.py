@@ -12,7 +12,8 @@ passage is taken from both. Words are split at ASCII blanks, A-Z in lower case;
    already linked aren't compared again; buckets over BLOCK members are dealt out in blocks, each pair of
    blocks to a task of its own. Bands are tuned: the most rows per band whose recall at THRESHOLD is at least RECALL.
 3. Components over the links make clusters. A cluster counts if it has paragraphs of two documents at least; in the
-   first (the smallest doc_id, nulls last) its first paragraph stays, and all others are removed.
+   first (the smallest doc_id, nulls last) its first paragraph stays, and all others are removed. Equal
+   passages that overlap in their document, as in a run of one word, are one.
 
 The result has a row for each document with such a paragraph and none for the others. Null and empty texts have no
 paragraphs; rows of one doc_id are one document, however often repeated. Spans are code points, end exclusive.
@@ -103,7 +104,20 @@ class Marker:
         d = doc[a]
         size = mix((b - a).astype(np.uint64) * np.uint64(2) + kind.astype(np.uint64))
         base = points[bounds[d]]
-        return {"doc": d, "kind": kind, "h1": (one.of(s1, a, b) ^ size).view(np.int64), "h2": (two.of(s2, a, b) + size).view(np.int64), "start": points[first[a]] - base, "end": points[last[b - 1]] - base}, bands
+        p = {"doc": d, "kind": kind, "h1": (one.of(s1, a, b) ^ size).view(np.int64), "h2": (two.of(s2, a, b) + size).view(np.int64), "start": points[first[a]] - base, "end": points[last[b - 1]] - base}
+        lines, passages = ({k: v[part] for k, v in p.items()} for part in (slice(0, len(la)), slice(len(la), None)))
+        return {k: np.concatenate((lines[k], v)) for k, v in self.joined(passages).items()}, bands
+
+    @staticmethod
+    def joined(p: dict[str, np.ndarray]) -> dict[str, np.ndarray]:
+        """Equal passages of a document that overlap, as in a run of one word, as one."""
+        if not len(p["doc"]):
+            return p
+        order = np.lexsort((p["start"], p["h2"], p["h1"], p["doc"]))
+        p = {k: v[order] for k, v in p.items()}
+        new = np.concatenate(([True], np.any([p[k][1:] != p[k][:-1] for k in ("doc", "h1", "h2")], axis=0) | (p["start"][1:] > p["end"][:-1])))
+        at = np.flatnonzero(new)
+        return {k: v[at] for k, v in p.items()} | {"end": p["end"][np.append(at[1:], len(new)) - 1]}
 
 
 def paragraphs(docs: DataFrame, bands: int, rows: int) -> DataFrame:
@@ -227,7 +241,8 @@ def repeated(docs: DataFrame, threshold: float = THRESHOLD, block: int = BLOCK)
     found = marked.select("doc_id", "kind", "h1", "h2", "start", "end").join(clusters, ["kind", "h1", "h2"])
     found = materialise(found.select("doc_id", "kind", "r1", "r2", "start", "end", "least"), "paragraph-found")
     release(spark)
-    first = found.filter("doc_id = least").groupBy("kind", "r1", "r2").agg(F.min("start").alias("first"))
+    # written, so that a cluster with very many paragraphs can be split when joined
+    first = materialise(found.filter("doc_id = least").groupBy("kind", "r1", "r2").agg(F.min("start").alias("first")), "paragraph-first")
     placed = found.join(first, ["kind", "r1", "r2"]).withColumn("stays", (F.col("doc_id") == F.col("least")) & (F.col("start") == F.col("first")))
     each = placed.groupBy("doc_id").agg(F.min("least").alias("component_id"), F.count("*").alias("n_paragraphs"), F.array_sort(F.collect_set(F.when(~F.col("stays"), F.struct("start", "end")))).alias("spans"))
     spans = F.aggregate("spans", F.array().cast("array<struct<start:int,end:int>>"), _absorb)
