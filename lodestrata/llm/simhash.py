@@ -154,7 +154,8 @@ def classes(marked: DataFrame, budget: int = BUDGET) -> DataFrame:
     homes = distinct.join(linked, "fp")
     least = homes.groupBy("root").agg(F.min("least").alias("component_id"))
     mapped = distinct.join(linked.join(least, "root"), "fp", "left").select("fp", F.when(F.col("root").isNull(), F.col("least")).otherwise(F.col("component_id")).alias("component_id"))
-    return marked.join(mapped, "fp").select("doc_id", "fp", "component_id")
+    # written, so that both sides of the last join are plain exchanges, of which a frequent fingerprint's can be split
+    return marked.join(materialise(mapped, "simhash-classes"), "fp").select("doc_id", "fp", "component_id")
 
 
 def near_duplicates(docs: DataFrame, size: int = SHINGLE, budget: int = BUDGET) -> DataFrame:
