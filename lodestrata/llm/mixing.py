@@ -25,6 +25,7 @@ from pyspark.sql import functions as F
 from .common import whole_row
 
 ALPHA, SLOTS, BLOCK_DOCS, BUCKET_DIGITS = 0.8, 1000, 8, 3
+MAX_BROADCAST_SOURCES = 10_000
 
 
 def _key(c: str = "source") -> Column:
@@ -85,8 +86,9 @@ def _placed(docs: DataFrame, weights: dict[str, float] | None, alpha: float, slo
     before = counts.select("key", "bucket", (F.sum("count").over(Window.partitionBy("key").orderBy("bucket")) - F.col("count")).alias("before"))
     own = plans(schedule(shares(counts.groupBy("key").agg(F.sum("count").alias("n")), weights, alpha, slots)), block_docs)
     numbered = rows.withColumn("nth", F.row_number().over(Window.partitionBy("key", "bucket").orderBy("h", "id")).cast("long") - 1)
-    # the plan's arrays hold one entry per slot of a period together, whatever the data's size
-    placed = numbered.join(before, ["key", "bucket"]).join(F.broadcast(own), "key").withColumn("at", F.col("nth") + F.col("before"))
+    # the plan has one entry per slot of a period, at most 4 * MAX_BROADCAST_SOURCES, whatever the data's size; with more sources Spark chooses the join
+    few = counts.select("key").distinct().limit(MAX_BROADCAST_SOURCES + 1).count() <= MAX_BROADCAST_SOURCES
+    placed = numbered.join(before, ["key", "bucket"]).join(F.broadcast(own) if few else own, "key").withColumn("at", F.col("nth") + F.col("before"))
     placed = placed.withColumn("first", F.floor(F.col("at") / block_docs))
     placed = placed.withColumn("epoch", F.explode(F.sequence(F.lit(0).cast("long"), F.floor((F.col("taken") - 1 - F.col("first")) / F.col("blocks")))))
     placed = placed.withColumn("block", F.col("first") + F.col("epoch") * F.col("blocks"))
