@@ -14,6 +14,7 @@ from pyspark.sql import functions as F
 from .functions import environments as envs
 from .functions import hardware
 from .operators import feedback, image, regions, segment, select
+from .plans.runner import materialised
 from .shipping import ship
 from .sources import feedback as sinks
 from .sources import images
@@ -98,7 +99,7 @@ _BY_FEATURE = " UNION ALL ".join(
 
 @_query(f"WITH {_REGIONS} {_BY_FEATURE}")
 def rare_event_by_feature(spark, sf_dir):
-    features, out = _features(spark, sf_dir), None
+    features, out = materialised(_features(spark, sf_dir)), None  # read once per feature and pass
     for f in ("centroid_y", "centroid_x", "mean_intensity", "max_intensity", "major_axis_length"):
         one = select.at_or_above(features, f, select.exact_percentile(features, f, 95)).select(F.lit(f).alias("feature"), "label")
         out = one if out is None else out.union(one)
@@ -136,7 +137,7 @@ def feedback_summary(spark, sf_dir):
 
 
 def _document(spark: SparkSession, sf_dir: str) -> DataFrame:
-    features = _features(spark, sf_dir)
+    features = materialised(_features(spark, sf_dir))
     threshold = select.exact_percentile(features, "area", PERCENTILE)
     records = feedback.cells(select.at_or_above(features, "area", threshold))
     return feedback.document(records, segment_count(spark, sf_dir), "run", "area", PERCENTILE, threshold, "20260101-000000")
