@@ -33,6 +33,7 @@ from .common import materialise
 SCALE, K, EVERY = 256.0, 5, 50
 LEAF, SHARD_ROWS, BLOCK_QUERIES = 128, 8192, 512
 MOST = 2**63 - 1
+MAX_BROADCAST_LENGTHS = 1000
 
 
 def quantised(vectors: DataFrame, scale: float = SCALE) -> DataFrame:
@@ -49,6 +50,12 @@ def packed(**arrays: np.ndarray) -> bytes:
     return out.getvalue()
 
 
+def narrow(v: np.ndarray) -> np.ndarray:
+    """Whole numbers in the smallest type that holds them."""
+    most = np.abs(v).max(initial=0)
+    return v.astype(np.int16 if most < 2**15 else np.int32 if most < 2**31 else np.float64)
+
+
 def unpacked(data: bytes) -> dict[str, np.ndarray]:
     return dict(np.load(io.BytesIO(data), allow_pickle=False))
 
@@ -151,17 +158,19 @@ def top_k(vectors: DataFrame, k: int = K, every: int = EVERY, shard_rows: int =
     """(query_id, rank, vec_id, score) of the k best for each vec_id divisible by ``every``."""
     fit = materialise(quantised(vectors), "vectors")
     sizes = fit.groupBy("dim").agg(F.count("*").alias("n"), F.count_if(F.col("vec_id") % every == 0).alias("m"))
-    # one row per vector length
-    sizes = sizes.select("dim", F.ceil(F.col("n") / shard_rows).alias("shards"), F.ceil(F.col("m") / block_queries).alias("blocks"))
+    # one row per vector length, of which there is mostly one; broadcast if there are few indeed
+    sizes = materialise(sizes.select("dim", F.ceil(F.col("n") / shard_rows).alias("shards"), F.ceil(F.col("m") / block_queries).alias("blocks")), "vector-lengths")
+    sizes = F.broadcast(sizes) if sizes.count() <= MAX_BROADCAST_LENGTHS else sizes
     sized = fit.join(sizes, "dim")
 
     def plant(key: tuple, f: pd.DataFrame) -> pd.DataFrame:
         f = f.sort_values("vec_id", kind="stable")
-        return pd.DataFrame({"dim": [key[0]], "shard": [key[1]], "tree": [packed(**build(f["vec_id"].to_numpy(), np.stack(f["v"].to_numpy()), leaf))]})
+        tree = build(f["vec_id"].to_numpy(), np.stack(f["v"].to_numpy()), leaf)
+        return pd.DataFrame({"dim": [key[0]], "shard": [key[1]], "tree": [packed(**tree | {"v": narrow(tree["v"])})]})
 
     def gather(key: tuple, f: pd.DataFrame) -> pd.DataFrame:
         f = f.iloc[np.lexsort((f["v"].map(lambda v: v.tobytes()), f["vec_id"]))]  # the same order whenever it is run
-        return pd.DataFrame({"dim": [key[0]], "block": [key[1]], "queries": [packed(ids=f["vec_id"].to_numpy(), q=np.stack(f["v"].to_numpy()))]})
+        return pd.DataFrame({"dim": [key[0]], "block": [key[1]], "queries": [packed(ids=f["vec_id"].to_numpy(), q=narrow(np.stack(f["v"].to_numpy())))]})
 
     shard = F.pmod(F.xxhash64("vec_id", "v"), F.col("shards"))
     trees = materialise(sized.select("dim", shard.alias("shard"), "vec_id", "v").groupBy("dim", "shard").applyInPandas(plant, "dim int, shard long, tree binary"), "trees")
@@ -176,7 +185,9 @@ def top_k(vectors: DataFrame, k: int = K, every: int = EVERY, shard_rows: int =
                 for row in f.itertuples(index=False):
                     if kept[0] != (row.dim, row.shard):
                         kept = ((row.dim, row.shard), unpacked(row.tree))
+                        kept[1]["v"] = kept[1]["v"].astype(np.float64)
                     asked = unpacked(row.queries)
+                    asked["q"] = asked["q"].astype(np.float64)
                     floor = np.full(len(asked["ids"]), np.iinfo(np.int64).min)
                     if not seed_only and row.floors is not None:
                         for x in row.floors:
@@ -187,7 +198,7 @@ def top_k(vectors: DataFrame, k: int = K, every: int = EVERY, shard_rows: int =
 
     schema = "nth long, query_id long, vec_id long, score long, dim int, block long"
     # the stated queries against all shards, block by block
-    meets = blocks.join(sizes.select("dim", "shards"), "dim").withColumn("shard", F.explode(F.sequence(F.lit(0).cast("long"), F.col("shards") - 1))).join(trees, ["dim", "shard"])
+    meets = blocks.join(sizes, "dim").drop("blocks").withColumn("shard", F.explode(F.sequence(F.lit(0).cast("long"), F.col("shards") - 1))).join(trees, ["dim", "shard"])
     seeds = meets.select("dim", "shard", "block", "queries", "tree").mapInPandas(walk(True), schema)
     floors = _ranked(seeds, k).filter(F.col("rank") == k).groupBy("dim", "block").agg(F.collect_list(F.struct("nth", "score")).alias("floors"))
     found = meets.join(floors, ["dim", "block"], "left").select("dim", "shard", "block", "queries", "tree", "floors").mapInPandas(walk(False), schema)
