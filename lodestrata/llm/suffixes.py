@@ -271,7 +271,9 @@ def _repeats(groups: DataFrame, length: int, shape: str = "spans") -> DataFrame:
         if held:
             yield table(held)
 
-    return groups.select("key", "h1", "h2", "body").repartition("key").sortWithinPartitions("key").mapInArrow(work, declared)
+    # a number of its own, as small partitions that are costly to sort should not be put together
+    parts = int(groups.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    return groups.select("key", "h1", "h2", "body").repartition(parts, "key").sortWithinPartitions("key").mapInArrow(work, declared)
 
 
 def _pieces(bodies: DataFrame, length: int, step: int) -> DataFrame:
