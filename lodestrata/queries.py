@@ -18,6 +18,7 @@ from .plans.runner import materialised
 from .shipping import ship
 from .sources import feedback as sinks
 from .sources import images
+from .sources.tables import read_table, spread
 
 SEGMENT_OVER, PERCENTILE = 0.58, 99
 _OUT: dict[str, tuple[Callable[[SparkSession, str], DataFrame], str | None]] = {}
@@ -31,16 +32,12 @@ def _query(sql: str | None = None):
     return add
 
 
-def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
-    return ship(spark).read.parquet(f"{sf_dir}/{name}.parquet")
-
-
 def _rounded(df: DataFrame) -> DataFrame:
     return df.select(*[F.round(c, 6).alias(c) if t == "double" else F.col(c) for c, t in df.dtypes])
 
 
 def _pixels(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return images.events_as_regions(_table(spark, sf_dir, "events"))
+    return images.events_as_regions(read_table(spark, sf_dir, "events"))
 
 
 def _features(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -48,7 +45,7 @@ def _features(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def _pictures(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return images.from_vectors(_table(spark, sf_dir, "embeddings"))
+    return images.from_vectors(spread(read_table(spark, sf_dir, "embeddings")))
 
 
 def _segmented(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -126,7 +123,7 @@ def feedback_cells(spark, sf_dir):
 
 @_query(f"WITH {_REGIONS} SELECT {_CELLS} FROM features WHERE label IN (SELECT c_custkey FROM customer WHERE c_custkey % 7 = 0)")
 def feedback_lookup(spark, sf_dir):
-    wanted = _table(spark, sf_dir, "customer").filter("c_custkey % 7 = 0").select(F.col("c_custkey").alias("label"))
+    wanted = read_table(spark, sf_dir, "customer").filter("c_custkey % 7 = 0").select(F.col("c_custkey").alias("label"))
     return _rounded(feedback.cells(select.look_up(_features(spark, sf_dir), wanted)))
 
 
