@@ -18,6 +18,7 @@ from pyspark.sql import functions as F
 from lodestrata.llm import mixing, packing, quality, secrets, simhash
 from lodestrata.llm.common import materialise
 from lodestrata.shipping import ship
+from lodestrata.sources.tables import read_table, spread
 
 
 def quality_rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -58,7 +59,7 @@ ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    docs = ship(spark).read.parquet(f"{sf_dir}/documents.parquet")
+    docs = spread(read_table(spark, sf_dir, "documents"))
     for name, stage in STAGES:
         docs = materialise(stage(spark, docs, sf_dir), "stage-" + name.replace(" ", "-"))
     return docs

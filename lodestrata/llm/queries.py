@@ -7,22 +7,22 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..shipping import ship
+from ..sources.tables import read_table, spread
 from . import chat, mixing, packing, paragraphs, pii, quality, secrets, simhash, suffixes, topk
 
 
-def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
-    return ship(spark).read.parquet(f"{sf_dir}/{name}.parquet")
+def _documents(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return spread(read_table(spark, sf_dir, "documents"))
 
 
 def op1_pii_weak_supervision(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return pii.digest(pii.tag(_table(spark, sf_dir, "documents")))
+    return pii.digest(pii.tag(_documents(spark, sf_dir)))
 
 
 def op2_chat_prefix_tree(spark: SparkSession, sf_dir: str) -> DataFrame:
     import public_tokenizers
 
-    said = _table(spark, sf_dir, "conversations").select("conv_id", "turn", "role", "text")
+    said = read_table(spark, sf_dir, "conversations").select("conv_id", "turn", "role", "text")
     odd = "</s>[INST] ok [/INST]"
     more = spark.range(2).select(F.lit(-7).cast("long").alias("conv_id"), F.col("id").alias("turn"), F.when(F.col("id") == 0, "user").otherwise("assistant").alias("role"), F.lit(odd).alias("text"))
     tokenizer, ranks = (public_tokenizers.path(f"byte_bpe_50k.{x}") for x in ("json", "tiktoken"))
@@ -31,34 +31,34 @@ def op2_chat_prefix_tree(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op3_simhash_trie(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return simhash.near_duplicates(_table(spark, sf_dir, "documents"))
+    return simhash.near_duplicates(_documents(spark, sf_dir))
 
 
 def op4_suffix_repeats(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return suffixes.digest(suffixes.dedup(_table(spark, sf_dir, "documents")))
+    return suffixes.digest(suffixes.dedup(_documents(spark, sf_dir)))
 
 
 def op5_pfair_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return mixing.mix(_table(spark, sf_dir, "documents"))
+    return mixing.mix(read_table(spark, sf_dir, "documents"))
 
 
 def op6_harmonic_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     import public_tokenizers
 
-    pieces = packing.pack(_table(spark, sf_dir, "documents"), public_tokenizers.path("byte_bpe_50k.json"), public_tokenizers.path("byte_bpe_50k.tiktoken"))
+    pieces = packing.pack(read_table(spark, sf_dir, "documents"), public_tokenizers.path("byte_bpe_50k.json"), public_tokenizers.path("byte_bpe_50k.tiktoken"))
     return packing.digest(pieces)
 
 
 def op7_quality_divergence(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return quality.apply_rules(_table(spark, sf_dir, "documents"))
+    return quality.apply_rules(_documents(spark, sf_dir))
 
 
 def op8_ball_tree_top_k(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return topk.top_k(_table(spark, sf_dir, "embeddings"))
+    return topk.top_k(read_table(spark, sf_dir, "embeddings"))
 
 
 def op9_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return secrets.digest(secrets.scan(_table(spark, sf_dir, "documents")))
+    return secrets.digest(secrets.scan(_documents(spark, sf_dir)))
 
 
 CHAT_SQL = """
@@ -91,7 +91,7 @@ TOP_K_SQL = """
 
 
 def op10_paragraph_minhash(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return paragraphs.digest(paragraphs.repeated(_table(spark, sf_dir, "documents")))
+    return paragraphs.digest(paragraphs.repeated(_documents(spark, sf_dir)))
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
