@@ -15,7 +15,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from lodestrata.llm import mixing, packing, quality, secrets, simhash
+from lodestrata.llm import copies, mixing, packing, quality, secrets
 from lodestrata.llm.common import materialise
 from lodestrata.shipping import ship
 from lodestrata.sources.tables import read_table, spread
@@ -28,7 +28,7 @@ def quality_rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFram
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     ship(spark)
-    return simhash.one_of_each(docs)
+    return copies.one_of_each(docs)
 
 
 def secret_scan(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
