@@ -14,6 +14,7 @@ passage is taken from both. Words are split at ASCII blanks, A-Z in lower case;
 3. Components over the links make clusters. A cluster counts if it has paragraphs of two documents at least; in the
    first (the smallest doc_id, nulls last) its first paragraph stays, and all others are removed. Equal
    passages that overlap in their document, as in a run of one word, are one.
+4. Documents of a cluster are linked to its first; components over these links are the classes of documents.
 
 The result has a row for each document with such a paragraph and none for the others. Null and empty texts have no
 paragraphs; rows of one doc_id are one document, however often repeated. Spans are code points, end exclusive.
@@ -221,7 +222,7 @@ def _links(marked: DataFrame, docs: DataFrame, threshold: float, block: int) ->
 
 
 def repeated(docs: DataFrame, threshold: float = THRESHOLD, block: int = BLOCK) -> DataFrame:
-    """One row per document with a paragraph that another document has too, or nearly: doc_id, component_id (the smallest doc_id that shares one with it), n_paragraphs, n_removed (code points) and the removed spans."""
+    """One row per document with a paragraph that another document has too, or nearly: doc_id, component_id (the smallest doc_id of its component over documents that share one), n_paragraphs, n_removed (code points) and the removed spans."""
     marked = materialise(paragraphs(docs, *tune(threshold)), "paragraphs")
     spark = docs.sparkSession
     release(spark)
@@ -244,8 +245,10 @@ def repeated(docs: DataFrame, threshold: float = THRESHOLD, block: int = BLOCK)
     # written, so that a cluster with very many paragraphs can be split when joined
     first = materialise(found.filter("doc_id = least").groupBy("kind", "r1", "r2").agg(F.min("start").alias("first")), "paragraph-first")
     placed = found.join(first, ["kind", "r1", "r2"]).withColumn("stays", (F.col("doc_id") == F.col("least")) & (F.col("start") == F.col("first")))
-    each = placed.groupBy("doc_id").agg(F.min("least").alias("component_id"), F.count("*").alias("n_paragraphs"), F.array_sort(F.collect_set(F.when(~F.col("stays"), F.struct("start", "end")))).alias("spans"))
+    each = placed.groupBy("doc_id").agg(F.count("*").alias("n_paragraphs"), F.array_sort(F.collect_set(F.when(~F.col("stays"), F.struct("start", "end")))).alias("spans"))
     spans = F.aggregate("spans", F.array().cast("array<struct<start:int,end:int>>"), _absorb)
+    roots = components(materialise(found.select(F.col("doc_id").alias("a"), F.col("least").alias("b")).filter("a <> b").distinct(), "paragraph-shared"), "paragraph-documents")
+    each = each.join(roots.select(F.col("node").alias("doc_id"), F.col("root").alias("component_id")), "doc_id")
     each = each.select(F.when(F.col("doc_id") != _NO_DOC, F.col("doc_id")).alias("doc_id"), F.when(F.col("component_id") != _NO_DOC, F.col("component_id")).alias("component_id"), "n_paragraphs", spans.alias("spans"))
     removed = F.aggregate("spans", F.lit(0).cast("long"), lambda a, s: a + s["end"] - s["start"])
     return each.select("doc_id", "component_id", "n_paragraphs", removed.alias("n_removed"), "spans")

@@ -99,3 +99,11 @@ def test_recall_of_bands():
 
 def test_no_documents(spark):
     assert paragraphs.digest(paragraphs.repeated(spark.createDataFrame([], "doc_id long, text string"))).count() == 0
+
+
+def test_component_of_a_chain_of_documents(spark):
+    rng = random.Random(9)
+    a, b, c = (" ".join(words(rng, 60)) for _ in range(3))
+    texts = {1: a, 5: a + "\n" + b, 7: b + "\n" + c, 8: c, 20: " ".join(words(rng, 60))}
+    df = spark.createDataFrame(list(texts.items()), "doc_id long, text string")
+    assert {r.doc_id: r.component_id for r in paragraphs.repeated(df).collect()} == {1: 1, 5: 1, 7: 1, 8: 1}
