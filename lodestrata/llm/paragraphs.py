@@ -1,6 +1,6 @@
 """Substring dedup by paragraph MinHash: passages that documents share, exactly or nearly.
 
-Paragraphs are of two kinds. ``line``: a line of at least MIN_WORDS words. ``passage``: PASSAGE words from an anchor on,
+Paragraphs are of two kinds. ``line``: a line of at least min_words words; the query takes SHINGLE, the least that has a shingle. ``passage``: PASSAGE words from an anchor on,
 the anchor being the least hash of 3 neighbouring words, leftmost of several, in any ANCHOR such triples; anchors depend on the
 words alone, so of any ANCHOR + PASSAGE - 1 = 51 words that two documents share, wherever they stand in their lines, the same
 passage is taken from both. Words are split at ASCII blanks, A-Z in lower case; shingles are 5 words.
@@ -51,9 +51,9 @@ def tune(threshold: float = THRESHOLD, recall: float = RECALL, bands: int = MAX_
 class Marker:
     """Paragraphs of a buffer of texts."""
 
-    def __init__(self, bands: int, rows: int):
+    def __init__(self, bands: int, rows: int, min_words: int = MIN_WORDS):
         self.hashers = Hasher(20240511), Hasher(20240613)
-        self.bands, self.rows = bands, rows
+        self.bands, self.rows, self.min_words = bands, rows, max(min_words, SHINGLE)
         self.factors = np.random.default_rng(20240717).integers(0, 1 << 63, bands * rows, np.uint64) * np.uint64(2) + np.uint64(1)
 
     def signatures(self, shingles: np.ndarray, starts: np.ndarray) -> np.ndarray:
@@ -85,7 +85,7 @@ class Marker:
         n = len(first)
         new = np.flatnonzero(np.concatenate(([True], (doc[1:] != doc[:-1]) | (line[1:] != line[:-1]))))
         stop = np.append(new[1:], n)
-        long = stop - new >= MIN_WORDS
+        long = stop - new >= self.min_words
         la, lb = new[long], stop[long]
         # shingles of the long lines, one run per line
         sizes = lb - la - SHINGLE + 1
@@ -121,11 +121,11 @@ class Marker:
         return {k: v[at] for k, v in p.items()} | {"end": p["end"][np.append(at[1:], len(new)) - 1]}
 
 
-def paragraphs(docs: DataFrame, bands: int, rows: int) -> DataFrame:
+def paragraphs(docs: DataFrame, bands: int, rows: int, min_words: int = MIN_WORDS) -> DataFrame:
     """One row per paragraph: doc_id (nulls as the largest long), th, kind, h1, h2, start, end, and the band keys of lines."""
 
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        marker = Marker(bands, rows)
+        marker = Marker(bands, rows, min_words)
         for batch in batches:
             ids, th = batch.column(0).fill_null(_NO_DOC).to_numpy(zero_copy_only=False), batch.column(1).to_numpy()
             for at, _, data, bounds in grouped(batch):
@@ -221,9 +221,9 @@ def _links(marked: DataFrame, docs: DataFrame, threshold: float, block: int) ->
     return dealt.mapInArrow(work, "a string, b string")
 
 
-def repeated(docs: DataFrame, threshold: float = THRESHOLD, block: int = BLOCK) -> DataFrame:
+def repeated(docs: DataFrame, threshold: float = THRESHOLD, block: int = BLOCK, min_words: int = MIN_WORDS) -> DataFrame:
     """One row per document with a paragraph that another document has too, or nearly: doc_id, component_id (the smallest doc_id of its component over documents that share one), n_paragraphs, n_removed (code points) and the removed spans."""
-    marked = materialise(paragraphs(docs, *tune(threshold)), "paragraphs")
+    marked = materialise(paragraphs(docs, *tune(threshold), min_words), "paragraphs")
     spark = docs.sparkSession
     release(spark)
     linked = components(materialise(_links(marked, docs, threshold, block), "paragraph-links").distinct(), "paragraph-components")

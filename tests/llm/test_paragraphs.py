@@ -4,7 +4,7 @@ from collections import defaultdict
 import numpy as np
 import pytest
 
-from lodestrata.llm import paragraphs
+from lodestrata.llm import paragraphs, queries
 
 
 def words(rng, n):
@@ -107,3 +107,15 @@ def test_component_of_a_chain_of_documents(spark):
     texts = {1: a, 5: a + "\n" + b, 7: b + "\n" + c, 8: c, 20: " ".join(words(rng, 60))}
     df = spark.createDataFrame(list(texts.items()), "doc_id long, text string")
     assert {r.doc_id: r.component_id for r in paragraphs.repeated(df).collect()} == {1: 1, 5: 1, 7: 1, 8: 1}
+
+
+def test_the_query_sees_short_lines(spark, tmp_path):
+    rng = random.Random(10)
+    five, near = " ".join(words(rng, 5)), words(rng, 30)
+    alone = lambda: " ".join(words(rng, 60))
+    edited = " ".join([*near[:-1], "other"])
+    texts = {1: five + "\n" + alone(), 2: alone() + "\n" + five, 3: " ".join(near) + "\n" + alone(), 4: alone() + "\n" + edited, 5: alone()}
+    spark.createDataFrame(list(texts.items()), "doc_id long, text string").write.parquet(str(tmp_path / "documents.parquet"))
+    got = {r.doc_id: r for r in queries.op10_paragraph_minhash(spark, str(tmp_path)).collect()}
+    assert {d: got[d].component_id for d in (1, 2, 3, 4)} == {1: 1, 2: 1, 3: 3, 4: 3}
+    assert got[2].n_removed == len(five) and got[4].n_removed == len(edited)
