@@ -16,7 +16,7 @@ passage is taken from both. Words are split at ASCII blanks, A-Z in lower case;
    passages that overlap in their document, as in a run of one word, are one.
 4. Documents of a cluster are linked to its first; components over these links are the classes of documents.
 
-The result has a row for each document with such a paragraph and none for the others. Null and empty texts have no
+``repeated`` has a row for each document with such a paragraph and none for the others; ``every`` has all rows. Null and empty texts have no
 paragraphs; rows of one doc_id are one document, however often repeated. Spans are code points, end exclusive.
 """
 
@@ -260,6 +260,14 @@ def _absorb(merged, s):
     return F.when((F.size(merged) > 0) & (last["end"] >= s["start"]), grown).otherwise(F.concat(merged, F.array(s)))
 
 
+def every(docs: DataFrame, found: DataFrame) -> DataFrame:
+    """One row per row of docs: its row of ``found``, or its own doc_id as component_id, zero counts and no spans."""
+    ids, found = docs.select(F.col("doc_id").cast("long").alias("doc_id")), found.withColumnRenamed("doc_id", "_doc")
+    none, zero = F.array().cast("array<struct<start:int,end:int>>"), F.lit(0).cast("long")
+    joined = ids.join(found, F.col("doc_id").eqNullSafe(F.col("_doc")), "left")
+    return joined.select("doc_id", F.coalesce("component_id", "doc_id").alias("component_id"), F.coalesce("n_paragraphs", zero).alias("n_paragraphs"), F.coalesce("n_removed", zero).alias("n_removed"), F.coalesce("spans", none).alias("spans"))
+
+
 def digest(found: DataFrame) -> DataFrame:
     joined = F.array_join(F.transform("spans", lambda s: F.concat_ws(":", s["start"].cast("string"), s["end"].cast("string"))), ",")
     return found.select("doc_id", "component_id", "n_paragraphs", "n_removed", joined.alias("spans"))

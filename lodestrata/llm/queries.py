@@ -91,7 +91,8 @@ TOP_K_SQL = """
 
 
 def op10_paragraph_minhash(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return paragraphs.digest(paragraphs.repeated(_documents(spark, sf_dir), min_words=paragraphs.SHINGLE))
+    docs = _documents(spark, sf_dir)
+    return paragraphs.digest(paragraphs.every(docs, paragraphs.repeated(docs, min_words=paragraphs.SHINGLE)))
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:

@@ -119,3 +119,14 @@ def test_the_query_sees_short_lines(spark, tmp_path):
     got = {r.doc_id: r for r in queries.op10_paragraph_minhash(spark, str(tmp_path)).collect()}
     assert {d: got[d].component_id for d in (1, 2, 3, 4)} == {1: 1, 2: 1, 3: 3, 4: 3}
     assert got[2].n_removed == len(five) and got[4].n_removed == len(edited)
+
+
+def test_the_query_has_every_row(spark, tmp_path):
+    same = " ".join(words(random.Random(11), 60))
+    rows = [(1, same), (4, same), (4, same), (6, None), (7, ""), (9, "alone"), (None, "nothing shared"), (None, None)]
+    spark.createDataFrame(rows, "doc_id long, text string").write.parquet(str(tmp_path / "documents.parquet"))
+    got = [tuple(r) for r in queries.op10_paragraph_minhash(spark, str(tmp_path)).collect()]
+    none = [(d, d, 0, 0, "") for d in (6, 7, 9, None, None)]
+    shared = [r for r in got if r[0] in (1, 4)]
+    assert sorted((r for r in got if r not in shared), key=repr) == sorted(none, key=repr)
+    assert sorted((r[0], r[1], r[3]) for r in shared) == [(1, 1, 0), (4, 1, len(same)), (4, 1, len(same))]
