@@ -34,8 +34,9 @@ MIN_ASSIGN, MIN_ACCESS, MIN_HEX = 6, 20, 24
 
 GITHUB = re.compile(rb"gh[pousr]_[A-Za-z0-9]{36}(?![A-Za-z0-9])")
 NPM = re.compile(rb"npm_[A-Za-z0-9]{36}(?![A-Za-z0-9])")
-JWT = re.compile(rb"eyJ[A-Za-z0-9_-]{8,4096}+\.[A-Za-z0-9_-]{2,16384}+\.[A-Za-z0-9_-]++")
-PEM = re.compile(rb"-----BEGIN (?:[A-Z]{2,12} ){0,3}PRIVATE KEY-----[A-Za-z0-9+/=\s]{16,16384}-----END (?:[A-Z]{2,12} ){0,3}PRIVATE KEY-----")
+JWT = re.compile(rb"eyJ[A-Za-z0-9_-]{8,}+\.[A-Za-z0-9_-]{2,}+\.[A-Za-z0-9_-]++")
+JWT_RUN = re.compile(rb"eyJ[A-Za-z0-9_-]*+")
+PEM = re.compile(rb"-----BEGIN (?:[A-Z]{2,12} ){0,3}PRIVATE KEY-----(?:\s*+[A-Za-z][A-Za-z0-9-]*+:(?:(?!-----)[^\n])*+\n)*+[A-Za-z0-9+/=\s]{16,}+-----END (?:[A-Z]{2,12} ){0,3}PRIVATE KEY-----")
 KEYWORDS = {
     "password": "assign", "passwd": "assign", "secret": "assign", "token": "assign", "apikey": "assign", "api_key": "assign",
     "akia": "access", "ghp_": "github", "gho_": "github", "ghu_": "github", "ghs_": "github", "ghr_": "github",
@@ -100,6 +101,8 @@ def spans_of_bytes(raw: bytes) -> list[tuple[int, int, str]]:
             ends[kind] = m.end()
             if valid(kind, m):
                 out.append((at, m.end(), kind))
+        elif kind == "jwt" and at >= ends[kind] and (m := JWT_RUN.match(raw, at)):
+            ends[kind] = m.end()  # later hits in this run would fail at the same place; without this, time is quadratic
     for last, size in runs.iter(raw.translate(_HEX_CLASSES).decode("latin-1")):
         if (at := last - size + 1) >= ends["hex"]:
             ends["hex"] = HEX.match(raw, at).end()

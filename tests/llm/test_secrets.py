@@ -3,6 +3,7 @@ import hashlib
 import json
 import random
 import re
+import time
 
 from lodestrata.llm import secrets
 
@@ -70,3 +71,19 @@ def test_redaction(spark):
 def test_no_documents(spark):
     none = spark.createDataFrame([], "doc_id long, text string")
     assert secrets.digest(secrets.scan(none)).count() == 0 and secrets.redact(none).count() == 0
+
+
+def test_long_tokens_and_keys_are_whole():
+    head = base64.urlsafe_b64encode(b'{"alg":"none","x":"' + b"y" * 6000 + b'"}').rstrip(b"=").decode()
+    for token in (head + ".abc.def", "eyJhbGciOiJub25lIn0." + "p" * 40000 + ".sig"):
+        assert secrets.redacted(f"a {token} b") == "a [SECRET] b"
+    for inside in ("A" * 40000, "Proc-Type: 4,ENCRYPTED\nDEK-Info: AES-128-CBC,0123456789ABCDEF\n\n" + "Ab0+" * 20):
+        key = f"-----BEGIN RSA PRIVATE KEY-----\n{inside}\n-----END RSA PRIVATE KEY-----"
+        assert secrets.redacted(f"a {key} b") == "a [SECRET] b"
+
+
+def test_unfinished_tokens_and_keys_take_linear_time():
+    began = time.process_time()
+    for part in ("eyJ", "eyJabcdefgh.", "-----BEGIN PRIVATE KEY-----\nA:", "-----BEGIN PRIVATE KEY-----\n"):
+        assert not [s for s in secrets.spans_of(part * (600_000 // len(part))) if s[0] == "pem"]
+    assert time.process_time() - began < 10
