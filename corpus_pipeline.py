@@ -4,8 +4,8 @@ All stages but the last return the columns of documents. Quality rules drop what
 near-duplicates one document stays; secrets are replaced in the texts; the mixture repeats documents of
 sources above their natural share and puts rows in its order; packing returns the pieces of the sequences.
 
-Null and empty texts fail the quality rules. Documents without an id can't be told apart by it, so near-dedup keeps
-them all; a repeated id keeps one row. A null text stays null in the secret scan and is one token in the packing. A null
+Null and empty texts fail the quality rules. Near-dedup drops rows, not ids; rows without an id are
+held to each other only. A null text stays null in the secret scan and is one token in the packing. A null
 source is a source. An empty table stays empty, and further columns are kept through all stages but the last.
 """
 

@@ -68,14 +68,16 @@ def marks(docs: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
 
 
 def one_of_each(docs: DataFrame, threshold: float = THRESHOLD, block: int = BLOCK) -> DataFrame:
-    """The documents, with all columns, less all but one of each component of near copies: the smallest doc_id stays. Rows without doc_id can't be named by one; all stay."""
-    named = docs.filter("doc_id IS NOT NULL")
-    marked = materialise(marks(named, threshold), "copies")
-    linked = components(materialise(_links(marked, named, threshold, block), "copies-links").distinct(), "copies-components")
+    """The documents, with all columns, less all but one row of each component of near copies: that of the smallest doc_id, then the least text hash. Rows without doc_id are held to each other only, and one of them stays besides."""
+    marked = materialise(marks(docs, threshold), "copies")
+    linked = components(materialise(_links(marked, docs, threshold, block), "copies-links").distinct(), "copies-components")
+    nameless = (F.col("doc_id") == _NO_DOC).alias("nameless")
     # written combined, so that a text with very many copies is one row in the join
-    least = materialise(marked.groupBy("h1", "h2").agg(F.min("doc_id").alias("least")).withColumn("node", F.concat(F.hex("h1"), F.lit(":"), F.hex("h2"))), "copies-least")
+    least = marked.groupBy("h1", "h2", nameless).agg(F.min(F.struct("doc_id", "th")).alias("least"))
+    least = materialise(least.withColumn("node", F.concat(F.hex("h1"), F.lit(":"), F.hex("h2"))), "copies-least")
     homes = least.join(linked, "node", "left").withColumn("root", F.coalesce("root", "node"))
-    kept = homes.groupBy("root").agg(F.min("least").alias("_kept")).select("_kept")
-    rest = named.join(kept, named["doc_id"].cast("long") == kept["_kept"], "left_semi")
-    nth = F.row_number().over(Window.partitionBy("doc_id").orderBy(F.xxhash64("text")))
-    return rest.select(whole_row(docs), "doc_id", "text").withColumn("nth", nth).filter("nth = 1").select("row.*").union(docs.filter("doc_id IS NULL"))
+    kept = homes.groupBy("root", "nameless").agg(F.min("least").alias("k")).select(F.col("k.doc_id").alias("id"), F.col("k.th").alias("th"))
+    raw = F.coalesce(F.col("text").cast("string"), F.lit("")).cast("binary")
+    keyed = docs.select(whole_row(docs), F.coalesce(F.col("doc_id").cast("long"), F.lit(_NO_DOC)).alias("id"), F.xxhash64(raw).alias("th"))
+    nth = F.row_number().over(Window.partitionBy("id", "th").orderBy(F.xxhash64("row")))
+    return keyed.join(kept, ["id", "th"], "left_semi").withColumn("nth", nth).filter("nth = 1").select("row.*")

@@ -47,3 +47,12 @@ def test_real_documents(spark):
     docs = spark.read.parquet("/root/testdata/sf0.001/documents.parquet")
     want = brute({r.doc_id: r.text for r in docs.collect()})
     assert {r.doc_id for r in copies.one_of_each(docs).collect()} == want
+
+
+def test_rows_not_ids_are_dropped(spark):
+    a, b, c = (" ".join(f"{x}{i}" for i in range(80)) for x in "abc")
+    rows = [(1, a), (2, a), (2, b), (3, b), (5, c), (5, c), (None, a), (None, a), (None, a + " more")]
+    got = copies.one_of_each(spark.createDataFrame([(*r, "n") for r in rows], "doc_id long, text string, nth string"))
+    got = sorted(((r.doc_id, r.text) for r in got.collect()), key=repr)
+    assert [r for r in got if r[0] is not None] == [(1, a), (2, b), (5, c)]
+    assert len([r for r in got if r[0] is None]) == 1
