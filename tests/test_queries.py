@@ -33,3 +33,23 @@ def test_entry(spark):
 
     assert __spark_entry__.entry(spark).count() > 0
     assert set(__spark_entry__.oracle_sql()) <= set(__spark_entry__.queries())
+
+
+def test_entry_without_the_corpus_operators():
+    """Their folders may be removed, with corpus_pipeline.py or without it."""
+    import subprocess
+    import sys
+    import textwrap
+
+    code = """
+        import importlib.util as u, sys
+        real, hidden = u.find_spec, {hidden}
+        u.find_spec = lambda name, package=None: None if name in hidden else real(name, package)
+        sys.modules |= dict.fromkeys(hidden)
+        import __spark_entry__ as e
+        names = set(e.queries())
+        assert names and not any(n.startswith("op") or n == "pipeline" for n in names) and set(e.oracle_sql()) <= names
+    """
+    for hidden in (("lodestrata.llm", "lodestrata.llm.queries"), ("lodestrata.llm", "lodestrata.llm.queries", "corpus_pipeline")):
+        done = subprocess.run([sys.executable, "-c", textwrap.dedent(code.format(hidden=hidden))], capture_output=True, text=True, timeout=120)
+        assert done.returncode == 0, done.stderr
