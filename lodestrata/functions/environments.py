@@ -40,5 +40,6 @@ def conda_info(executable: str | None = None) -> dict[str, Any]:
 
 
 def conda_executable(info: dict[str, Any]) -> str:
-    listed = os.path.join(info.get("root_prefix") or "", "bin", "conda")
-    return listed if os.path.exists(listed) else os.environ.get("CONDA_EXE", "conda")
+    """The executable that conda's JSON names, if it exists, else the one of the environment, else the plain name."""
+    listed = info.get("conda_exe")
+    return listed if listed and os.path.exists(listed) else os.environ.get("CONDA_EXE", "conda")

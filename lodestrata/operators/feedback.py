@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+#: Records that a document may hold.
+MAX_RECORDS = 100_000
 CELL_FIELDS = ("label", "centroid_x", "centroid_y", "area", "mean_intensity", "eccentricity")
 
 
@@ -15,13 +17,14 @@ def cells(selected: DataFrame) -> DataFrame:
 
 
 def document(records: DataFrame, counted: DataFrame, label: str, feature: str, percentile: float, threshold: float | None, at: str) -> DataFrame:
-    """One row: criteria, counts and records in order of label. The selection is what a person will look at, so it fits a row."""
+    """One row: criteria, counts and records in order of label. More than MAX_RECORDS records are an error: keep them as a table."""
+    if records.limit(MAX_RECORDS + 1).count() > MAX_RECORDS:
+        raise ValueError(f"over {MAX_RECORDS} records: they are no document for a person; write the records as a table")
     body = records.agg(F.count("*").alias("n_selected"), F.array_sort(F.collect_list(F.struct(*CELL_FIELDS))).alias("cells"))
-    return counted.join(F.broadcast(body)).select(
-        F.lit(at).alias("datetime"), F.lit(label).alias("label"),
-        F.struct(F.lit(feature).alias("feature"), F.lit(float(percentile)).alias("percentile"), F.lit(threshold).cast("double").alias("threshold")).alias("selection_criteria"),
-        "n_selected", F.col("n_cells").alias("n_total"), "cells",
-    )
+    criteria = F.struct(F.lit(feature).alias("feature"), F.lit(float(percentile)).alias("percentile"), F.lit(threshold).cast("double").alias("threshold"))
+    facts = [F.lit(at).alias("datetime"), F.lit(label).alias("label"), criteria.alias("selection_criteria")]
+    # both sides are one row, of MAX_RECORDS records at most
+    return counted.join(F.broadcast(body)).select(*facts, "n_selected", F.col("n_cells").alias("n_total"), "cells")
 
 
 def report(records: DataFrame) -> DataFrame:

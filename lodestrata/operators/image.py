@@ -50,10 +50,12 @@ def quantise(images: DataFrame) -> DataFrame:
     return images.withColumn("pixels", F.transform("pixels", lambda v: F.floor(v * 255).cast("int")))
 
 
-def to_pixels(images: DataFrame) -> DataFrame:
-    """(image_id, y, x, value), one row per pixel."""
-    each = images.select("image_id", "width", F.posexplode("pixels").alias("i", "value"))
-    return each.select("image_id", F.floor(F.col("i") / F.col("width")).cast("int").alias("y"), (F.col("i") % F.col("width")).cast("int").alias("x"), "value")
+def to_pixels(images: DataFrame, more: tuple[str, ...] = ()) -> DataFrame:
+    """(image_id, y, x, more columns, value), one row per pixel; pictures without pixels give none."""
+    # The outer form, as the plain one adds a filter on the array, which would be computed once more, below a repartition.
+    each = images.select("image_id", "width", *more, F.posexplode_outer("pixels").alias("i", "value")).filter("i IS NOT NULL")
+    y, x = F.floor(F.col("i") / F.col("width")).cast("int"), (F.col("i") % F.col("width")).cast("int")
+    return each.select("image_id", y.alias("y"), x.alias("x"), *more, "value")
 
 
 def smooth_array(image: np.ndarray, sigma: float) -> np.ndarray:

@@ -8,6 +8,8 @@ however many pixels a region has.
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
 import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame
@@ -35,43 +37,50 @@ def region_properties(pixels: DataFrame, keys: tuple[str, ...] = ("label",), fea
     return pixels.filter(F.col("label") > 0).groupBy(*keys).agg(*[made[f].alias(f) for f in features])
 
 
-def hull(points: np.ndarray) -> np.ndarray:
-    """Corners of the convex hull of (y, x) points, counter-clockwise."""
-    points = np.unique(points, axis=0)
+def _chain(points: list[tuple[int, float]]) -> tuple[list[int], list[float]]:
+    """The upper concave chain over points of rising first and any second coordinate."""
+    ys: list[int] = []
+    xs: list[float] = []
+    for y, x in points:
+        while len(ys) > 1 and (ys[-1] - ys[-2]) * (x - xs[-2]) >= (xs[-1] - xs[-2]) * (y - ys[-2]):
+            ys.pop()
+            xs.pop()
+        ys.append(y)
+        xs.append(x)
+    return ys, xs
 
-    def chain(ps: np.ndarray) -> list[np.ndarray]:
-        out: list[np.ndarray] = []
-        for p in ps:
-            while len(out) > 1 and (out[-1][0] - out[-2][0]) * (p[1] - out[-2][1]) - (out[-1][1] - out[-2][1]) * (p[0] - out[-2][0]) <= 0:
-                out.pop()
-            out.append(p)
-        return out[:-1]
 
-    return np.array(chain(points) + chain(points[::-1]))
+def _edge(rows: np.ndarray, ends: np.ndarray) -> np.ndarray:
+    """For each row from the first to the last, how far the hull around the pixels' edge midpoints reaches to the right."""
+    # In half rows: a pixel's midpoints stand half a row above and below it, and half a column to its right.
+    y = np.concatenate((2 * rows - 1, 2 * rows, 2 * rows + 1))
+    x = np.concatenate((ends, ends + 0.5, ends)).astype(float)
+    order = np.lexsort((-x, y))
+    y, x = y[order], x[order]
+    outer = np.concatenate(([True], y[1:] != y[:-1]))
+    ys, xs = _chain(list(zip(y[outer].tolist(), x[outer].tolist(), strict=True)))
+    return np.interp(2 * np.arange(rows[0], rows[-1] + 1), ys, xs)
 
 
 def hull_area(rows: np.ndarray, first: np.ndarray, last: np.ndarray) -> int:
-    """Pixels whose centres lie in or on the hull around the pixels' edge midpoints."""
-    y, x = np.concatenate((rows, rows)).astype(float), np.concatenate((first, last)).astype(float)
-    corners = hull(np.concatenate([np.stack((y + a, x + b), axis=1) for a, b in ((0.5, 0), (-0.5, 0), (0, 0.5), (0, -0.5))]))
-    a, b = corners, np.roll(corners, -1, axis=0)
-    lo, hi = np.minimum(a[:, 0], b[:, 0]), np.maximum(a[:, 0], b[:, 0])
-    steep = hi > lo
-    total = 0
-    for row in range(int(rows.min()), int(rows.max()) + 1):
-        on = steep & (lo <= row) & (row <= hi)
-        at = a[on, 1] + (row - a[on, 0]) / (b[on, 0] - a[on, 0]) * (b[on, 1] - a[on, 1])
-        total += int(np.floor(at.max() + 1e-9) - np.ceil(at.min() - 1e-9)) + 1
-    return total
+    """Pixels whose centres lie in or on the hull around the pixels' edge midpoints; rows are rising, first and last their ends."""
+    rows, first, last = (np.asarray(a, np.int64) for a in (rows, first, last))
+    right, left = _edge(rows, last), -_edge(rows, -first)
+    return int((np.floor(right + 1e-9) - np.ceil(left - 1e-9) + 1).sum())
 
 
 def region_solidity(pixels: DataFrame, keys: tuple[str, ...] = ("label",)) -> DataFrame:
-    """area (distinct pixels), convex_area and solidity per region."""
-    spans = pixels.filter(F.col("label") > 0).select(*keys, "y", "x").distinct().groupBy(*keys, "y").agg(F.min("x").alias("first"), F.max("x").alias("last"), F.count("*").alias("n"))
-    types = dict(spans.dtypes)
-
-    def measure(key: tuple, f: pd.DataFrame) -> pd.DataFrame:
-        area, convex = int(f["n"].sum()), hull_area(f["y"].to_numpy(), f["first"].to_numpy(), f["last"].to_numpy())
-        return pd.DataFrame([[*key, area, convex, area / convex]], columns=[*keys, "area", "convex_area", "solidity"])
-
-    return spans.groupBy(*keys).applyInPandas(measure, ", ".join(f"{k} {types[k]}" for k in keys) + ", area long, convex_area long, solidity double")
+    """area (distinct pixels), convex_area and solidity per region. A region is one row of its rows' ends, and a batch has many regions."""
+    spans = pixels.filter(F.col("label") > 0).select(*keys, "y", "x").distinct()
+    spans = spans.groupBy(*keys, "y").agg(F.min("x").alias("first"), F.max("x").alias("last"), F.count("*").alias("n"))
+    ends = F.array_sort(F.collect_list(F.struct("y", "first", "last")))
+    whole = spans.groupBy(*keys).agg(F.sum("n").alias("area"), ends.alias("ends"))
+    types = dict(whole.dtypes)
+
+    def work(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for f in frames:
+            convex = [hull_area(*z) for z in zip(f["y"], f["first"], f["last"], strict=True)]
+            yield f[[*keys, "area"]].assign(convex_area=np.array(convex, np.int64), solidity=f["area"] / np.array(convex))
+
+    each = whole.select(*keys, "area", *[F.col("ends")[c].alias(c) for c in ("y", "first", "last")])
+    return each.mapInPandas(work, ", ".join(f"{k} {types[k]}" for k in keys) + ", area long, convex_area long, solidity double")

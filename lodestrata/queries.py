@@ -14,11 +14,11 @@ from pyspark.sql import functions as F
 from .functions import environments as envs
 from .functions import hardware
 from .operators import feedback, image, regions, segment, select
-from .plans.runner import materialised
 from .shipping import ship
 from .sources import feedback as sinks
 from .sources import images
 from .sources.tables import read_table, spread
+from .storage import new_folder, written
 
 SEGMENT_OVER, PERCENTILE = 0.58, 99
 _OUT: dict[str, tuple[Callable[[SparkSession, str], DataFrame], str | None]] = {}
@@ -96,16 +96,17 @@ _BY_FEATURE = " UNION ALL ".join(
 
 @_query(f"WITH {_REGIONS} {_BY_FEATURE}")
 def rare_event_by_feature(spark, sf_dir):
-    features, out = materialised(_features(spark, sf_dir)), None  # read once per feature and pass
-    for f in ("centroid_y", "centroid_x", "mean_intensity", "max_intensity", "major_axis_length"):
-        one = select.at_or_above(features, f, select.exact_percentile(features, f, 95)).select(F.lit(f).alias("feature"), "label")
+    names = ("centroid_y", "centroid_x", "mean_intensity", "max_intensity", "major_axis_length")
+    features, out = written(_features(spark, sf_dir).select("label", *names)), None  # read once per feature and pass
+    for f, threshold in select.exact_percentiles(features, dict.fromkeys(names, 95.0)).items():
+        one = select.at_or_above(features, f, threshold).select(F.lit(f).alias("feature"), "label")
         out = one if out is None else out.union(one)
     return out
 
 
 @_query(f"WITH {_SELECTED} SELECT label FROM selected")
 def selected_labels(spark, sf_dir):
-    return select.select_rare(_features(spark, sf_dir)).select("label").orderBy("label")
+    return select.select_rare(_features(spark, sf_dir).select("label", "area")).select("label").orderBy("label")
 
 
 @_query(f"WITH {_REGIONS} SELECT coalesce(CAST(max(label) AS BIGINT), 0) AS n_cells FROM pixels WHERE label > 0")
@@ -134,7 +135,7 @@ def feedback_summary(spark, sf_dir):
 
 
 def _document(spark: SparkSession, sf_dir: str) -> DataFrame:
-    features = materialised(_features(spark, sf_dir))
+    features = written(_features(spark, sf_dir))
     threshold = select.exact_percentile(features, "area", PERCENTILE)
     records = feedback.cells(select.at_or_above(features, "area", threshold))
     return feedback.document(records, segment_count(spark, sf_dir), "run", "area", PERCENTILE, threshold, "20260101-000000")
@@ -151,6 +152,14 @@ def feedback_json(spark, sf_dir):
     return sinks.as_json(_document(spark, sf_dir))
 
 
+@_query(f"WITH {_SELECTED} SELECT 'run' AS label, '20260101-000000' AS datetime, 'area' AS feature, (SELECT count(*) FROM selected) AS n_selected, (SELECT coalesce(max(label), 0) FROM pixels WHERE label > 0) AS n_total, CAST(label AS INTEGER) AS cell, area FROM selected")
+def feedback_json_parsed(spark, sf_dir):
+    """The document's text, read as JSON again: a row per record."""
+    schema = "datetime string, label string, selection_criteria struct<feature:string>, n_selected long, n_total long, cells array<struct<label:int,area:long>>"
+    read = sinks.as_json(_document(spark, sf_dir)).select(F.from_json("document", schema).alias("d")).select("d.*", F.explode("d.cells").alias("c"))
+    return read.select("label", "datetime", "selection_criteria.feature", "n_selected", "n_total", F.col("c.label").alias("cell"), F.col("c.area").alias("area"))
+
+
 @_query(f"WITH {_SELECTED} SELECT CAST(label AS INTEGER) AS label, printf('label=%3d  pos=(%.1f, %.1f)  area=%dpx', label, centroid_x, centroid_y, area) AS line FROM selected")
 def cell_report(spark, sf_dir):
     return feedback.report(feedback.cells(select.select_rare(_features(spark, sf_dir))))
@@ -190,7 +199,17 @@ def clahe(spark, sf_dir):
 def image_scan(spark, sf_dir):
     deep = _pictures(spark, sf_dir).withColumn("pixels", F.transform("pixels", lambda v: F.floor(v * 65535).cast("int")))
     back = images.decode_images(images.encode_tiff(deep)).withColumn("image_id", F.split("path", r"\.")[0].cast("long"))
-    return image.to_pixels(back).join(back.select("image_id", "depth"), "image_id").select("image_id", "y", "x", "depth", "value")
+    return image.to_pixels(back, ("depth",))
+
+
+@_query(f"WITH {_GRID} SELECT image_id, y, x, 8 AS depth, CAST(floor(value * 255) AS DOUBLE) AS value FROM grid")
+def image_files(spark, sf_dir):
+    """Pictures of 8 bits, written as files and read from their folder."""
+    flat = _pictures(spark, sf_dir).withColumn("pixels", F.transform("pixels", lambda v: F.floor(v * 255).cast("int")))
+    folder = new_folder(spark)
+    images.write_files(images.encode_tiff(flat, 8), folder)
+    back = images.read_images(spark, folder, "*.tif").withColumn("image_id", F.regexp_extract("path", r"(-?[0-9]+)\.tif$", 1).cast("long"))
+    return image.to_pixels(back, ("depth",))
 
 
 _COMPONENTS = f"""
@@ -252,12 +271,14 @@ def pipeline_mixed(spark, sf_dir):
     return _rows(spark, "step string, stage string, before string", [(n, s[n]["params_used"]["stage"], ",".join(s[n].get("previous_steps_found", []))) for n in ("step_local", "step_local_2")])
 
 
-@_query("SELECT * FROM (VALUES ('step_local', true), ('step_write_data', true), ('metadata', false)) t(step, counted)")
+@_query("SELECT * FROM (VALUES ('metadata', false), ('input', false), ('step_local', true), ('step_env_b', true), ('step_local_2', true)) t(step, counted)")
 def previous_steps(spark, sf_dir):
-    keys = _rows(spark, "m map<string,int>", [({"metadata": 0, "input": 0, "step_local": 1, "step_write_data": 2},)])
-    found = keys.select(F.filter(F.map_keys("m"), lambda k: ~k.isin("metadata", "input")).alias("before"))
-    names = _rows(spark, "step string", [("step_local",), ("step_write_data",), ("metadata",)])
-    return names.join(F.broadcast(found)).select("step", F.array_contains("before", F.col("step")).alias("counted"))
+    """The keys of a finished run's state, and which of them are steps."""
+    from .examples.record import earlier_steps
+
+    state = _run(spark, "combined")
+    found = earlier_steps(state)
+    return _rows(spark, "step string, counted boolean", [(name, name in found) for name in state])
 
 
 @_query("SELECT * FROM (VALUES ('step_env', true, 'example--env_b', true), ('step_local_2', true, '', true)) t(step, executed, requested, matched)")
@@ -316,7 +337,7 @@ def pipeline_missing_step(spark, sf_dir):
 
 @_query("SELECT * FROM (VALUES (0, false, false), (1, true, false), (2, false, true), (3, true, true)) t(level, engine, steps)")
 def verbosity_matrix(spark, sf_dir):
-    from .plans.runner import engine_speaks, steps_speak
+    from .plans.voice import engine_speaks, steps_speak
 
     return _rows(spark, "level int, engine boolean, steps boolean", [(v, engine_speaks(v), steps_speak(v)) for v in range(4)])
 
@@ -356,14 +377,10 @@ def gpu_tag(spark, sf_dir):
 
 @_query("SELECT 9 AS total, 9 AS as_expected, true AS all_ok")
 def suite_summary(spark, sf_dir):
-    expected = {"local": True, "mixed": True, "step_env": True, "pipeline_env": True, "combined": True, "data_survival": True, "pickle": True, "error": False, "missing_step": False}
-    rows = []
-    for name, good in expected.items():
-        try:
-            _run(spark, name)
-            rows.append((name, good, True))
-        except Exception:
-            rows.append((name, good, False))
+    from .examples import suite
+
+    ship(spark)
+    rows = [(name, good, passed) for name, good, passed, _ in suite.outcomes()]
     told = _rows(spark, "name string, expected boolean, passed boolean", rows)
     return told.agg(F.count("*").cast("int").alias("total"), F.count_if(F.col("expected") == F.col("passed")).cast("int").alias("as_expected"), F.every(F.col("expected") == F.col("passed")).alias("all_ok"))
 

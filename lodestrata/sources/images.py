@@ -121,19 +121,36 @@ def read_images(spark: SparkSession, path: str, pattern: str | None = None) -> D
     return decode_images((reader.option("pathGlobFilter", pattern) if pattern else reader).load(path))
 
 
-def encode_tiff(images: DataFrame) -> DataFrame:
-    """(image_id, height, width, pixels of 16 bits) to (path, content), as if read from files."""
+def encode_tiff(images: DataFrame, depth: int = 16) -> DataFrame:
+    """(image_id, height, width, pixels of 8 or 16 bits) to (path, content), as if read from files."""
+    kind = {8: np.uint8, 16: np.uint16}[depth]
 
     def work(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for frame in frames:
-            made = [write_tiff(np.asarray(p, np.uint16).reshape(h, w)) for p, h, w in zip(frame["pixels"], frame["height"], frame["width"], strict=True)]
+            made = [write_tiff(np.asarray(p, kind).reshape(h, w)) for p, h, w in zip(frame["pixels"], frame["height"], frame["width"], strict=True)]
             yield pd.DataFrame({"path": frame["image_id"].map(lambda i: f"{i}.tif"), "content": made})
 
     return images.select("image_id", "height", "width", "pixels").mapInPandas(work, "path string, content binary")
 
 
+def write_files(files: DataFrame, folder: str) -> None:
+    """(path, content) as files of those names in a folder that all executors see: a path, or a URI of a file system that Arrow knows."""
+
+    def work(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        from ..plans.handoff import file_system
+
+        system, base = file_system(folder)
+        for frame in frames:
+            for path, content in zip(frame["path"], frame["content"], strict=True):
+                with system.open_output_stream(f"{base}/{path}") as out:  # written again, the same, if a task is repeated
+                    out.write(bytes(content))
+            yield frame[["path"]]
+
+    files.select("path", "content").mapInPandas(work, "path string").write.format("noop").mode("overwrite").save()
+
+
 def from_vectors(vectors: DataFrame, height: int = 8, width: int = 8, low: float = -0.6, high: float = 0.6) -> DataFrame:
-    """Vectors of height * width components as pictures with values from 0 to 1."""
+    """Vectors of height * width components as pictures with values from 0 to 1. Null vectors and those of another length are no such pictures and are left out."""
     fit = vectors.filter(F.size("embedding") == height * width)
     scaled = F.transform("embedding", lambda v: (v.cast("double") - low) / (high - low))
     return fit.select(F.col("vec_id").alias("image_id"), F.lit(height).alias("height"), F.lit(width).alias("width"), scaled.alias("pixels"))

@@ -43,3 +43,11 @@ def test_conda_is_not_required(monkeypatch):
     with pytest.raises(FileNotFoundError):
         environments.conda_info()
     assert environments.conda_executable(INFO) == "conda"
+
+
+def test_the_executable_is_the_one_that_conda_names(tmp_path, monkeypatch):
+    monkeypatch.delenv("CONDA_EXE", raising=False)
+    exe = tmp_path / "conda"
+    assert environments.conda_executable({"conda_exe": str(exe)}) == "conda"
+    exe.touch()
+    assert environments.conda_executable({"conda_exe": str(exe)}) == str(exe)

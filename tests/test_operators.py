@@ -38,7 +38,8 @@ def test_exact_percentile_against_numpy(spark, p):
     rng = np.random.default_rng(int(p * 10))
     for values in (rng.random(1000), rng.integers(0, 3, 501).astype(float), np.array([7.0]), np.full(20, 2.5)):
         df = spark.createDataFrame([(float(v),) for v in values], "v double")
-        assert select.exact_percentile(df, "v", p) == pytest.approx(np.percentile(values, p), abs=1e-12)
+        for few in (10_000, 3):  # with brackets, without them
+            assert select.exact_percentile(df, "v", p, few) == pytest.approx(np.percentile(values, p), abs=1e-12)
 
 
 def test_nan_is_never_selected(spark):
@@ -85,6 +86,32 @@ def test_document_and_file(spark, tmp_path):
     assert none["n_selected"] == 0 and none["cells"] == [] and none["selection_criteria"]["threshold"] is None
 
 
+def test_no_document_of_too_many_records(spark, monkeypatch):
+    monkeypatch.setattr(feedback, "MAX_RECORDS", 3)
+    records = spark.range(4).selectExpr("CAST(id AS INT) AS label", "0D AS centroid_x", "0D AS centroid_y", "1L AS area", "0D AS mean_intensity", "0D AS eccentricity")
+    with pytest.raises(ValueError, match="records as a table"):
+        feedback.document(records, spark.range(1).selectExpr("id AS n_cells"), "a", "area", 99, 5.0, "x")
+    assert feedback.document(records.limit(3), spark.range(1).selectExpr("id AS n_cells"), "a", "area", 99, 5.0, "x").first()["n_selected"] == 3
+
+
+def test_hulls_against_shapely_like_counting():
+    """Pixels in the hull, counted by half planes over all pairs of corner points."""
+    rng = np.random.default_rng(8)
+    for _ in range(40):
+        rows = np.sort(rng.choice(12, rng.integers(1, 7), replace=False))
+        first = rng.integers(0, 9, len(rows))
+        last = first + rng.integers(0, 5, len(rows))
+        y, x = np.concatenate((rows, rows)), np.concatenate((first, last))
+        p = np.concatenate([np.stack((2 * y + a, 2 * x + b), 1) for a, b in ((1, 0), (-1, 0), (0, 1), (0, -1))])
+        inside = 0
+        for cy in range(0, 26, 2):
+            for cx in range(-2, 30, 2):
+                angle = np.arctan2(p[:, 0] - cy, p[:, 1] - cx)
+                gaps = np.diff(np.concatenate((np.sort(angle), [np.sort(angle)[0] + 2 * np.pi])))
+                inside += gaps.max() <= np.pi + 1e-9
+        assert regions.hull_area(rows, first, last) == inside
+
+
 def picture(spark, arrays):
     return spark.createDataFrame([(i, a.shape[0], a.shape[1], a.ravel().tolist()) for i, a in enumerate(arrays)], "image_id long, height int, width int, pixels array<double>")
 

@@ -24,10 +24,16 @@ def test_filters_and_columns_reach_the_scan(spark):
 
 
 def test_an_unused_feature_costs_nothing(spark):
-    plan = ALL["rare_event_select"](spark, SMALL).select("label", "area")._jdf.queryExecution().optimizedPlan().toString()
+    plan = queries._features(spark, SMALL).select("label", "area")._jdf.queryExecution().optimizedPlan().toString()
     assert "covar_pop" not in plan
 
 
+def test_smoothing_runs_above_the_repartition(spark):
+    plan = ALL["gaussian_smooth"](spark, SMALL)._jdf.queryExecution().optimizedPlan().toString()
+    above, below = plan.split("Repartition")
+    assert "transform(" in above and "transform(" not in below
+
+
 def test_entry(spark):
     import __spark_entry__
 
