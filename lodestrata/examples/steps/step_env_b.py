@@ -1,13 +1,9 @@
-"""Asks for an environment of its own and notes which one it got."""
+"""Asks for another environment than the pipeline's and notes which one it got."""
 
 METADATA = {"description": "Runs in another environment", "version": "1.0", "environment": "example--env_c"}
 
 
 def run(state, **params):
-    import os
-    import sys
+    from lodestrata.examples.record import noted
 
-    got = os.environ.get("LODESTRATA_ENV") or os.path.basename(sys.prefix)
-    asked = METADATA["environment"]
-    state["step_env_b"] = {"executed": True, "requested_environment": asked, "actual_environment": got, "environment_match": got == asked, "python_executable": sys.executable, "process_id": os.getpid(), "params_used": params}
-    return state
+    return noted(state, "step_env_b", METADATA, params)

@@ -4,9 +4,6 @@ METADATA = {"description": "Pickle hand-off", "version": "1.0", "environment": "
 
 
 def run(state, **params):
-    import os
-    import sys
+    from lodestrata.examples.record import noted
 
-    got = os.environ.get("LODESTRATA_ENV") or os.path.basename(sys.prefix)
-    state["step_pickle"] = {"executed": True, "data_transfer": "pickle", "received_previous_data": "step_write_data" in state, "environment": got, "process_id": os.getpid()}
-    return state
+    return noted(state, "step_pickle", METADATA, params)

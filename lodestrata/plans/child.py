@@ -7,6 +7,7 @@ environment need not have Spark. The response is a file; what the step prints is
 from __future__ import annotations
 
 import importlib.util
+import logging
 import sys
 import traceback
 from pathlib import Path
@@ -23,9 +24,10 @@ def _load(name: str, path: Path):
 def main(request: str, response: str, mode: str) -> int:
     handoff = _load("lodestrata_handoff", Path(__file__).with_name("handoff.py"))
     asked = handoff.restore(Path(request), mode)
+    sys.path.append(asked["package_root"])
+    logging.basicConfig(level=logging.INFO, format="%(message)s", stream=sys.stdout)  # the parent passes it on
     try:
         if "pipeline" in asked:
-            sys.path.insert(0, asked["package_root"])
             from lodestrata.plans.runner import run_pipeline
 
             result = run_pipeline(**asked["pipeline"], placed=True)

@@ -6,6 +6,7 @@ import os
 import subprocess
 import sys
 import tempfile
+from collections.abc import Callable
 from dataclasses import dataclass, field
 from pathlib import Path
 from typing import Any
@@ -48,13 +49,16 @@ def needs_process(requested: str | None, current: str) -> bool:
     return bool(requested) and requested.lower() not in (LOCAL, current.lower())
 
 
-def run_child(request: dict[str, Any], executable: str, mode: str, seconds: float) -> Any:
-    """Run child.py on a request and return its result, tables still marked."""
+def run_child(request: dict[str, Any], executable: str, mode: str, seconds: float, tell: Callable[[str], None] | None = None) -> Any:
+    """Run child.py on a request and return its result, tables still marked; tell is called with what it printed."""
     folder = Path(tempfile.mkdtemp(prefix="lodestrata-child-"))  # read by this machine's child alone
     asked, answer = folder / "request", folder / "response"
     handoff.dump(request, asked, mode)
     try:
-        done = subprocess.run([executable, str(Path(__file__).with_name("child.py")), str(asked), str(answer), mode], env=os.environ | {"PYTHONIOENCODING": "utf-8"}, timeout=seconds, capture_output=True, text=True)
+        command = [executable, str(Path(__file__).with_name("child.py")), str(asked), str(answer), mode]
+        done = subprocess.run(command, env=os.environ | {"PYTHONIOENCODING": "utf-8"}, timeout=seconds, capture_output=True, text=True)
+        if tell and done.stdout.strip():
+            tell(done.stdout.rstrip())
         if not answer.exists():
             raise StepFailed(f"process failed with exit code {done.returncode}: {done.stderr[-2000:]}")
         said = handoff.restore(answer, mode)

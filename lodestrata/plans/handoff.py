@@ -17,6 +17,15 @@ MODES = ("file_paths", "pickle")
 _MARK = "$table"
 
 
+def file_system(path: str):
+    """Arrow's file system of a path or URI, and the path on it."""
+    import re
+
+    from pyarrow.fs import FileSystem
+
+    return FileSystem.from_uri(re.sub(r"^file:/*", "file:///", path))
+
+
 class TableRef:
     """A table of the state as a step in another environment sees it: a Parquet path, read on demand."""
 
@@ -32,7 +41,8 @@ class TableRef:
     def to_arrow(self):
         import pyarrow.dataset as ds
 
-        return ds.dataset(self.path.removeprefix("file://").removeprefix("file:"), format="parquet").to_table()
+        system, path = file_system(self.path)
+        return ds.dataset(path, filesystem=system, format="parquet").to_table()
 
 
 def _write(value: Any, folder: str) -> str | None:
@@ -44,7 +54,8 @@ def _write(value: Any, folder: str) -> str | None:
     if kind == "pyarrow.lib.Table":
         import pyarrow.parquet as pq
 
-        pq.write_table(value, path.removeprefix("file://").removeprefix("file:"))
+        system, target = file_system(path)
+        pq.write_table(value, target, filesystem=system)
         return path
     return value.path if isinstance(value, TableRef) else None
 

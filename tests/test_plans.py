@@ -146,3 +146,58 @@ def test_changed_records_are_found():
     for change, name in (({"list": [1, 2, 3, "four", 5]}, "list_mixed_types"), ({"integer": 42.0}, "integer"), ({"boolean": 1}, "boolean"), ({"nested": {}}, "nested_key"), ({"list": None}, "list_length"), ({"written_by_pid": "1"}, "has_written_by_pid")):
         assert not verdicts(good | change)[name]
     assert not any(verdicts(None).values())
+
+
+def test_run_folder_of_a_run(tmp_path):
+    import json
+
+    run_pipeline(PIPELINES / "mixed.yaml", "a", output=tmp_path)
+    folder = tmp_path / "a_mixed-test_output"
+    told = json.loads((folder / "metadata.yaml").read_text())
+    assert told["label"] == "a" and told["steps_executed"] == ["step_local", "step_local_2"] and told["total_runtime_seconds"] >= 0
+    assert json.loads((folder / "02_step_local_2" / "step_metadata.yaml").read_text())["parameters_used"] == {"stage": "second"}
+
+
+@pytest.mark.parametrize("verbose,engine,steps", [(0, False, False), (1, True, False), (2, False, True), (3, True, True)])
+def test_who_speaks(tmp_path, caplog, verbose, engine, steps):
+    """Steps in this process and in another one, and the engine, at each level."""
+    body = "def run(state, **p):\n    from lodestrata.plans.voice import say\n    say(state, 'here I am')\n    return state\n"
+    path = made(tmp_path, f"metadata: {{verbose: {verbose}}}\nw:\n  - near: null\n  - far: null\n", near=body, far='METADATA = {"environment": "there"}\n' + body)
+    with caplog.at_level("INFO"):
+        run_pipeline(path, environments=stand_ins("there"))
+    said = [(r.name, r.getMessage()) for r in caplog.records]
+    assert len([m for n, m in said if n == "lodestrata.engine"]) == 2 * engine
+    assert [m for n, m in said if n == "lodestrata.steps"] == ["here I am"] * 2 * steps
+
+
+def test_suite_and_its_exit_code():
+    from lodestrata.examples import suite
+
+    lines = []
+    assert suite.main(lines.append, {"local": True, "error": False}) == 0 and lines[-1] == "2 of 2 as expected"
+    assert suite.main(lines.append, {"error": True}) == 1 and "NOT AS EXPECTED: error failed, RuntimeError" in lines[-2]
+
+
+def test_command_line_with_a_source(spark, capsys, tmp_path):
+    assert main([str(PIPELINES / "rare_regions.yaml"), "--source", "/root/testdata/sf0.001", "--output", str(tmp_path)]) == 0
+    out = capsys.readouterr().out
+    assert out.startswith("label=") and "px" in out.splitlines()[0] and (tmp_path / "test_rare-region-selection_output").is_dir()
+
+
+def test_upkeep_of_environments():
+    from lodestrata.plans import upkeep
+
+    info = {"envs": ["/c", "/c/envs/p--a", "/c/envs/p--old", "/c/envs/q"]}
+    plan = upkeep.setup_plan(info, "p--", {"a": {"python": "3.11"}, "b": {"python": "3.12", "packages": ["numpy"]}})
+    assert [(x.name, len(x.commands)) for x in plan] == [("p--a", 0), ("p--b", 2)]
+    lines, calls = [], []
+    assert upkeep.carry_out(plan, tell=lines.append, call=calls.append) == upkeep.Tally(skipped=("p--a", "p--b")) and len(lines) == 2 and not calls
+    assert upkeep.carry_out(plan, False, lambda c: "create" in c, lines.append) == upkeep.Tally(skipped=("p--a",), failed=("p--b",))
+    gone = upkeep.cleanup_plan(info, "p--")
+    assert [x.name for x in gone] == ["p--a", "p--old"] and upkeep.carry_out(gone, False, lambda c: True, lines.append).all_well
+    assert [x.name for x in upkeep.cleanup_plan(info, "p--", only="old")] == ["p--old"]
+    for bad in (lambda: upkeep.cleanup_plan(info, "p--", only="b"), lambda: upkeep.setup_plan(info, "p--", {}, only="x")):
+        with pytest.raises(LookupError):
+            bad()
+    with pytest.raises(ValueError):
+        upkeep.cleanup_plan(info, "")
