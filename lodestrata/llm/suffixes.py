@@ -34,7 +34,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .common import materialise, release
-from .rolling import Hasher, grouped, identity, least_leftmost, mix
+from .rolling import Hasher, digests, grouped, identity, least_leftmost, mix
 
 LENGTH, GROUP_BYTES, BUFFER_BYTES, STEP = 400, 512 << 10, 1 << 20, 16
 
@@ -49,6 +49,7 @@ def segments(data: np.ndarray, bounds: np.ndarray, length: int, hashers: tuple[H
     one, two = hashers[0].sums(data), hashers[1].sums(data)
     at = np.arange(len(data) - k + 1)
     anchor = least_leftmost(hashers[0].of(one, at, at + k), width)  # for each window start
+    del one
     doc = np.searchsorted(bounds, np.arange(len(anchor)), side="right") - 1
     whole = np.arange(len(anchor)) + length <= bounds[doc + 1]
     new = np.concatenate(([True], (anchor[1:] != anchor[:-1]) | (doc[1:] != doc[:-1]) | ~whole[:-1]))
@@ -56,11 +57,12 @@ def segments(data: np.ndarray, bounds: np.ndarray, length: int, hashers: tuple[H
     edge = np.flatnonzero(np.concatenate(((new | ~whole)[1:], [True])) & whole)  # the last start of each run
     p, d = anchor[first], doc[first]
     end = edge + length
-    # the text's hash also says where the anchor is and how long the text is
+    # the text's name also says where the anchor is and how long the text is
     shape = ((p - first).astype(np.uint64) << np.uint64(32)) | (edge - first).astype(np.uint64)
+    h1, h2 = digests(data.tobytes(), first, end, shape)
     return {
         "doc": d, "first": first - bounds[d], "last": edge - bounds[d], "anchor": p - bounds[d],
-        "key": mix(hashers[1].of(two, p, p + k)).view(np.int64), "h1": mix(hashers[0].of(one, first, end) ^ mix(shape)).view(np.int64), "h2": mix(hashers[1].of(two, first, end) + shape).view(np.int64),
+        "key": mix(hashers[1].of(two, p, p + k)).view(np.int64), "h1": h1, "h2": h2,
     }
 
 
@@ -286,7 +288,7 @@ def _pieces(bodies: DataFrame, length: int, step: int) -> DataFrame:
             rows: list[list[np.ndarray]] = []
             for key, h1, h2, dist, span, body in zip(*[batch.column(i).to_pylist() for i in range(6)], strict=True):
                 data = np.frombuffer(body, np.uint8)
-                one, two = hashers[0].sums(data), hashers[1].sums(data)
+                two = hashers[1].sums(data)
                 block = np.arange((dist - span) // step, dist // step + 1)  # of a window's distance to the anchor
                 low, high = np.maximum(block * step, dist - span), np.minimum(block * step + step - 1, dist)
                 first, end = dist - high, dist - low + length
@@ -296,7 +298,7 @@ def _pieces(bodies: DataFrame, length: int, step: int) -> DataFrame:
                 sub = mix(hashers[1].of(two, shared, tail) ^ mark).view(np.int64)
                 shape = mix(mark ^ (high - low).astype(np.uint64) ^ (high.astype(np.uint64) << np.uint64(32)))
                 n = len(block)
-                rows.append([sub, mix(hashers[0].of(one, first, end) ^ shape).view(np.int64), mix(hashers[1].of(two, first, end) + shape).view(np.int64), np.full(n, key), np.full(n, h1), np.full(n, h2), first, end - first])
+                rows.append([sub, *digests(body, first, end, shape), np.full(n, key), np.full(n, h1), np.full(n, h2), first, end - first])
             if rows:
                 yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(c).astype(np.int64)) for c in zip(*rows, strict=True)], names)
 
@@ -368,7 +370,7 @@ def repeat_groups(docs: DataFrame, length: int = LENGTH) -> DataFrame:
 
 
 def dedup(docs: DataFrame, length: int = LENGTH) -> DataFrame:
-    """One row per document: doc_id, n_bytes, the maximal removed spans (start, end) and the kept bytes."""
+    """One row per document: doc_id, n_bytes, the maximal removed runs (start, end, name) and the kept bytes. Runs of equal bytes have the same name, a hash: wherever a repeat is not cut by another, however long, they are its occurrences."""
     marks, alike, bodies = _classes(docs, length)
     found = _compare(bodies, length, "spans")
     whole = alike.filter("n > 1").select(*_PARTS, F.array(F.struct(F.lit(0).alias("start"), (F.col("span") + length).alias("end"))).alias("spans"))
@@ -381,20 +383,22 @@ def dedup(docs: DataFrame, length: int = LENGTH) -> DataFrame:
     release(docs.sparkSession)
     d = identity(docs)
     rows = d.join(cover, d["doc_id"].eqNullSafe(cover["doc_id"]) & (d["th"] == cover["th"]), "left").select(d["doc_id"], "raw", "found")
-    span = pa.struct([("start", pa.int64()), ("end", pa.int64())])
+    span = pa.struct([("start", pa.int64()), ("end", pa.int64()), ("name", pa.string())])
 
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        from xxhash import xxh3_64_hexdigest
+
         for batch in batches:
             sizes, spans, kept = [], [], []
             for raw, cell in zip(batch.column(1), batch.column(2), strict=True):
                 raw = raw.as_buffer().to_pybytes()
                 sizes.append(len(raw))
                 starts, ends = _covered(cell)
-                spans.append([{"start": a, "end": b} for a, b in zip(starts, ends, strict=True)])
+                spans.append([{"start": a, "end": b, "name": xxh3_64_hexdigest(raw[a:b])} for a, b in zip(starts, ends, strict=True)])
                 kept.append(b"".join(raw[a:b] for a, b in zip([0, *ends], [*starts, len(raw)], strict=True)))
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(sizes, pa.int64()), pa.array(spans, pa.list_(span)), pa.array(kept, pa.binary())], ["doc_id", "n_bytes", "spans", "kept"])
 
-    return rows.mapInArrow(work, "doc_id long, n_bytes long, spans array<struct<start:long,end:long>>, kept binary")
+    return rows.mapInArrow(work, "doc_id long, n_bytes long, spans array<struct<start:long,end:long,name:string>>, kept binary")
 
 
 def _covered(cell: pa.Scalar) -> tuple[list[int], list[int]]:
@@ -414,4 +418,6 @@ def _covered(cell: pa.Scalar) -> tuple[list[int], list[int]]:
 
 def digest(cleaned: DataFrame) -> DataFrame:
     removed = F.aggregate("spans", F.lit(0).cast("long"), lambda a, s: a + s["end"] - s["start"])
-    return cleaned.select("doc_id", "n_bytes", removed.alias("n_removed"), F.size("spans").cast("long").alias("n_spans"), F.sha2("kept", 256).alias("kept_sha256"))
+    runs = F.array_join(F.transform("spans", lambda s: F.concat_ws(":", s["start"].cast("string"), s["end"].cast("string"), s["name"])), ",")
+    counts = [removed.alias("n_removed"), F.size("spans").cast("long").alias("n_spans")]
+    return cleaned.select("doc_id", "n_bytes", *counts, F.sha2("kept", 256).alias("kept_sha256"), runs.alias("runs"))
