@@ -1,9 +1,10 @@
-"""Near copies of whole documents: MinHash bands find candidates, exact Jaccard similarity of 5-word shingles decides.
+"""One document of each group of near copies: the SimHash trie join and MinHash bands find candidates, exact Jaccard similarity decides.
 
-SimHash can't do this with a narrow budget: at a similarity of 0.8 two fingerprints differ in about ten of 64 bits, and block
-groups for so wide a budget hold nearly all pairs. Bands, the check and its blocks are those of ``paragraphs``, a document
-being one paragraph; texts of equal words are one class from the start. Texts of under SHINGLE words have one shingle, so they
-are near only what equals them; texts without words are equal.
+All is of 5-word shingles. Fingerprints that the trie join of ``simhash`` connects (BUDGET differing bits) are candidates of each
+other. By itself that misses most near copies: at a similarity of 0.8 two fingerprints differ in about ten of 64 bits, and block
+groups for so wide a budget would hold nearly all pairs. So the bands of ``paragraphs`` add candidates, a document being one
+paragraph. All candidates are checked exactly, and texts of equal words are one class from the start. Texts of under SHINGLE
+words have one shingle, so they are near only what equals them; texts without words are equal.
 """
 
 from __future__ import annotations
@@ -15,11 +16,13 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from . import simhash
 from .common import materialise, whole_row
 from .components import components
 from .paragraphs import _BLANK, _LOWER, _NO_DOC, LINE, SHINGLE, THRESHOLD, Marker, _links, tune
 from .rolling import grouped, identity, mix
 
+BUDGET = 3
 BLOCK = 256  # whole documents are held to each other, so fewer at once than lines
 
 
@@ -61,16 +64,33 @@ def marks(docs: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
                 ends = np.zeros(n + 1, np.int32)
                 ends[sized + 1] = bands
                 lists = pa.ListArray.from_arrays(pa.array(np.cumsum(ends, dtype=np.int32)), pa.array(keys.ravel().view(np.int64)))
-                arrays = [ids[at:stop], th[at:stop], pa.array(np.full(n, LINE, np.int8)), pa.array(h1.view(np.int64)), pa.array(h2.view(np.int64)), pa.array(np.zeros(n, np.int32)), pa.array(points.astype(np.int32)), lists]
-                yield pa.RecordBatch.from_arrays(arrays, ["doc_id", "th", "kind", "h1", "h2", "start", "end", "bands"])
+                whole_texts = [data[a:b].tobytes() for a, b in zip(bounds[:-1], bounds[1:], strict=True)]
+                prints = np.array([simhash.fingerprint(x, SHINGLE) for x in whole_texts], np.uint64).view(np.int64)
+                arrays = [
+                    ids[at:stop], th[at:stop], pa.array(np.full(n, LINE, np.int8)), pa.array(h1.view(np.int64)), pa.array(h2.view(np.int64)),
+                    pa.array(np.zeros(n, np.int32)), pa.array(points.astype(np.int32)), lists, pa.array(prints),
+                ]
+                yield pa.RecordBatch.from_arrays(arrays, ["doc_id", "th", "kind", "h1", "h2", "start", "end", "bands", "fp"])
 
-    return identity(docs).mapInArrow(work, "doc_id long, th long, kind byte, h1 long, h2 long, start int, end int, bands array<long>")
+    return identity(docs).mapInArrow(work, "doc_id long, th long, kind byte, h1 long, h2 long, start int, end int, bands array<long>, fp long")
 
 
-def one_of_each(docs: DataFrame, threshold: float = THRESHOLD, block: int = BLOCK) -> DataFrame:
+def _by_fingerprint(budget: int):
+    """Candidates (h1, h2, bucket): texts whose fingerprints are equal, or connected by the trie join."""
+
+    def of(texts: DataFrame) -> DataFrame:
+        prints = texts.select("fp").distinct()
+        roots = simhash.grouped_prints(prints, budget)
+        found = texts.select("h1", "h2", "fp").join(roots, "fp", "left")
+        return found.select("h1", "h2", F.xxhash64(F.lit("fingerprint"), F.coalesce("root", "fp")).alias("bucket"))
+
+    return of
+
+
+def one_of_each(docs: DataFrame, threshold: float = THRESHOLD, budget: int = BUDGET, block: int = BLOCK) -> DataFrame:
     """The documents, with all columns, less all but one row of each component of near copies: that of the smallest doc_id, then the least text hash. Rows without doc_id are held to each other only, and one of them stays besides."""
     marked = materialise(marks(docs, threshold), "copies")
-    linked = components(materialise(_links(marked, docs, threshold, block), "copies-links").distinct(), "copies-components")
+    linked = components(materialise(_links(marked, docs, threshold, block, _by_fingerprint(budget)), "copies-links").distinct(), "copies-components")
     nameless = (F.col("doc_id") == _NO_DOC).alias("nameless")
     # written combined, so that a text with very many copies is one row in the join
     least = marked.groupBy("h1", "h2", nameless).agg(F.min(F.struct("doc_id", "th")).alias("least"))

@@ -9,8 +9,10 @@ passage is taken from both. Words are split at ASCII blanks, A-Z in lower case;
    from the start (a class's MinHash would agree in every band); passages need no more than that.
 2. Different lines that collide in a band are linked if their exact Jaccard similarity is at least THRESHOLD. Buckets
    with the same members are verified once. A bucket is verified inside one task, keeping a forest, so that members
-   already linked aren't compared again; buckets over BLOCK members are dealt out in blocks, each pair of
-   blocks to a task of its own. Bands are tuned: the most rows per band whose recall at THRESHOLD is at least RECALL.
+   already linked aren't compared again. In buckets over BLOCK members, all are held to one pivot first; those that are like it
+   are connected, and only the others are dealt out in blocks against all members, so that a large group of near copies takes
+   a number of comparisons in proportion to its size, and no link is lost. Bands are tuned: the most rows per band whose
+   recall at THRESHOLD is at least RECALL.
 3. Components over the links make clusters. A cluster counts if it has paragraphs of two documents at least; in the
    first (the smallest doc_id, nulls last) its first paragraph stays, and all others are removed. Equal
    passages that overlap in their document, as in a run of one word, are one.
@@ -22,7 +24,7 @@ paragraphs; rows of one doc_id are one document, however often repeated. Spans a
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -180,12 +182,13 @@ def similar(bodies: list[str], sides: list[bool] | None = None, threshold: float
     return links
 
 
-def _links(marked: DataFrame, docs: DataFrame, threshold: float, block: int) -> DataFrame:
-    """(a, b): links between different lines, named by their hashes."""
-    name = F.concat(F.hex("h1"), F.lit(":"), F.hex("h2"))
-    lines = marked.filter(F.col("kind") == LINE).groupBy("h1", "h2").agg(*[F.first(c).alias(c) for c in ("doc_id", "th", "start", "end", "bands")])
+def _links(marked: DataFrame, docs: DataFrame, threshold: float, block: int, more: Callable[[DataFrame], DataFrame] | None = None) -> DataFrame:
+    """(a, b): links between different lines, named by their hashes. more: from the table of lines, further candidates (h1, h2, bucket)."""
+    lines = marked.filter(F.col("kind") == LINE).groupBy("h1", "h2").agg(*[F.first(c).alias(c) for c in marked.columns if c not in ("kind", "h1", "h2")])
     lines = materialise(lines, "paragraph-lines")
     keyed = lines.select("h1", "h2", F.posexplode("bands").alias("band", "key")).select("h1", "h2", F.xxhash64("band", "key").alias("bucket"))
+    if more:
+        keyed = keyed.union(more(lines))
     buckets = keyed.groupBy("bucket").agg(F.count("*").alias("n"), F.bit_xor("h1").alias("x"), F.sum(F.shiftright("h2", 16)).alias("s")).filter("n > 1")
     # buckets with the same members need one look
     kept = buckets.groupBy("n", "x", "s").agg(F.min("bucket").alias("bucket")).select("bucket", F.ceil(F.col("n") / block).cast("int").alias("parts"))
@@ -193,32 +196,78 @@ def _links(marked: DataFrame, docs: DataFrame, threshold: float, block: int) ->
     wanted = lines.join(members.select("h1", "h2").distinct(), ["h1", "h2"]).select("doc_id", "th", "h1", "h2", "start", "end")
     gathered = wanted.groupBy("doc_id", "th").agg(F.collect_list(F.struct("h1", "h2", "start", "end")).alias("ws"))
     d = identity(docs).select(F.coalesce("doc_id", F.lit(_NO_DOC)).alias("doc_id"), "th", F.col("raw").cast("string").alias("text")).filter("text <> ''")
-    bodies = gathered.join(d, ["doc_id", "th"]).select(F.explode("ws").alias("w"), "text").select("w.h1", "w.h2", F.substring("text", F.col("w.start") + 1, F.col("w.end") - F.col("w.start")).alias("body")).dropDuplicates(["h1", "h2"])
-    bodies = materialise(bodies, "paragraph-bodies")
-    dealt = members.withColumn("part", F.pmod(F.xxhash64("h1", "h2"), F.col("parts")).cast("int")).withColumn("other", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)))
-    dealt = dealt.select("bucket", F.least("part", "other").alias("i"), F.greatest("part", "other").alias("j"), "part", "h1", "h2").join(bodies, ["h1", "h2"])
+    body = F.substring("text", F.col("w.start") + 1, F.col("w.end") - F.col("w.start"))
+    bodies = gathered.join(d, ["doc_id", "th"]).select(F.explode("ws").alias("w"), "text").select("w.h1", "w.h2", body.alias("body"))
+    bodies = materialise(bodies.dropDuplicates(["h1", "h2"]), "paragraph-bodies")
+    dealt = members.filter("parts = 1").select("bucket", F.lit(-1).alias("i"), F.lit(-1).alias("j"), F.lit(False).alias("side"), "h1", "h2")
+    hot = members.filter("parts > 1")
+    if hot.isEmpty():
+        return _verified(dealt, bodies, threshold)
+    near, rest = _pivots(hot, bodies, threshold)
+    return _verified(dealt.union(_crossed(hot, rest, block)), bodies, threshold).union(near)
+
+
+_NAME = "concat(hex(h1), ':', hex(h2))"
+
+
+def _pivots(hot: DataFrame, bodies: DataFrame, threshold: float) -> tuple[DataFrame, DataFrame]:
+    """Holds each member of a large bucket to the bucket's pivot, its least member: the links to pivots, and the members (bucket, h1, h2) that have none."""
+    pivots = hot.groupBy("bucket").agg(F.min(F.struct("h1", "h2")).alias("p")).select("bucket", "p.*").join(bodies, ["h1", "h2"])
+    pivots = pivots.select("bucket", F.expr(_NAME).alias("pivot"), F.col("body").alias("other"))
+
+    @F.arrow_udf("boolean")
+    def alike(one: pa.Array, two: pa.Array) -> pa.Array:
+        sets: dict[str, set[bytes]] = {}
+        out = []
+        for a, b in zip(one.to_pylist(), two.to_pylist(), strict=True):
+            if b not in sets:
+                sets = {b: shingles(b)}
+            own, other = shingles(a), sets[b]
+            both = len(own & other)
+            out.append(both >= threshold * (len(own) + len(other) - both) - 1e-12)
+        return pa.array(out, pa.bool_())
+
+    tested = hot.select("bucket", "h1", "h2").join(bodies, ["h1", "h2"]).join(pivots, "bucket")
+    tested = materialise(tested.select("bucket", "h1", "h2", "pivot", alike.asNondeterministic()("body", "other").alias("near")), "paragraph-pivots")
+    found = tested.filter("near").select(F.expr(_NAME).alias("a"), F.col("pivot").alias("b")).filter("a <> b")
+    return found, tested.filter("NOT near").select("bucket", "h1", "h2")
+
+
+def _crossed(hot: DataFrame, rest: DataFrame, block: int) -> DataFrame:
+    """Tasks (bucket, i, j) that hold block i of the members without a link to the pivot (side) to block j of all members: those with such a link are connected already."""
+    open_ = rest.groupBy("bucket").agg(F.ceil(F.count("*") / block).cast("int").alias("open"))
+    sized = hot.join(open_, "bucket")
+    place = lambda n: F.pmod(F.xxhash64("h1", "h2"), F.col(n)).cast("int")
+    every = lambda n: F.explode(F.sequence(F.lit(0), F.col(n) - 1))
+    all_ = sized.select("bucket", every("open").alias("i"), place("parts").alias("j"), F.lit(False).alias("side"), "h1", "h2")
+    few = sized.join(rest, ["bucket", "h1", "h2"]).select("bucket", place("open").alias("i"), every("parts").alias("j"), F.lit(True).alias("side"), "h1", "h2")
+    return all_.union(few)
+
+
+def _verified(dealt: DataFrame, bodies: DataFrame, threshold: float) -> DataFrame:
+    """Links inside tasks (bucket, i, j); tasks with i >= 0 hold one side to the other."""
 
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         task: tuple | None = None
         held: list[tuple] = []
 
         def table() -> pa.RecordBatch:
-            two = task[1] != task[2]
-            found = similar([h[2] for h in held], [h[0] == task[1] for h in held] if two else None, threshold)
-            return pa.RecordBatch.from_arrays([pa.array([held[x][1] for x, _ in found], pa.string()), pa.array([held[y][1] for _, y in found], pa.string())], ["a", "b"])
+            found = similar([h[2] for h in held], [h[0] for h in held] if task[1] >= 0 else None, threshold)
+            return pa.RecordBatch.from_arrays([pa.array([held[z][1] for z in c], pa.string()) for c in zip(*found, strict=True)] if found else [pa.array([], pa.string())] * 2, ["a", "b"])
 
         for batch in batches:
-            for *key, part, node, body in zip(*[c.to_pylist() for c in batch.columns], strict=True):
+            for *key, side, node, body in zip(*[c.to_pylist() for c in batch.columns], strict=True):
                 if task is not None and tuple(key) != task:
                     yield table()
                     held = []
                 task = tuple(key)
-                held.append((part, node, body))
+                held.append((side, node, body))
         if held:
             yield table()
 
-    dealt = dealt.select("bucket", "i", "j", "part", name.alias("node"), "body").repartition("bucket", "i", "j").sortWithinPartitions("bucket", "i", "j", "node")
-    return dealt.mapInArrow(work, "a string, b string")
+    dealt = dealt.join(bodies, ["h1", "h2"]).select("bucket", "i", "j", "side", F.expr(_NAME).alias("node"), "body")
+    dealt = dealt.repartition("bucket", "i", "j").sortWithinPartitions("bucket", "i", "j", "side", "node")
+    return dealt.mapInArrow(work, "a string, b string").filter("a <> b")
 
 
 def repeated(docs: DataFrame, threshold: float = THRESHOLD, block: int = BLOCK, min_words: int = MIN_WORDS) -> DataFrame:

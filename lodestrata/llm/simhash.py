@@ -20,21 +20,22 @@ from collections.abc import Iterator
 import numpy as np
 import pandas as pd
 import pyarrow as pa
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import materialise, whole_row
+from .common import materialise
 from .components import components
 
 SHINGLE, SEED, BUDGET, BITS = 3, 42, 2, 64
 _CHUNK, _PAIRS = 1 << 16, 1 << 20
 
 
-def fingerprint(text: str, size: int = SHINGLE) -> int:
+def fingerprint(text: str | bytes, size: int = SHINGLE) -> int:
     """The unsigned 64-bit fingerprint of a text."""
     from xxhash import xxh64_intdigest
 
-    words = text.encode().lower().split()  # of bytes: A-Z and ASCII blanks only
+    raw = text if isinstance(text, bytes) else text.encode()
+    words = raw.lower().split()  # of bytes: A-Z and ASCII blanks only
     if not words:
         return 0
     line = b" ".join(words)
@@ -147,10 +148,16 @@ def links(distinct: DataFrame, budget: int = BUDGET) -> DataFrame:
     return spread.repartition("block", "head").select("block", "turned").mapInPandas(work, "a long, b long")
 
 
+def grouped_prints(distinct: DataFrame, budget: int = BUDGET) -> DataFrame:
+    """(fp, root): the components of the distinct fingerprints in column fp that have a link. Links are written first, as each round of the components reads them several times."""
+    found = materialise(links(distinct, budget).distinct(), "simhash-found")
+    return components(found, "simhash-links").withColumnsRenamed({"node": "fp"})
+
+
 def classes(marked: DataFrame, budget: int = BUDGET) -> DataFrame:
     """(doc_id, fp, component_id) of a written table (doc_id, fp)."""
-    distinct = marked.groupBy("fp").agg(F.min("doc_id").alias("least"))
-    linked = components(links(distinct.select("fp"), budget), "simhash-links").withColumnsRenamed({"node": "fp"})
+    distinct = materialise(marked.groupBy("fp").agg(F.min("doc_id").alias("least")), "simhash-distinct")
+    linked = grouped_prints(distinct.select("fp"), budget)
     homes = distinct.join(linked, "fp")
     least = homes.groupBy("root").agg(F.min("least").alias("component_id"))
     mapped = distinct.join(linked.join(least, "root"), "fp", "left").select("fp", F.when(F.col("root").isNull(), F.col("least")).otherwise(F.col("component_id")).alias("component_id"))
@@ -162,12 +169,3 @@ def near_duplicates(docs: DataFrame, size: int = SHINGLE, budget: int = BUDGET)
     """One row per document: doc_id, fingerprint (16 hexadecimal digits), component_id."""
     found = classes(materialise(fingerprints(docs, size), "simhash"), budget)
     return found.select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
-
-
-def one_of_each(docs: DataFrame, size: int = SHINGLE, budget: int = BUDGET) -> DataFrame:
-    """The documents, with all columns, less all but the smallest doc_id of each component, and one row of a repeated doc_id. Rows without doc_id can't be named by one; all stay."""
-    named = docs.filter("doc_id IS NOT NULL")
-    lost = classes(materialise(fingerprints(named, size), "simhash"), budget).filter("doc_id <> component_id").select(F.col("doc_id").alias("_lost")).distinct()
-    rest = named.join(lost, named["doc_id"].cast("long") == lost["_lost"], "left_anti")
-    nth = F.row_number().over(Window.partitionBy("doc_id").orderBy(F.xxhash64("text")))
-    return rest.select(whole_row(docs), "doc_id", "text").withColumn("nth", nth).filter("nth = 1").select("row.*").union(docs.filter("doc_id IS NULL"))

@@ -7,7 +7,7 @@ from oracle import compare
 from test_packing import check_sequences
 
 import corpus_pipeline
-from lodestrata.llm import mixing, packing, quality, queries, secrets, simhash
+from lodestrata.llm import mixing, packing, paragraphs, quality, queries, secrets
 from lodestrata.shipping import ship
 
 SMALL = "/root/testdata/sf0.001"
@@ -37,17 +37,17 @@ def brute_stages(rows):
         return not (sized and f[0] >= quality.MIN_WORDS_JUDGED and f[6] and jensen_shannon(f[6], common) > quality.MAX_WORD_DISTANCE)
 
     good = [r for r in rows if passes(r)]
-    prints = {r["doc_id"]: simhash.fingerprint(r["text"]) for r in good}
-    root = {d: d for d in prints}
+    sets = {r["doc_id"]: paragraphs.shingles(r["text"]) for r in good}
+    root = {d: d for d in sets}
 
     def find(x):
         while root[x] != x:
             x = root[x]
         return x
 
-    for a in prints:
-        for b in prints:
-            if a < b and (prints[a] ^ prints[b]).bit_count() <= 2:
+    for a in sets:
+        for b in sets:
+            if a < b and len(sets[a] & sets[b]) >= 0.8 * len(sets[a] | sets[b]):
                 x, y = sorted((find(a), find(b)))
                 root[y] = x
     single = [r for r in good if find(r["doc_id"]) == r["doc_id"]]

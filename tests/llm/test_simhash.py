@@ -82,14 +82,6 @@ def test_components_of_chains_and_stars(spark):
     assert got == {i: 0 for i in range(61)} | {i: 100 for i in range(100, 140)} | {-5: -5, -4: -5}
 
 
-def test_one_of_each(spark):
-    rows = [(5, "a b c d"), (2, "a b c d"), (2, "a b c d"), (9, "q r s t"), (None, "a b c d"), (None, "a b c d")]
-    df = spark.createDataFrame([(*r, "extra") for r in rows], "doc_id long, text string, nth string")
-    got = simhash.one_of_each(df)
-    assert got.columns == df.columns
-    assert sorted((r.doc_id for r in got.collect()), key=repr) == sorted([2, 9, None, None], key=repr)
-
-
 def test_empty_table(spark):
     none = spark.createDataFrame([], "doc_id long, text string")
-    assert simhash.near_duplicates(none).count() == 0 and simhash.one_of_each(none).count() == 0
+    assert simhash.near_duplicates(none).count() == 0
