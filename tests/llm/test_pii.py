@@ -88,3 +88,78 @@ def test_no_python_on_the_way(spark):
     df = spark.createDataFrame([(1, "a@b.co")], "doc_id long, text string")
     plan = pii.digest(pii.tag(df))._jdf.queryExecution().executedPlan().toString()
     assert not re.search("Python|Arrow|Pandas", plan)
+
+
+def test_no_upper_lengths(spark):
+    name, local, host = "A" + "b" * 5000, "u" * 1_000_000, "h" * 300
+    texts = [f"signed Dr. {name} John", f"mail {local} (at) {host} (dot) " + " (dot) ".join(["x"] * 50), "a" * 1_000_000 + " (at)", "Mr. x " * 20_000]
+    found = pii.candidates(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")).select("doc_id", F.explode("cands").alias("c"))
+    got = {r.doc_id: r.c.found for r in found.filter("c.kind IN ('named', 'masked_email')").collect()}
+    assert got[0] == f"Dr. {name} John" and got[1] == texts[1][5:] and set(got) == {0, 1}
+
+
+def test_invalid_base_matches_vote_but_never_come_out(spark):
+    df = spark.createDataFrame([(i, f"host 300.1.1.{i} or 10.0.0.{i}, card 4111 1111 1111 1112 or 4111 1111 1111 1111") for i in range(20)], "doc_id long, text string")
+    found = pii.candidates(df).select(F.explode("cands").alias("c"))
+    votes = {tuple(r.v) for r in found.select(pii.votes(F.col("c")).alias("v")).collect()}
+    assert {v[0] for v in votes} == {1, -1}
+    texts = {r.doc_id: r.text for r in df.collect()}
+    for r in pii.digest(pii.tag(df)).collect():
+        assert r.n_ip == r.n_card == 1 and r.base_sha256 == hashlib.sha256(brute(texts[r.doc_id]).encode()).hexdigest()
+
+
+def test_training_against_a_plain_version(spark):
+    from collections import defaultdict
+    from math import log
+
+    texts = ["mail a@b.com", "host 10.0.0.1 and 999.1.1.1", "ssn 123-45-6789 build 000-12-3456", "call (555) 123-4567", "Dr. Anna Smith or Dr. President"] * 4
+    each = pii.candidates(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")).select(F.explode("cands").alias("c"))
+    model = pii.estimate(each.select(pii.votes(F.col("c")).alias("votes")))
+    rows = each.select(pii.features(F.col("c")).alias("f"), pii.votes(F.col("c")).alias("v")).collect()
+    yes, no, all_yes, all_no = defaultdict(float), defaultdict(float), 1.0, 1.0
+    for r in rows:
+        odds = log(model["prior"] / (1 - model["prior"])) + sum(v * log(q / (1 - q)) for v, q in zip(r.v, model["right"], strict=True))
+        t = 1 / (1 + 2.718281828459045 ** -odds)
+        all_yes, all_no = all_yes + t, all_no + 1 - t
+        for f in r.f:
+            yes[f] += t
+            no[f] += 1 - t
+    want = {f: log((yes[f] + pii.SHRINK * all_yes / (all_yes + all_no)) / (no[f] + pii.SHRINK * all_no / (all_yes + all_no))) - log(all_yes / all_no) for f in yes}
+    got = pii.train(each, model)
+    assert got["bias"] == pytest.approx(log(all_yes / all_no))
+    assert {f: w for f, w in enumerate(got["weights"]) if w} == pytest.approx({f: w for f, w in want.items() if w})
+
+
+def test_recall_and_precision_of_added_kinds(spark):
+    """Planted true spans beside look-alikes: at least nine of ten found, at least nine of ten right."""
+    import random
+
+    rng = random.Random(3)
+    two = lambda: f"{rng.choice(['Anna', 'Peter', 'Maria', 'Kurt'])} {rng.choice(['Smith', 'Weber', 'Lopez'])}"
+    true = {
+        "named": lambda: ("signed by ", f"Dr. {two()}"), "ssn": lambda: ("social security ", f"{rng.randint(100, 599)}-{rng.randint(10, 99)}-{rng.randint(1000, 9999)}"),
+        "iban": lambda: ("iban ", "DE89 3704 0044 0532 0130 00"), "masked_email": lambda: ("contact ", f"u{rng.randint(1, 99)} (at) site (dot) com"),
+        "local_phone": lambda: ("call ", f"({rng.randint(200, 999)}) {rng.randint(200, 999)}-{rng.randint(1000, 9999)}"),
+    }
+    false = [lambda: f"serial 000-{rng.randint(10, 99)}-{rng.randint(1000, 9999)}", lambda: f"section 666-{rng.randint(10, 99)}-0000", lambda: "part ZZ12 3456 7890 1234 5678", lambda: f"isbn 012-345-{rng.randint(1000, 9999)}", lambda: "Mr President"]
+    rows, want = [], set()
+    for i in range(400):
+        text = " ".join(rng.choice(["alpha", "beta", "gamma"]) for _ in range(5)) + " "
+        if i % 2:
+            kind = rng.choice(list(true))
+            before, span = true[kind]()
+            want.add((i, kind, len(text + before), len(text + before + span)))
+            text += before + span
+        else:
+            text += rng.choice(false)()
+        rows.append((i, text + " and so on"))
+    got = {(r.doc_id, s.kind, s.start, s.end) for r in pii.tag(spark.createDataFrame(rows, "doc_id long, text string")).collect() for s in r.spans}
+    assert len(got & want) >= 0.9 * len(want) and len(got & want) >= 0.9 * len(got)
+
+
+def test_overlaps_in_long_texts(spark):
+    """Added spans beside thousands of base spans, against all pairs."""
+    text = " ".join(f"call +1 555 123 4{i % 10}67 or (555) 123-4{i % 10}67 mail a{i}@b.org" for i in range(700))
+    spans = pii.tag(spark.createDataFrame([(1, text)], "doc_id long, text string")).first().spans
+    base, more = ([s for s in spans if (s.order < 4) == b] for b in (True, False))
+    assert len(base) == 1400 and len(more) == 700 and not any(b.start < s.end and s.start < b.end for s in more for b in base)
