@@ -45,7 +45,7 @@ def op5_pfair_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op6_harmonic_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     import public_tokenizers
 
-    pieces = packing.pack(read_table(spark, sf_dir, "documents"), public_tokenizers.path("byte_bpe_50k.json"), public_tokenizers.path("byte_bpe_50k.tiktoken"))
+    pieces = packing.pack(_documents(spark, sf_dir), public_tokenizers.path("byte_bpe_50k.json"), public_tokenizers.path("byte_bpe_50k.tiktoken"))
     return packing.digest(pieces)
 
 
