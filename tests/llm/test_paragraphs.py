@@ -130,3 +130,72 @@ def test_the_query_has_every_row(spark, tmp_path):
     shared = [r for r in got if r[0] in (1, 4)]
     assert sorted((r for r in got if r not in shared), key=repr) == sorted(none, key=repr)
     assert sorted((r[0], r[1], r[3]) for r in shared) == [(1, 1, 0), (4, 1, len(same)), (4, 1, len(same))]
+
+
+def brute_result(texts, min_words):
+    """The whole result over the paragraphs of each text: all pairs of lines by exact similarity, equal passages, clusters over documents, what stays, merged spans and components."""
+    marker = paragraphs.Marker(*paragraphs.tune(), min_words)
+    found = []
+    for d, t in texts.items():
+        raw = (t or "").encode()
+        p, _ = marker.mark(np.frombuffer(raw, np.uint8), np.array([0, len(raw)]))
+        for kind, a, b in zip(p["kind"].tolist(), p["start"].tolist(), p["end"].tolist(), strict=True):
+            found.append((d, kind, a, b, t[a:b].encode().lower().split()))
+    root = list(range(len(found)))
+
+    def find(parent, x):
+        while parent[x] != x:
+            x = parent[x]
+        return x
+
+    sets = [paragraphs.shingles(" ".join(w.decode() for w in f[4])) for f in found]
+    for i in range(len(found)):
+        for j in range(i):
+            alike = found[i][4][:32] == found[j][4][:32] if found[i][1] else len(sets[i] & sets[j]) >= 0.8 * len(sets[i] | sets[j])
+            if found[i][1] == found[j][1] and alike:
+                root[find(root, i)] = find(root, j)
+    clusters = defaultdict(list)
+    for i, f in enumerate(found):
+        clusters[find(root, i)].append(f)
+    out, parent = defaultdict(lambda: [0, []]), {d: d for d in texts}
+    for own in clusters.values():
+        docs = {f[0] for f in own}
+        if len(docs) < 2:
+            continue
+        first = min(own, key=lambda f: (f[0], f[2]))
+        for d, _, a, b, _ in own:
+            out[d][0] += 1
+            if (d, a) != (first[0], first[2]):
+                out[d][1].append((a, b))
+            x, y = sorted((find(parent, d), find(parent, first[0])))
+            parent[y] = x
+    rows = []
+    for d in texts:
+        n, spans = out[d]
+        merged = []
+        for a, b in sorted(set(spans)):
+            if merged and merged[-1][1] >= a:
+                merged[-1][1] = max(merged[-1][1], b)
+            else:
+                merged.append([a, b])
+        rows.append((d, find(parent, d), n, sum(b - a for a, b in merged), ",".join(f"{a}:{b}" for a, b in merged)))
+    return sorted(rows)
+
+
+@pytest.mark.parametrize("block", [2048, 3])
+def test_the_whole_result_against_brute_force(spark, block):
+    rng = random.Random(17)
+    lines = [words(rng, rng.choice([3, 5, 7, 12, 30, 45, 90])) for _ in range(25)]
+    texts = {}
+    for d in range(60):
+        own = []
+        for _ in range(rng.randint(1, 5)):
+            line = rng.choice(lines)[:] if rng.random() < 0.6 else words(rng, rng.randint(1, 60))
+            if rng.random() < 0.3 and len(line) >= 30:  # near copies well over the threshold
+                line[rng.choice([0, -1])] = f"edit{rng.randint(0, 3)}"
+            own.append(" ".join(line))
+        texts[d] = ("\n" if d % 3 else " ").join(own)
+    texts |= {100: None, 101: "", 102: "x " * 200}
+    df = spark.createDataFrame([(d, t) for d, t in texts.items()], "doc_id long, text string")
+    got = paragraphs.digest(paragraphs.every(df, paragraphs.repeated(df, block=block, min_words=paragraphs.SHINGLE)))
+    assert sorted(map(tuple, got.collect())) == brute_result(texts, paragraphs.SHINGLE)
