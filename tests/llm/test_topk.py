@@ -50,9 +50,43 @@ def test_bounds_leave_nodes_out():
     products = topk._products
     topk._products = lambda q, w: seen.append(len(w)) or products(q, w)
     try:
-        got = topk.search(tree, np.array([-1]), v[:1], np.array([np.iinfo(np.int64).min]), 5, False)
+        got = topk.search(tree, np.array([-1]), v[:1], np.array([np.iinfo(np.int64).min]), 5)
     finally:
         topk._products = products
     scores = (v @ v[0]).astype(int)
     assert sorted(got["score"], reverse=True) == sorted(scores, reverse=True)[:5]
     assert sum(seen) < len(v) / 2
+
+
+def test_parts_of_space():
+    rng = np.random.default_rng(4)
+    centres = rng.normal(0, 400, (8, 6))
+    v = np.concatenate([c + rng.normal(0, 5, (200, 6)) for c in centres])
+    nodes = topk.cut(v[rng.permutation(len(v))[:400]], 8)
+    part = topk.part_of(v, nodes)
+    assert set(part) == set(range(8)) and np.bincount(part).max() < 3 * len(v) / 8
+    assert topk.cut(np.ones((50, 3)), 4) == [] and topk.part_of(np.ones((3, 3)), []).tolist() == [0, 0, 0]
+
+
+def test_roots_leave_shards_out(spark, monkeypatch):
+    """Clustered vectors: few of the pairs of blocks and shards are moved, and the result is exact; many copies of one vector too."""
+    rng = np.random.default_rng(5)
+    centres = rng.normal(0, 2, (12, 6))
+    rows = [(i, (centres[i % 12] + rng.normal(0, 0.02, 6)).tolist()) for i in range(1200)] + [(5000 + i, centres[0].tolist()) for i in range(300)]
+    exact = [(i, [float(np.float32(x)) for x in v]) for i, v in rows]
+    moved = []
+    written = topk.materialise
+    monkeypatch.setattr(topk, "materialise", lambda df, name: (moved.append(written(df, name)), moved[-1])[1] if name in ("query-pairs", "query-blocks", "trees") else written(df, name))
+    got = topk.top_k(spark.createDataFrame(rows, "vec_id long, embedding array<float>"), shard_rows=100, block_queries=8, leaf=16)
+    assert sorted(map(tuple, got.collect())) == brute(exact)
+    trees, blocks, pairs = (df.count() for df in moved)
+    assert pairs < trees * blocks / 2
+
+
+def test_pages_of_roots(spark, monkeypatch):
+    monkeypatch.setattr(topk, "ROOTS", 3)
+    rng = np.random.default_rng(6)
+    rows = [(i, rng.normal(0, 0.3, 4).tolist()) for i in range(500)]
+    exact = [(i, [float(np.float32(x)) for x in v]) for i, v in rows]
+    got = topk.top_k(spark.createDataFrame(rows, "vec_id long, embedding array<float>"), shard_rows=40, block_queries=2, leaf=8)
+    assert sorted(map(tuple, got.collect())) == brute(exact)
