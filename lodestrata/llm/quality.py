@@ -104,7 +104,7 @@ def measure(docs: DataFrame, common_words: dict[str, str] | None = None) -> Data
 
 
 def passing(docs: DataFrame) -> DataFrame:
-    """The documents that pass, with all their columns: the texts are measured for the references, and again for the verdicts, but never shuffled."""
+    """The documents that pass, with all their columns. Rows are written with their figures, so that texts are measured once, and never shuffled."""
     lists = {k: [w.encode() for w in v.split()] for k, v in COMMON_WORDS.items()}
     figures = pa.struct([(n, t) for n, t in _FIELDS[2:]])
 
@@ -114,8 +114,8 @@ def passing(docs: DataFrame) -> DataFrame:
         return pa.array([dict(zip((f.name for f in figures), r, strict=True)) for r in rows], figures)
 
     whole = docs.select(whole_row(docs), F.col("lang").cast("string").alias("lang"), F.col("text").cast("string").alias("text"))
-    whole = whole.withColumn("m", measured.asNondeterministic()("text", "lang"))  # so that it runs once, not once per figure
-    judged = judge(whole.select("row", "lang", "m.*"), materialise(references(measure(docs)), "quality-references"))
+    whole = materialise(whole.select("row", "lang", measured.asNondeterministic()("text", "lang").alias("m")), "quality-rows")
+    judged = judge(whole.select("row", "lang", "m.*"), materialise(references(whole.select("lang", "m.*")), "quality-references"))
     return judged.filter("kept").select("row.*")
 
 
