@@ -131,7 +131,8 @@ def _placed(docs: DataFrame, only: tuple[str, ...] | None, weights: dict[str, fl
     if only:
         rows = rows.withColumn("row", F.struct(*[F.col(f"row.{c}") for c in only]))
     numbered = rows.withColumn("nth", F.row_number().over(Window.partitionBy("key", "bucket").orderBy("h", "id")).cast("long") - 1)
-    placed = numbered.join(before, ["key", "bucket"]).join(F.broadcast(own) if few else own, "key")
+    # numbered rows are dealt by these keys already
+    placed = numbered.join(before.hint("merge"), ["key", "bucket"]).join(F.broadcast(own) if few else own, "key")
     placed = placed.withColumn("at", F.col("nth") + F.col("before"))
     # epochs in two steps, so that no list is long
     most = F.floor((F.col("docs") - 1 - F.col("at")) / F.col("n"))
