@@ -95,9 +95,64 @@ def op10_paragraph_minhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return paragraphs.digest(paragraphs.every(docs, paragraphs.repeated(docs, min_words=paragraphs.SHINGLE)))
 
 
+def pii_base_spans(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """What SQL can say of op1: the counts and the digest of its base spans."""
+    return op1_pii_weak_supervision(spark, sf_dir).drop("spans")
+
+
+def secret_base_spans(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """What SQL can say of op9: the counts and the digest of its base spans."""
+    return op9_secret_scan(spark, sf_dir).drop("spans")
+
+
+def _spans_sql(kinds: dict[str, tuple[str, str]]) -> str:
+    """Counts and digest of leftmost non-overlapping matches: by kind, its pattern and a condition on ``found``. Gaps and matches alternate, which gives places."""
+    each = []
+    for order, (kind, (pattern, fits)) in enumerate(kinds.items()):
+        quoted = "'" + pattern.replace("'", "''") + "'"
+        each.append(f"""
+        SELECT rid, '{kind}' AS kind, {order} AS ord, found, start FROM (
+            SELECT rid, fs[i] AS found, CAST(coalesce(list_sum(list_transform(gs[1:i], lambda x: length(x))), 0) + coalesce(list_sum(list_transform(fs[1:i - 1], lambda x: length(x))), 0) AS BIGINT) AS start
+            FROM (SELECT *, unnest(range(1, len(fs) + 1)) AS i FROM (SELECT rid, regexp_extract_all(text, {quoted}) AS fs, string_split_regex(text, {quoted}) AS gs FROM docs))
+        ) WHERE {fits.replace("PATTERN", quoted)}""")
+    counts = ", ".join(f"count(*) FILTER (kind = '{k}') AS n_{k}" for k in kinds)
+    return f"""
+    WITH docs AS (SELECT row_number() OVER () AS rid, doc_id, coalesce(text, '') AS text FROM documents),
+    spans AS ({" UNION ALL ".join(each)})
+    SELECT doc_id, {counts}, sha256(coalesce(string_agg(kind || ':' || start || ':' || (start + length(found)), ',' ORDER BY start, ord), '')) AS base_sha256
+    FROM docs LEFT JOIN spans USING (rid) GROUP BY rid, doc_id"""
+
+
+_DIGITS = "regexp_replace(found, '[^0-9]', '', 'g')"
+_LUHN = f"""list_sum(list_transform(range(1, length({_DIGITS}) + 1), lambda i: CASE WHEN i % 2 = 1 THEN CAST(reverse({_DIGITS})[i] AS INTEGER)
+    ELSE CAST(reverse({_DIGITS})[i] AS INTEGER) * 2 - CASE WHEN CAST(reverse({_DIGITS})[i] AS INTEGER) > 4 THEN 9 ELSE 0 END END)) % 10 = 0"""
+
+PII_SQL = _spans_sql({
+    "email": (r"[A-Za-z0-9._%+-]+@[A-Za-z0-9-]+(?:\.[A-Za-z0-9-]+)+", "true"),
+    "ip": (r"[0-9]+(?:\.[0-9]+)(?:\.[0-9]+)(?:\.[0-9]+)", "len(list_filter(string_split(found, '.'), lambda x: length(ltrim(x, '0')) > 3 OR coalesce(TRY_CAST(x AS BIGINT), 999) > 255)) = 0"),
+    "card": (r"[0-9](?:[\x20-]?[0-9])+", f"length({_DIGITS}) BETWEEN 12 AND 19 AND {_LUHN}"),
+    "phone": (r"\+[0-9][\x20().0-9-]+[0-9]", f"length({_DIGITS}) BETWEEN 9 AND 15"),
+})
+
+SECRET_SQL = _spans_sql({
+    "assign": (r"""(?i:password|passwd|secret|token|api_?key)["']?\x20*[:=]\x20*["']?(?:[A-Za-z0-9+/_.=-]+)""", r"""length(regexp_extract(found, '[:=]\x20*["'']?([A-Za-z0-9+/_.=-]+)$', 1)) >= 6"""),
+    "access": (r"AKIA[A-Z0-9]+", "length(found) >= 20"),
+    "hex": (r"[0-9a-f]+", "length(found) >= 24"),
+})
+
+
+_OPERATORS = (
+    op1_pii_weak_supervision, op2_chat_prefix_tree, op3_simhash_trie, op4_suffix_repeats, op5_pfair_mix, op6_harmonic_packing,
+    op7_quality_divergence, op8_ball_tree_top_k, op9_secret_scan, op10_paragraph_minhash, pii_base_spans, secret_base_spans,
+)
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_pii_weak_supervision, op2_chat_prefix_tree, op3_simhash_trie, op4_suffix_repeats, op5_pfair_mix, op6_harmonic_packing, op7_quality_divergence, op8_ball_tree_top_k, op9_secret_scan, op10_paragraph_minhash)}
+    return {f.__name__: f for f in _OPERATORS}
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op2_chat_prefix_tree": CHAT_SQL, "op5_pfair_mix": mixing.mix_sql(), "op7_quality_divergence": quality.rules_sql(), "op8_ball_tree_top_k": TOP_K_SQL}
+    return {
+        "op2_chat_prefix_tree": CHAT_SQL, "op5_pfair_mix": mixing.mix_sql(), "op7_quality_divergence": quality.rules_sql(), "op8_ball_tree_top_k": TOP_K_SQL,
+        "pii_base_spans": PII_SQL, "secret_base_spans": SECRET_SQL,
+    }
