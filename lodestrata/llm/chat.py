@@ -114,7 +114,7 @@ def prefix_tree(conversations: DataFrame, tokenizer_path: str, ranks_path: str |
     here = Window.partitionBy("range").orderBy("path")
     # one row per range of the sort: where the one before it ends
     ends = ordered.groupBy("range").agg(F.max("path").alias("last")).withColumn("last", F.lag("last").over(Window.orderBy("range")))
-    lined = ordered.withColumn("nth", F.row_number().over(here)).withColumn("before", F.lag("path").over(here)).join(F.broadcast(ends), "range")
+    lined = ordered.withColumn("nth", F.row_number().over(here)).withColumn("before", F.lag("path").over(here)).join(ends.hint("merge"), "range")  # dealt by range already
     lined = lined.withColumn("shared", F.size(F.array_intersect("path", F.coalesce("before", "last", F.array().cast("array<string>")))))  # keys are of whole prefixes
     each = lined.select("run", "range", "nth", "shared", "path", F.posexplode(F.slice("turns", F.col("shared") + 1, F.size("turns"))).alias("i", "t")).withColumn("depth", F.col("i") + F.col("shared"))
     each = each.select("run", "range", "nth", "depth", F.col("path")[0].alias("tree"), F.get("path", F.col("depth")).alias("key"), F.get("path", F.col("depth") - 1).alias("parent"), "t.role", "t.text")
@@ -122,7 +122,7 @@ def prefix_tree(conversations: DataFrame, tokenizer_path: str, ranks_path: str |
     slim = nodes.select("run", "range", "nth", "depth", "tree", "key", "parent", "length")
     # one row per range of the sort
     totals = slim.groupBy("range").agg(F.sum("length").alias("total")).withColumn("before", F.sum("total").over(Window.orderBy("range")) - F.col("total"))
-    placed = slim.join(F.broadcast(totals), "range").withColumn("at", F.col("before") + F.sum("length").over(Window.partitionBy("range").orderBy("nth", "depth")) - F.col("length"))
+    placed = slim.join(totals.hint("merge"), "range").withColumn("at", F.col("before") + F.sum("length").over(Window.partitionBy("range").orderBy("nth", "depth")) - F.col("length"))
     placed = placed.withColumn("head", F.min("at").over(Window.partitionBy("range", "nth")))
     placed = materialise(placed.select("run", "depth", "tree", "key", "parent", "length", "at", "head"), "chat-places")
     starts = materialise(placed.filter("depth = 0").select("tree", F.col("at").alias("first")), "chat-trees")
