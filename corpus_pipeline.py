@@ -2,7 +2,8 @@
 
 All stages but the last return the columns of documents. Quality rules drop what they reject; of each group of
 near-duplicates one document stays; secrets are replaced in the texts; the mixture repeats documents of
-sources above their natural share and puts rows in its order; packing returns the pieces of the sequences.
+sources above their natural share and puts rows in its order; packing returns the pieces of the sequences. Near-dedup takes its
+candidates from the SimHash trie join and from MinHash bands, and keeps one document of each group that is alike by exact similarity.
 
 Null and empty texts fail the quality rules. Near-dedup drops rows, not ids; rows without an id are
 held to each other only. A null text stays null in the secret scan and is one token in the packing. A null
