@@ -3,30 +3,17 @@
 from __future__ import annotations
 
 import gc
-import tempfile
 import uuid
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..storage import shared_folder
+
 #: ASCII blanks: the word separators of every operator here.
 BLANKS = " \t\n\r\x0b\x0c"
 
 
-def shared_dir(spark: SparkSession) -> str:
-    """The folder that driver and executors share: spark.checkpoint.dir, or a local one where it is unset (tests)."""
-    configured = spark.conf.get("spark.checkpoint.dir", None)
-    if configured:
-        return configured.rstrip("/")
-    if not spark.sparkContext.master.startswith("local"):
-        raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
-    current = spark.sparkContext.getCheckpointDir()
-    if current is None:
-        spark.sparkContext.setCheckpointDir(tempfile.mkdtemp(prefix="lodestrata-"))
-        current = spark.sparkContext.getCheckpointDir()
-    return current.rstrip("/")
-
-
 def whole_row(df: DataFrame) -> Column:
     """All columns as one struct ``row``, out of the way of an operator's own names."""
     return F.struct(*[F.col(f"`{c.replace('`', '``')}`") for c in df.columns]).alias("row")
@@ -38,7 +25,7 @@ def table_path(spark: SparkSession, name: str) -> str:
 
 def application_dir(spark: SparkSession) -> str:
     """Where this application's intermediate tables are. Results may read them lazily, so they stay until clear() or until someone removes the folder."""
-    return f"{shared_dir(spark)}/lodestrata/{spark.sparkContext.applicationId}"
+    return f"{shared_folder(spark)}/lodestrata/{spark.sparkContext.applicationId}"
 
 
 def clear(spark: SparkSession) -> None:
