@@ -74,7 +74,24 @@ def region_properties(spark, sf_dir):
     return _rounded(_features(spark, sf_dir))
 
 
-@_query()
+_HULLS = """
+    spans AS (SELECT label, y, min(x) AS first, max(x) AS last, count(DISTINCT x) AS n FROM pixels WHERE label > 0 GROUP BY label, y),
+    points AS (
+        SELECT label, 2 * y + d AS h, CAST(last AS DOUBLE) + CASE WHEN d = 0 THEN 0.5 ELSE 0 END AS r,
+            CAST(first AS DOUBLE) - CASE WHEN d = 0 THEN 0.5 ELSE 0 END AS l
+        FROM spans, (VALUES (-1), (0), (1)) t(d)),
+    lines AS (SELECT label, CAST(unnest(range(min(y), max(y) + 1)) AS INTEGER) AS y FROM spans GROUP BY label),
+    reach AS (
+        SELECT lines.label, lines.y,
+            max(CASE WHEN a.h = b.h THEN greatest(a.r, b.r) ELSE a.r + (2 * lines.y - a.h) * (b.r - a.r) / (b.h - a.h) END) AS r,
+            min(CASE WHEN a.h = b.h THEN least(a.l, b.l) ELSE a.l + (2 * lines.y - a.h) * (b.l - a.l) / (b.h - a.h) END) AS l
+        FROM lines JOIN points a ON a.label = lines.label AND a.h <= 2 * lines.y JOIN points b ON b.label = lines.label AND b.h >= 2 * lines.y
+        GROUP BY lines.label, lines.y),
+    hulls AS (SELECT label, CAST(sum(floor(r + 1e-9) - ceil(l - 1e-9) + 1) AS BIGINT) AS convex_area FROM reach GROUP BY label),
+    areas AS (SELECT label, CAST(sum(n) AS BIGINT) AS area FROM spans GROUP BY label)"""
+
+
+@_query(f"WITH {_REGIONS}, {_HULLS} SELECT label, area, convex_area, round(area / CAST(convex_area AS DOUBLE), 6) AS solidity FROM areas JOIN hulls USING (label)")
 def region_solidity(spark, sf_dir):
     return _rounded(regions.region_solidity(_pixels(spark, sf_dir)))
 
@@ -122,9 +139,9 @@ def feedback_cells(spark, sf_dir):
     return _rounded(feedback.cells(select.select_rare(_features(spark, sf_dir))))
 
 
-@_query(f"WITH {_REGIONS} SELECT {_CELLS} FROM features WHERE label IN (SELECT c_custkey FROM customer WHERE c_custkey % 7 = 0)")
+@_query(f"WITH {_REGIONS} SELECT {_CELLS} FROM features WHERE label IN (SELECT c_custkey FROM customer)")
 def feedback_lookup(spark, sf_dir):
-    wanted = read_table(spark, sf_dir, "customer").filter("c_custkey % 7 = 0").select(F.col("c_custkey").alias("label"))
+    wanted = read_table(spark, sf_dir, "customer").select(F.col("c_custkey").alias("label"))
     return _rounded(feedback.cells(select.look_up(_features(spark, sf_dir), wanted)))
 
 
@@ -256,13 +273,17 @@ def run_metadata(spark, sf_dir):
     m = _run(spark, "mixed")["metadata"]
     import re
 
-    return _rows(spark, "label string, workflow_name string, yaml_filename string, steps string, verbose int, version string, purpose string, dated boolean", [(m["label"], m["workflow_name"], m["yaml_filename"], ",".join(m["steps"]), m["verbose"], m["version"], m["purpose"], bool(re.fullmatch(r"\d{8}-\d{6}", m["datetime"])))])
+    names = ("label", "workflow_name", "yaml_filename", "steps", "verbose", "version", "purpose")
+    told = m | {"steps": ",".join(m["steps"])}
+    schema = ", ".join(f"{n} {'int' if n == 'verbose' else 'string'}" for n in names) + ", dated boolean"
+    return _rows(spark, schema, [(*[told[n] for n in names], bool(re.fullmatch(r"\d{8}-\d{6}", m["datetime"])))])
 
 
 @_query("SELECT 'step_local' AS step, true AS executed, 'hello' AS test_param, 42 AS number")
 def pipeline_local(spark, sf_dir):
     got = _run(spark, "local")["step_local"]
-    return _rows(spark, "step string, executed boolean, test_param string, number int", [("step_local", got["executed"], got["params_used"]["test_param"], got["params_used"]["number"])])
+    row = ("step_local", got["executed"], got["params_used"]["test_param"], got["params_used"]["number"])
+    return _rows(spark, "step string, executed boolean, test_param string, number int", [row])
 
 
 @_query("SELECT * FROM (VALUES ('step_local', 'first', ''), ('step_local_2', 'second', 'step_local')) t(step, stage, before)")
@@ -284,9 +305,11 @@ def previous_steps(spark, sf_dir):
 @_query("SELECT * FROM (VALUES ('step_env', true, 'example--env_b', true), ('step_local_2', true, '', true)) t(step, executed, requested, matched)")
 def pipeline_step_env(spark, sf_dir):
     s = _run(spark, "step_env")
-    here, there = s["step_local"], s["step_env"]
-    last = s["step_local_2"]
-    return _rows(spark, "step string, executed boolean, requested string, matched boolean", [("step_env", there["executed"], there["requested_environment"], there["environment_match"] and there["process_id"] != here["process_id"]), ("step_local_2", last["executed"], "", last["environment_name"] == here["environment_name"] and last["process_id"] == here["process_id"])])
+    here, there, last = s["step_local"], s["step_env"], s["step_local_2"]
+    elsewhere = there["environment_match"] and there["process_id"] != here["process_id"]
+    back = last["environment_name"] == here["environment_name"] and last["process_id"] == here["process_id"]
+    rows = [("step_env", there["executed"], there["requested_environment"], elsewhere), ("step_local_2", last["executed"], "", back)]
+    return _rows(spark, "step string, executed boolean, requested string, matched boolean", rows)
 
 
 @_query("SELECT * FROM (VALUES ('step_local', 'example--env_b'), ('step_local_2', 'example--env_b')) t(step, environment)")
@@ -298,7 +321,8 @@ def pipeline_env(spark, sf_dir):
 @_query("SELECT * FROM (VALUES ('step_local', 'example--env_a'), ('step_env_b', 'example--env_c'), ('step_local_2', 'example--env_a')) t(step, environment)")
 def pipeline_combined(spark, sf_dir):
     s = _run(spark, "combined")
-    return _rows(spark, "step string, environment string", [("step_local", s["step_local"]["environment_name"]), ("step_env_b", s["step_env_b"]["actual_environment"]), ("step_local_2", s["step_local_2"]["environment_name"])])
+    where = {"step_local": "environment_name", "step_env_b": "actual_environment", "step_local_2": "environment_name"}
+    return _rows(spark, "step string, environment string", [(n, s[n][field]) for n, field in where.items()])
 
 
 _CHECKS = ("string", "integer", "float", "boolean", "list_length", "list_mixed_types", "nested_key", "nested_numbers", "none_value", "has_written_by_env", "has_written_by_pid")
