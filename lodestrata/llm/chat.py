@@ -56,7 +56,10 @@ def unescape(x: Column) -> Column:
 
 def _paths(conversations: DataFrame) -> DataFrame:
     """One row per conversation: its turns, and the keys of its nodes from the root."""
-    turn = F.struct(F.col("turn"), F.coalesce(F.col("role").cast("string"), F.lit("")).alias("role"), F.coalesce(F.col("text").cast("string"), F.lit("")).alias("text"))
+    turn = F.struct(
+        F.col("turn"), F.coalesce(F.col("role").cast("string"), F.lit("")).alias("role"),
+        F.coalesce(F.col("text").cast("string"), F.lit("")).alias("text"),
+    )
     whole = conversations.groupBy("conv_id").agg(F.array_sort(F.collect_list(turn)).alias("turns"))
     link = lambda before, t: F.substring(F.sha2(F.concat(before, F.sha2(t["role"], 256), F.sha2(t["text"], 256)), 256), 1, 32)
     grow = lambda keys, t: F.concat(keys, F.array(link(F.coalesce(F.try_element_at(keys, F.lit(-1)), F.lit("")), t)))
@@ -77,7 +80,10 @@ def tokenised(nodes: DataFrame, tokenizer_path: str, ranks_path: str | None) ->
             parts = [holder[0](x) if x else np.zeros(0, "<u4") for x in (OPEN + role + TEXT, text, CLOSE)]
             a = len(parts[0])
             b = a + len(parts[1])
-            rows.append({"ids": np.concatenate(parts).tobytes(), "length": b + len(parts[2]), "loss_start": a if mask else 0, "loss_end": b if mask else 0})
+            rows.append({
+                "ids": np.concatenate(parts).tobytes(), "length": b + len(parts[2]), "loss_start": a if mask else 0,
+                "loss_end": b if mask else 0,
+            })
         return pa.array(rows, made)
 
     done = nodes.withColumn("t", encode.asNondeterministic()(escape(F.col("role")), escape(F.col("text")), F.col("role") == MASKED_ROLE))
@@ -95,7 +101,9 @@ def _above(runs: DataFrame) -> DataFrame:
         if runs.filter("up IS NOT NULL").isEmpty():
             return runs.select("run", "above")
         t = runs.select(F.col("run").alias("up"), F.col("up").alias("next"), F.col("above").alias("more"))
-        runs = runs.join(t, "up", "left").select("run", F.col("next").alias("up"), F.concat(F.coalesce("more", _no_spans()), "above").alias("above"))
+        runs = runs.join(t, "up", "left").select(
+            "run", F.col("next").alias("up"), F.concat(F.coalesce("more", _no_spans()), "above").alias("above"),
+        )
 
 
 def _touching(merged: Column, s: Column) -> Column:
@@ -116,26 +124,49 @@ def prefix_tree(conversations: DataFrame, tokenizer_path: str, ranks_path: str |
     ends = ordered.groupBy("range").agg(F.max("path").alias("last")).withColumn("last", F.lag("last").over(Window.orderBy("range")))
     lined = ordered.withColumn("nth", F.row_number().over(here)).withColumn("before", F.lag("path").over(here)).join(ends.hint("merge"), "range")  # dealt by range already
     lined = lined.withColumn("shared", F.size(F.array_intersect("path", F.coalesce("before", "last", F.array().cast("array<string>")))))  # keys are of whole prefixes
-    each = lined.select("run", "range", "nth", "shared", "path", F.posexplode(F.slice("turns", F.col("shared") + 1, F.size("turns"))).alias("i", "t")).withColumn("depth", F.col("i") + F.col("shared"))
-    each = each.select("run", "range", "nth", "depth", F.col("path")[0].alias("tree"), F.get("path", F.col("depth")).alias("key"), F.get("path", F.col("depth") - 1).alias("parent"), "t.role", "t.text")
+    each = lined.select(
+        "run", "range", "nth", "shared", "path",
+        F.posexplode(F.slice("turns", F.col("shared") + 1, F.size("turns"))).alias("i", "t"),
+    ).withColumn("depth", F.col("i") + F.col("shared"))
+    each = each.select(
+        "run", "range", "nth", "depth", F.col("path")[0].alias("tree"), F.get("path", F.col("depth")).alias("key"),
+        F.get("path", F.col("depth") - 1).alias("parent"), "t.role", "t.text",
+    )
     nodes = materialise(tokenised(each, tokenizer_path, ranks_path), "chat-nodes")
     slim = nodes.select("run", "range", "nth", "depth", "tree", "key", "parent", "length")
     # one row per range of the sort
-    totals = slim.groupBy("range").agg(F.sum("length").alias("total")).withColumn("before", F.sum("total").over(Window.orderBy("range")) - F.col("total"))
-    placed = slim.join(totals.hint("merge"), "range").withColumn("at", F.col("before") + F.sum("length").over(Window.partitionBy("range").orderBy("nth", "depth")) - F.col("length"))
+    totals = slim.groupBy("range").agg(F.sum("length").alias("total")).withColumn(
+        "before", F.sum("total").over(Window.orderBy("range")) - F.col("total"),
+    )
+    placed = slim.join(totals.hint("merge"), "range").withColumn(
+        "at", F.col("before") + F.sum("length").over(Window.partitionBy("range").orderBy("nth", "depth")) - F.col("length"),
+    )
     placed = placed.withColumn("head", F.min("at").over(Window.partitionBy("range", "nth")))
     placed = materialise(placed.select("run", "depth", "tree", "key", "parent", "length", "at", "head"), "chat-places")
     starts = materialise(placed.filter("depth = 0").select("tree", F.col("at").alias("first")), "chat-trees")
-    placed = placed.join(starts, "tree").select("run", "tree", "key", "parent", "length", (F.col("at") - F.col("first")).alias("offset"), (F.col("head") - F.col("first")).alias("head"))
+    placed = placed.join(starts, "tree").select(
+        "run", "tree", "key", "parent", "length", (F.col("at") - F.col("first")).alias("offset"),
+        (F.col("head") - F.col("first")).alias("head"),
+    )
     placed = materialise(placed, "chat-offsets")
     # a conversation's own nodes are a run of the sequence; what is over it hangs on the parent of its first node
     hung = placed.filter("offset = head").select("run", F.col("parent").alias("key"))
-    over = placed.select("key", F.col("run").alias("up"), F.array(F.struct(F.col("head").alias("start"), (F.col("offset") + F.col("length")).alias("end"))).alias("above"))
+    over = placed.select(
+        "key", F.col("run").alias("up"),
+        F.array(F.struct(F.col("head").alias("start"), (F.col("offset") + F.col("length")).alias("end"))).alias("above"),
+    )
     above = _above(hung.join(over, "key", "left").select("run", "up", F.coalesce("above", _no_spans()).alias("above")))
-    own = F.when(F.col("offset") > F.col("head"), F.array(F.struct(F.col("head").alias("start"), F.col("offset").alias("end")))).otherwise(_no_spans())
-    facts = placed.join(above, "run").select("key", "tree", "offset", F.aggregate(F.concat("above", own), _no_spans(), _touching).alias("ancestors"))
+    own = F.when(
+        F.col("offset") > F.col("head"), F.array(F.struct(F.col("head").alias("start"), F.col("offset").alias("end"))),
+    ).otherwise(_no_spans())
+    facts = placed.join(above, "run").select(
+        "key", "tree", "offset", F.aggregate(F.concat("above", own), _no_spans(), _touching).alias("ancestors"),
+    )
     position = F.aggregate("ancestors", F.lit(0).cast("long"), lambda a, s: a + s["end"] - s["start"])
-    out = nodes.drop("tree").join(facts, "key").select("tree", "key", "parent", "depth", "role", "offset", "length", position.alias("position"), "ancestors", "loss_start", "loss_end", "ids")
+    out = nodes.drop("tree").join(facts, "key").select(
+        "tree", "key", "parent", "depth", "role", "offset", "length", position.alias("position"), "ancestors", "loss_start",
+        "loss_end", "ids",
+    )
     return materialise(out, "chat-tree"), members
 
 
@@ -153,13 +184,19 @@ def read_back(nodes: DataFrame, members: DataFrame, tokenizer_path: str) -> Data
         rows = []
         for x, a, b in zip(ids.to_pylist(), starts.to_pylist(), ends.to_pylist(), strict=True):
             tokens = np.frombuffer(x, "<u4").tolist()
-            rows.append({"formatted": holder[0].decode(tokens, skip_special_tokens=False), "loss": holder[0].decode(tokens[a:b], skip_special_tokens=False)})
+            rows.append({
+                "formatted": holder[0].decode(tokens, skip_special_tokens=False),
+                "loss": holder[0].decode(tokens[a:b], skip_special_tokens=False),
+            })
         return pa.array(rows, made)
 
     read = nodes.withColumn("d", decode.asNondeterministic()("ids", "loss_start", "loss_end")).select("key", "d.*")
     head = F.substring_index("formatted", TEXT, 1)
     body = F.substring("formatted", F.length(head) + len(TEXT) + 1, F.length("formatted") - F.length(head) - len(TEXT) - len(CLOSE))
-    read = read.select("key", unescape(F.substring(head, len(OPEN) + 1, F.length(head))).alias("role"), unescape(body).alias("text"), unescape(F.col("loss")).alias("loss"), F.length("formatted").cast("long").alias("chars"))
+    read = read.select(
+        "key", unescape(F.substring(head, len(OPEN) + 1, F.length(head))).alias("role"), unescape(body).alias("text"),
+        unescape(F.col("loss")).alias("loss"), F.length("formatted").cast("long").alias("chars"),
+    )
     turns = members.select("conv_id", F.posexplode("keys").alias("nth", "key")).join(read, "key")
     return turns.groupBy("conv_id").agg(F.array_sort(F.collect_list(F.struct("nth", "role", "text", "loss", "chars"))).alias("turns"))
 
@@ -168,4 +205,7 @@ def digest(back: DataFrame) -> DataFrame:
     said = F.array_join(F.transform("turns", lambda t: F.concat(t["role"], F.lit("\n"), t["text"], F.lit("\n"))), "")
     loss = F.array_join(F.transform("turns", lambda t: t["loss"]), "")
     chars = F.aggregate("turns", F.lit(0).cast("long"), lambda a, t: a + t["chars"])
-    return back.select("conv_id", F.size("turns").cast("long").alias("n_turns"), F.sha2(said, 256).alias("turns_sha256"), F.length(loss).cast("long").alias("loss_chars"), F.sha2(loss, 256).alias("loss_sha256"), chars.alias("formatted_chars"))
+    return back.select(
+        "conv_id", F.size("turns").cast("long").alias("n_turns"), F.sha2(said, 256).alias("turns_sha256"),
+        F.length(loss).cast("long").alias("loss_chars"), F.sha2(loss, 256).alias("loss_sha256"), chars.alias("formatted_chars"),
+    )

@@ -39,5 +39,7 @@ def components(links: DataFrame, name: str) -> DataFrame:
             drop_table(spark, path)
         current, path = step, new
         if state == seen:
-            return current.select(F.col("a").alias("node"), F.col("b").alias("root")).union(current.select(F.col("b"), F.col("b")).distinct())
+            return current.select(
+                F.col("a").alias("node"), F.col("b").alias("root"),
+            ).union(current.select(F.col("b"), F.col("b")).distinct())
         seen = state

@@ -67,12 +67,16 @@ def marks(docs: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
                 whole_texts = [data[a:b].tobytes() for a, b in zip(bounds[:-1], bounds[1:], strict=True)]
                 prints = np.array([simhash.fingerprint(x, SHINGLE) for x in whole_texts], np.uint64).view(np.int64)
                 arrays = [
-                    ids[at:stop], th[at:stop], pa.array(np.full(n, LINE, np.int8)), pa.array(h1.view(np.int64)), pa.array(h2.view(np.int64)),
+                    ids[at:stop], th[at:stop], pa.array(np.full(
+                        n, LINE, np.int8,
+                    )), pa.array(h1.view(np.int64)), pa.array(h2.view(np.int64)),
                     pa.array(np.zeros(n, np.int32)), pa.array(points.astype(np.int32)), lists, pa.array(prints),
                 ]
                 yield pa.RecordBatch.from_arrays(arrays, ["doc_id", "th", "kind", "h1", "h2", "start", "end", "bands", "fp"])
 
-    return identity(docs).mapInArrow(work, "doc_id long, th long, kind byte, h1 long, h2 long, start int, end int, bands array<long>, fp long")
+    return identity(docs).mapInArrow(
+        work, "doc_id long, th long, kind byte, h1 long, h2 long, start int, end int, bands array<long>, fp long",
+    )
 
 
 def _by_fingerprint(budget: int):
@@ -90,7 +94,10 @@ def _by_fingerprint(budget: int):
 def one_of_each(docs: DataFrame, threshold: float = THRESHOLD, budget: int = BUDGET, block: int = BLOCK) -> DataFrame:
     """The documents, with all columns, less all but one row of each component of near copies: that of the smallest doc_id, then the least text hash. Rows without doc_id are held to each other only, and one of them stays besides."""
     marked = materialise(marks(docs, threshold), "copies")
-    linked = components(materialise(_links(marked, docs, threshold, block, _by_fingerprint(budget)), "copies-links").distinct(), "copies-components")
+    linked = components(
+        materialise(_links(marked, docs, threshold, block, _by_fingerprint(budget)), "copies-links").distinct(),
+        "copies-components",
+    )
     nameless = (F.col("doc_id") == _NO_DOC).alias("nameless")
     # written combined, so that a text with very many copies is one row in the join
     least = marked.groupBy("h1", "h2", nameless).agg(F.min(F.struct("doc_id", "th")).alias("least"))

@@ -55,7 +55,9 @@ def weighed(sizes: DataFrame, weights: dict[str, float] | None, alpha: float, sl
         named = F.create_map(*[F.lit(x) for k, w in weights.items() for x in ("1" + k, float(w))])
         most = max(1.0, *weights.values())
         whole = sizes.agg(F.sum("n").alias("whole"))
-        sizes = _one(sizes, whole).withColumn("w", F.coalesce(named[F.col("key")], F.col("n") / F.col("whole")) * (GIVEN_UNITS / most)).drop("whole")
+        sizes = _one(sizes, whole).withColumn(
+            "w", F.coalesce(named[F.col("key")], F.col("n") / F.col("whole")) * (GIVEN_UNITS / most),
+        ).drop("whole")
     else:
         sizes = sizes.withColumn("w", F.pow(F.col("n").cast("double"), F.lit(float(alpha))) * UNITS)
     sizes = sizes.withColumn("w", F.greatest(F.round("w").cast("long"), F.lit(1)))
@@ -67,11 +69,16 @@ def shares(weighted: DataFrame, slots: int) -> DataFrame:
     """One row: the array ``s`` of (lane, q) by lane; the q add up to ``slots`` (largest remainders, ties by lane, at least one each)."""
     lanes = weighted.groupBy("lane").agg(F.sum("w").alias("w"), F.first("total").alias("total"))
     ideal = F.col("w") * slots
-    lanes = lanes.select("lane", F.greatest(F.call_function("div", ideal, F.col("total")), F.lit(1)).alias("q"), (ideal % F.col("total")).alias("part"))
+    lanes = lanes.select(
+        "lane", F.greatest(F.call_function("div", ideal, F.col("total")), F.lit(1)).alias("q"),
+        (ideal % F.col("total")).alias("part"),
+    )
     one = lanes.agg(F.array_sort(F.collect_list(F.struct("lane", "q", "part"))).alias("s")).filter(F.size("s") > 0)
     one = one.withColumn("left", slots - F.aggregate("s", F.lit(0).cast("long"), lambda a, x: a + x["q"]))
     ordered = F.array_sort(F.transform("s", lambda x: F.struct((-x["part"]).alias("part"), x["lane"].alias("lane"))))
-    one = one.withColumn("more", F.transform(F.slice(ordered, F.lit(1), F.greatest(F.col("left"), F.lit(0)).cast("int")), lambda x: x["lane"]))
+    one = one.withColumn(
+        "more", F.transform(F.slice(ordered, F.lit(1), F.greatest(F.col("left"), F.lit(0)).cast("int")), lambda x: x["lane"]),
+    )
     q = lambda x: x["q"] + F.when(F.array_contains("more", x["lane"]), 1).otherwise(0)
     return one.select(F.transform("s", lambda x: F.struct(x["lane"].alias("lane"), q(x).cast("long").alias("q"))).alias("s"))
 
@@ -119,10 +126,14 @@ def _buckets(docs: DataFrame) -> DataFrame:
     return docs.select(whole_row(docs), _key().alias("key"), h.alias("h"), F.col("doc_id").alias("id"), bucket.alias("bucket"))
 
 
-def _placed(docs: DataFrame, only: tuple[str, ...] | None, weights: dict[str, float] | None, alpha: float, slots: int, block_docs: int) -> DataFrame:
+def _placed(
+    docs: DataFrame, only: tuple[str, ...] | None, weights: dict[str, float] | None, alpha: float, slots: int, block_docs: int,
+) -> DataFrame:
     rows = _buckets(docs)
     counts = materialise(rows.groupBy("key", "bucket").count(), "mix-counts")
-    before = counts.select("key", "bucket", (F.sum("count").over(Window.partitionBy("key").orderBy("bucket")) - F.col("count")).alias("before"))
+    before = counts.select(
+        "key", "bucket", (F.sum("count").over(Window.partitionBy("key").orderBy("bucket")) - F.col("count")).alias("before"),
+    )
     weighted = weighed(counts.groupBy("key").agg(F.sum("count").alias("n")), weights, alpha, slots)
     lanes = materialise(schedule(shares(weighted, slots), slots), "mix-lanes")
     own = materialise(plans(weighted, lanes, slots, block_docs), "mix-sources")
@@ -136,7 +147,9 @@ def _placed(docs: DataFrame, only: tuple[str, ...] | None, weights: dict[str, fl
     placed = placed.withColumn("at", F.col("nth") + F.col("before"))
     # epochs in two steps, so that no list is long
     most = F.floor((F.col("docs") - 1 - F.col("at")) / F.col("n"))
-    placed = placed.withColumn("most", most).withColumn("some", F.explode(F.sequence(F.lit(0).cast("long"), F.floor(F.col("most") / EPOCHS))))
+    placed = placed.withColumn("most", most).withColumn(
+        "some", F.explode(F.sequence(F.lit(0).cast("long"), F.floor(F.col("most") / EPOCHS))),
+    )
     last = F.least(F.col("most"), F.col("some") * EPOCHS + EPOCHS - 1)
     placed = placed.withColumn("epoch", F.explode(F.sequence(F.col("some") * EPOCHS, last)))
     placed = placed.withColumn("turn", F.col("epoch") * F.col("n") + F.col("at"))
@@ -154,13 +167,19 @@ def _placed(docs: DataFrame, only: tuple[str, ...] | None, weights: dict[str, fl
     )
 
 
-def mix(docs: DataFrame, weights: dict[str, float] | None = None, *, alpha: float = ALPHA, slots: int = SLOTS, block_docs: int = BLOCK_DOCS) -> DataFrame:
+def mix(
+    docs: DataFrame, weights: dict[str, float] | None = None, *, alpha: float = ALPHA, slots: int = SLOTS,
+    block_docs: int = BLOCK_DOCS,
+) -> DataFrame:
     """doc_id, source, epoch, block, slot, place, release and deadline. Sorted by (slot, place, source), rows are the mix."""
     placed = _placed(docs, ("doc_id", "source"), weights, alpha, slots, block_docs)
     return placed.select("row.doc_id", "row.source", "epoch", "block", "slot", "place", "release", "deadline")
 
 
-def mixed_rows(docs: DataFrame, weights: dict[str, float] | None = None, *, alpha: float = ALPHA, slots: int = SLOTS, block_docs: int = BLOCK_DOCS) -> DataFrame:
+def mixed_rows(
+    docs: DataFrame, weights: dict[str, float] | None = None, *, alpha: float = ALPHA, slots: int = SLOTS,
+    block_docs: int = BLOCK_DOCS,
+) -> DataFrame:
     """The documents with all their columns, in the mix's order, repeated as it says."""
     return _placed(docs, None, weights, alpha, slots, block_docs).orderBy("slot", "place", "key").select("row.*")
 

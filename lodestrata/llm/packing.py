@@ -23,7 +23,10 @@ from pyspark.sql import functions as F
 
 CAPACITY, CLASSES, TOLERANCE, END_ID = 2048, 64, 64, 1
 SCHEMA = "doc_id long, start long, length long, ids binary, doc_tokens long, sequence_id long, offset long"
-_FIELDS = [("doc_id", pa.int64()), ("start", pa.int64()), ("length", pa.int64()), ("ids", pa.binary()), ("doc_tokens", pa.int64()), ("sequence_id", pa.int64()), ("offset", pa.int64())]
+_FIELDS = [
+    ("doc_id", pa.int64()), ("start", pa.int64()), ("length", pa.int64()), ("ids", pa.binary()), ("doc_tokens", pa.int64()),
+    ("sequence_id", pa.int64()), ("offset", pa.int64()),
+]
 
 
 def load_encoder(tokenizer_path: str, ranks_path: str | None):
@@ -106,7 +109,10 @@ class Bins:
         return [row for _, pieces in bins for row in self._done(pieces)]
 
 
-def pack(docs: DataFrame, tokenizer_path: str, ranks_path: str | None = None, *, end_id: int = END_ID, capacity: int = CAPACITY, classes: int = CLASSES, tolerance: int = TOLERANCE) -> DataFrame:
+def pack(
+    docs: DataFrame, tokenizer_path: str, ranks_path: str | None = None, *, end_id: int = END_ID, capacity: int = CAPACITY,
+    classes: int = CLASSES, tolerance: int = TOLERANCE,
+) -> DataFrame:
     """One row per piece: its document, first token there, ids (little-endian unsigned 32-bit), sequence and offset."""
 
     def table(rows: list[tuple]) -> pa.RecordBatch:

@@ -92,7 +92,9 @@ class Marker:
         # shingles of the long lines, one run per line
         sizes = lb - la - SHINGLE + 1
         at = np.repeat(la - np.concatenate(([0], np.cumsum(sizes)[:-1])), sizes) + np.arange(sizes.sum())
-        bands = self.signatures(one.of(s1, at, at + SHINGLE), np.concatenate(([0], np.cumsum(sizes)[:-1]))) if len(la) else np.zeros((0, self.bands), np.uint64)
+        bands = self.signatures(
+            one.of(s1, at, at + SHINGLE), np.concatenate(([0], np.cumsum(sizes)[:-1])),
+        ) if len(la) else np.zeros((0, self.bands), np.uint64)
         # passages: their windows and themselves inside one document
         ends = np.searchsorted(first, bounds[1:])  # each document's last word + 1
         pa_ = none
@@ -107,7 +109,10 @@ class Marker:
         d = doc[a]
         size = mix((b - a).astype(np.uint64) * np.uint64(2) + kind.astype(np.uint64))
         base = points[bounds[d]]
-        p = {"doc": d, "kind": kind, "h1": (one.of(s1, a, b) ^ size).view(np.int64), "h2": (two.of(s2, a, b) + size).view(np.int64), "start": points[first[a]] - base, "end": points[last[b - 1]] - base}
+        p = {
+            "doc": d, "kind": kind, "h1": (one.of(s1, a, b) ^ size).view(np.int64),
+            "h2": (two.of(s2, a, b) + size).view(np.int64), "start": points[first[a]] - base, "end": points[last[b - 1]] - base,
+        }
         lines, passages = ({k: v[part] for k, v in p.items()} for part in (slice(0, len(la)), slice(len(la), None)))
         return {k: np.concatenate((lines[k], v)) for k, v in self.joined(passages).items()}, bands
 
@@ -118,7 +123,9 @@ class Marker:
             return p
         order = np.lexsort((p["start"], p["h2"], p["h1"], p["doc"]))
         p = {k: v[order] for k, v in p.items()}
-        new = np.concatenate(([True], np.any([p[k][1:] != p[k][:-1] for k in ("doc", "h1", "h2")], axis=0) | (p["start"][1:] > p["end"][:-1])))
+        new = np.concatenate((
+            [True], np.any([p[k][1:] != p[k][:-1] for k in ("doc", "h1", "h2")], axis=0) | (p["start"][1:] > p["end"][:-1]),
+        ))
         at = np.flatnonzero(new)
         return {k: v[at] for k, v in p.items()} | {"end": p["end"][np.append(at[1:], len(new)) - 1]}
 
@@ -136,8 +143,14 @@ def paragraphs(docs: DataFrame, bands: int, rows: int, min_words: int = MIN_WORD
                 if not n:
                     continue
                 row = at + p["doc"]
-                lists = pa.ListArray.from_arrays(pa.array(np.concatenate((np.arange(m + 1), np.full(n - m, m))).astype(np.int32) * bands), pa.array(keys.ravel().view(np.int64)))
-                arrays = [pa.array(ids[row]), pa.array(th[row]), pa.array(p["kind"].astype(np.int8)), pa.array(p["h1"]), pa.array(p["h2"]), pa.array(p["start"].astype(np.int32)), pa.array(p["end"].astype(np.int32)), lists]
+                lists = pa.ListArray.from_arrays(
+                    pa.array(np.concatenate((np.arange(m + 1), np.full(n - m, m))).astype(np.int32) * bands),
+                    pa.array(keys.ravel().view(np.int64)),
+                )
+                arrays = [
+                    pa.array(ids[row]), pa.array(th[row]), pa.array(p["kind"].astype(np.int8)), pa.array(p["h1"]),
+                    pa.array(p["h2"]), pa.array(p["start"].astype(np.int32)), pa.array(p["end"].astype(np.int32)), lists,
+                ]
                 yield pa.RecordBatch.from_arrays(arrays, ["doc_id", "th", "kind", "h1", "h2", "start", "end", "bands"])
 
     return identity(docs).mapInArrow(work, "doc_id long, th long, kind byte, h1 long, h2 long, start int, end int, bands array<long>")
@@ -182,20 +195,32 @@ def similar(bodies: list[str], sides: list[bool] | None = None, threshold: float
     return links
 
 
-def _links(marked: DataFrame, docs: DataFrame, threshold: float, block: int, more: Callable[[DataFrame], DataFrame] | None = None) -> DataFrame:
+def _links(
+    marked: DataFrame, docs: DataFrame, threshold: float, block: int, more: Callable[[DataFrame], DataFrame] | None = None,
+) -> DataFrame:
     """(a, b): links between different lines, named by their hashes. more: from the table of lines, further candidates (h1, h2, bucket)."""
-    lines = marked.filter(F.col("kind") == LINE).groupBy("h1", "h2").agg(*[F.first(c).alias(c) for c in marked.columns if c not in ("kind", "h1", "h2")])
+    lines = marked.filter(F.col("kind") == LINE).groupBy("h1", "h2").agg(*[F.first(c).alias(c) for c in marked.columns if c not in (
+        "kind", "h1", "h2",
+    )])
     lines = materialise(lines, "paragraph-lines")
-    keyed = lines.select("h1", "h2", F.posexplode("bands").alias("band", "key")).select("h1", "h2", F.xxhash64("band", "key").alias("bucket"))
+    keyed = lines.select(
+        "h1", "h2", F.posexplode("bands").alias("band", "key"),
+    ).select("h1", "h2", F.xxhash64("band", "key").alias("bucket"))
     if more:
         keyed = keyed.union(more(lines))
-    buckets = keyed.groupBy("bucket").agg(F.count("*").alias("n"), F.bit_xor("h1").alias("x"), F.sum(F.shiftright("h2", 16)).alias("s")).filter("n > 1")
+    buckets = keyed.groupBy("bucket").agg(
+        F.count("*").alias("n"), F.bit_xor("h1").alias("x"), F.sum(F.shiftright("h2", 16)).alias("s"),
+    ).filter("n > 1")
     # buckets with the same members need one look
-    kept = buckets.groupBy("n", "x", "s").agg(F.min("bucket").alias("bucket")).select("bucket", F.ceil(F.col("n") / block).cast("int").alias("parts"))
+    kept = buckets.groupBy("n", "x", "s").agg(F.min("bucket").alias("bucket")).select(
+        "bucket", F.ceil(F.col("n") / block).cast("int").alias("parts"),
+    )
     members = materialise(keyed.join(kept, "bucket"), "paragraph-members")
     wanted = lines.join(members.select("h1", "h2").distinct(), ["h1", "h2"]).select("doc_id", "th", "h1", "h2", "start", "end")
     gathered = wanted.groupBy("doc_id", "th").agg(F.collect_list(F.struct("h1", "h2", "start", "end")).alias("ws"))
-    d = identity(docs).select(F.coalesce("doc_id", F.lit(_NO_DOC)).alias("doc_id"), "th", F.col("raw").cast("string").alias("text")).filter("text <> ''")
+    d = identity(docs).select(
+        F.coalesce("doc_id", F.lit(_NO_DOC)).alias("doc_id"), "th", F.col("raw").cast("string").alias("text"),
+    ).filter("text <> ''")
     body = F.substring("text", F.col("w.start") + 1, F.col("w.end") - F.col("w.start"))
     bodies = gathered.join(d, ["doc_id", "th"]).select(F.explode("ws").alias("w"), "text").select("w.h1", "w.h2", body.alias("body"))
     bodies = materialise(bodies.dropDuplicates(["h1", "h2"]), "paragraph-bodies")
@@ -228,7 +253,10 @@ def _pivots(hot: DataFrame, bodies: DataFrame, threshold: float) -> tuple[DataFr
         return pa.array(out, pa.bool_())
 
     tested = hot.select("bucket", "h1", "h2").join(bodies, ["h1", "h2"]).join(pivots, "bucket")
-    tested = materialise(tested.select("bucket", "h1", "h2", "pivot", alike.asNondeterministic()("body", "other").alias("near")), "paragraph-pivots")
+    tested = materialise(
+        tested.select("bucket", "h1", "h2", "pivot", alike.asNondeterministic()("body", "other").alias("near")),
+        "paragraph-pivots",
+    )
     found = tested.filter("near").select(F.expr(_NAME).alias("a"), F.col("pivot").alias("b")).filter("a <> b")
     return found, tested.filter("NOT near").select("bucket", "h1", "h2")
 
@@ -240,7 +268,9 @@ def _crossed(hot: DataFrame, rest: DataFrame, block: int) -> DataFrame:
     place = lambda n: F.pmod(F.xxhash64("h1", "h2"), F.col(n)).cast("int")
     every = lambda n: F.explode(F.sequence(F.lit(0), F.col(n) - 1))
     all_ = sized.select("bucket", every("open").alias("i"), place("parts").alias("j"), F.lit(False).alias("side"), "h1", "h2")
-    few = sized.join(rest, ["bucket", "h1", "h2"]).select("bucket", place("open").alias("i"), every("parts").alias("j"), F.lit(True).alias("side"), "h1", "h2")
+    few = sized.join(rest, ["bucket", "h1", "h2"]).select(
+        "bucket", place("open").alias("i"), every("parts").alias("j"), F.lit(True).alias("side"), "h1", "h2",
+    )
     return all_.union(few)
 
 
@@ -253,7 +283,12 @@ def _verified(dealt: DataFrame, bodies: DataFrame, threshold: float) -> DataFram
 
         def table() -> pa.RecordBatch:
             found = similar([h[2] for h in held], [h[0] for h in held] if task[1] >= 0 else None, threshold)
-            return pa.RecordBatch.from_arrays([pa.array([held[z][1] for z in c], pa.string()) for c in zip(*found, strict=True)] if found else [pa.array([], pa.string())] * 2, ["a", "b"])
+            return pa.RecordBatch.from_arrays(
+                [pa.array(
+                    [held[z][1] for z in c], pa.string(),
+                ) for c in zip(*found, strict=True)] if found else [pa.array([], pa.string())] * 2,
+                ["a", "b"],
+            )
 
         for batch in batches:
             for *key, side, node, body in zip(*[c.to_pylist() for c in batch.columns], strict=True):
@@ -279,33 +314,58 @@ def repeated(docs: DataFrame, threshold: float = THRESHOLD, block: int = BLOCK,
     release(spark)
     parts = F.split("node", ":")
     unhex = lambda x: F.conv(x, 16, -10).cast("long")
-    linked = linked.select(unhex(parts[0]).alias("h1"), unhex(parts[1]).alias("h2"), unhex(F.split("root", ":")[0]).alias("r1"), unhex(F.split("root", ":")[1]).alias("r2"))
+    linked = linked.select(
+        unhex(parts[0]).alias("h1"), unhex(parts[1]).alias("h2"), unhex(F.split("root", ":")[0]).alias("r1"),
+        unhex(F.split("root", ":")[1]).alias("r2"),
+    )
     classes = marked.groupBy("kind", "h1", "h2").agg(F.min("doc_id").alias("least"), F.max("doc_id").alias("most"))
     # lines alone can be linked; a class without links is its own cluster
     classes = materialise(classes, "paragraph-classes")
     near = classes.filter(F.col("kind") == LINE).join(linked, ["h1", "h2"])
     spread = near.groupBy("r1", "r2").agg(F.min("least").alias("least"), F.max("most").alias("most")).filter("least < most")
-    near = near.select("h1", "h2", "r1", "r2").join(spread, ["r1", "r2"]).select(F.lit(LINE).cast("byte").alias("kind"), "h1", "h2", "r1", "r2", "least")
-    alone = classes.filter("least < most").join(linked.select(F.lit(LINE).cast("byte").alias("kind"), "h1", "h2"), ["kind", "h1", "h2"], "left_anti")
-    clusters = materialise(near.union(alone.select("kind", "h1", "h2", F.col("h1").alias("r1"), F.col("h2").alias("r2"), "least")), "paragraph-clusters")
+    near = near.select("h1", "h2", "r1", "r2").join(spread, ["r1", "r2"]).select(
+        F.lit(LINE).cast("byte").alias("kind"), "h1", "h2", "r1", "r2", "least",
+    )
+    alone = classes.filter("least < most").join(
+        linked.select(F.lit(LINE).cast("byte").alias("kind"), "h1", "h2"), ["kind", "h1", "h2"], "left_anti",
+    )
+    clusters = materialise(
+        near.union(alone.select("kind", "h1", "h2", F.col("h1").alias("r1"), F.col("h2").alias("r2"), "least")),
+        "paragraph-clusters",
+    )
     found = marked.select("doc_id", "kind", "h1", "h2", "start", "end").join(clusters, ["kind", "h1", "h2"])
     found = materialise(found.select("doc_id", "kind", "r1", "r2", "start", "end", "least"), "paragraph-found")
     release(spark)
     # written, so that a cluster with very many paragraphs can be split when joined
     first = materialise(found.filter("doc_id = least").groupBy("kind", "r1", "r2").agg(F.min("start").alias("first")), "paragraph-first")
-    placed = found.join(first, ["kind", "r1", "r2"]).withColumn("stays", (F.col("doc_id") == F.col("least")) & (F.col("start") == F.col("first")))
-    each = placed.groupBy("doc_id").agg(F.count("*").alias("n_paragraphs"), F.array_sort(F.collect_set(F.when(~F.col("stays"), F.struct("start", "end")))).alias("spans"))
+    placed = found.join(first, ["kind", "r1", "r2"]).withColumn(
+        "stays", (F.col("doc_id") == F.col("least")) & (F.col("start") == F.col("first")),
+    )
+    each = placed.groupBy("doc_id").agg(
+        F.count("*").alias("n_paragraphs"),
+        F.array_sort(F.collect_set(F.when(~F.col("stays"), F.struct("start", "end")))).alias("spans"),
+    )
     spans = F.aggregate("spans", F.array().cast("array<struct<start:int,end:int>>"), _absorb)
-    roots = components(materialise(found.select(F.col("doc_id").alias("a"), F.col("least").alias("b")).filter("a <> b").distinct(), "paragraph-shared"), "paragraph-documents")
+    roots = components(
+        materialise(found.select(F.col("doc_id").alias("a"), F.col("least").alias("b")).filter("a <> b").distinct(), "paragraph-shared"),
+        "paragraph-documents",
+    )
     each = each.join(roots.select(F.col("node").alias("doc_id"), F.col("root").alias("component_id")), "doc_id")
-    each = each.select(F.when(F.col("doc_id") != _NO_DOC, F.col("doc_id")).alias("doc_id"), F.when(F.col("component_id") != _NO_DOC, F.col("component_id")).alias("component_id"), "n_paragraphs", spans.alias("spans"))
+    each = each.select(
+        F.when(F.col("doc_id") != _NO_DOC, F.col("doc_id")).alias("doc_id"),
+        F.when(F.col("component_id") != _NO_DOC, F.col("component_id")).alias("component_id"), "n_paragraphs",
+        spans.alias("spans"),
+    )
     removed = F.aggregate("spans", F.lit(0).cast("long"), lambda a, s: a + s["end"] - s["start"])
     return each.select("doc_id", "component_id", "n_paragraphs", removed.alias("n_removed"), "spans")
 
 
 def _absorb(merged, s):
     last = F.try_element_at(merged, F.lit(-1))
-    grown = F.concat(F.slice(merged, F.lit(1), F.size(merged) - 1), F.array(F.struct(last["start"].alias("start"), F.greatest(last["end"], s["end"]).alias("end"))))
+    grown = F.concat(
+        F.slice(merged, F.lit(1), F.size(merged) - 1),
+        F.array(F.struct(last["start"].alias("start"), F.greatest(last["end"], s["end"]).alias("end"))),
+    )
     return F.when((F.size(merged) > 0) & (last["end"] >= s["start"]), grown).otherwise(F.concat(merged, F.array(s)))
 
 
@@ -314,7 +374,11 @@ def every(docs: DataFrame, found: DataFrame) -> DataFrame:
     ids, found = docs.select(F.col("doc_id").cast("long").alias("doc_id")), found.withColumnRenamed("doc_id", "_doc")
     none, zero = F.array().cast("array<struct<start:int,end:int>>"), F.lit(0).cast("long")
     joined = ids.join(found, F.col("doc_id").eqNullSafe(F.col("_doc")), "left")
-    return joined.select("doc_id", F.coalesce("component_id", "doc_id").alias("component_id"), F.coalesce("n_paragraphs", zero).alias("n_paragraphs"), F.coalesce("n_removed", zero).alias("n_removed"), F.coalesce("spans", none).alias("spans"))
+    return joined.select(
+        "doc_id", F.coalesce("component_id", "doc_id").alias("component_id"),
+        F.coalesce("n_paragraphs", zero).alias("n_paragraphs"), F.coalesce("n_removed", zero).alias("n_removed"),
+        F.coalesce("spans", none).alias("spans"),
+    )
 
 
 def digest(found: DataFrame) -> DataFrame:

@@ -113,14 +113,26 @@ def matches(text: Column, pattern: str) -> Column:
         lengths = F.zip_with(F.slice(gap, F.lit(1), n), F.transform(found, F.length), lambda g, m: F.struct(g.alias("g"), m.alias("m")))
         one_before = F.concat(none, F.slice(found, F.lit(1), n - 1))
         one_after = F.concat(F.slice(found, F.lit(2), n), none)
-        before = F.zip_with(one_before, F.slice(gaps, F.lit(1), n), lambda f, g: F.right(F.concat(F.right(f, F.lit(AFTER)), F.right(g, F.lit(BEFORE))), F.lit(BEFORE)))
-        after = F.zip_with(F.slice(gaps, F.lit(2), n), one_after, lambda g, f: F.left(F.concat(F.left(g, F.lit(AFTER)), F.left(f, F.lit(AFTER))), F.lit(AFTER)))
+        before = F.zip_with(
+            one_before, F.slice(gaps, F.lit(1), n),
+            lambda f, g: F.right(F.concat(F.right(f, F.lit(AFTER)), F.right(g, F.lit(BEFORE))), F.lit(BEFORE)),
+        )
+        after = F.zip_with(
+            F.slice(gaps, F.lit(2), n), one_after,
+            lambda g, f: F.left(F.concat(F.left(g, F.lit(AFTER)), F.left(f, F.lit(AFTER))), F.lit(AFTER)),
+        )
 
         def spans(ls: Column) -> Column:
             begins = sums_before(F.transform(ls, lambda x: x["g"] + x["m"]))
             each = F.arrays_zip(ls.alias("l"), begins.alias("b"), found.alias("found"), before.alias("before"), after.alias("after"))
             start = lambda x: x["b"] + x["l"]["g"]
-            return F.transform(each, lambda x: F.struct(start(x).alias("start"), (start(x) + x["l"]["m"]).alias("end"), x["found"].alias("found"), x["before"].alias("before"), x["after"].alias("after")))
+            return F.transform(
+                each,
+                lambda x: F.struct(
+                    start(x).alias("start"), (start(x) + x["l"]["m"]).alias("end"), x["found"].alias("found"),
+                    x["before"].alias("before"), x["after"].alias("after"),
+                ),
+            )
 
         return bound(lengths, spans)
 
@@ -137,7 +149,13 @@ def valid(kind: str, found: Column) -> Column:
     """A kind's own check."""
     n = F.length(_digits(found))
     if kind == "ip":
-        return F.forall(F.split(found, r"\."), lambda x: bound(F.regexp_replace(x, "^0+(?=[0-9])", ""), lambda y: (F.length(y) <= 3) & (F.coalesce(y.try_cast("int"), F.lit(999)) <= 255)))
+        return F.forall(
+            F.split(found, r"\."),
+            lambda x: bound(
+                F.regexp_replace(x, "^0+(?=[0-9])", ""),
+                lambda y: (F.length(y) <= 3) & (F.coalesce(y.try_cast("int"), F.lit(999)) <= 255),
+            ),
+        )
     if kind == "card":
         return n.between(12, 19) & F.call_function("luhn_check", _digits(found))
     if kind == "phone":
@@ -147,7 +165,10 @@ def valid(kind: str, found: Column) -> Column:
     if kind == "iban":
         turned = bound(F.replace(found, F.lit(" ")), lambda x: F.concat(F.substring(x, 5, 40), F.substring(x, 1, 4)))
         digit = lambda x: F.when(x.rlike("[0-9]"), x.try_cast("int")).otherwise(F.ascii(x) - 55)
-        return F.aggregate(F.split(turned, ""), F.lit(0), lambda a, x: F.when(x == "", a).otherwise(((a * F.when(digit(x) > 9, 100).otherwise(10)) + digit(x)) % 97)) == 1
+        return F.aggregate(
+            F.split(turned, ""), F.lit(0),
+            lambda a, x: F.when(x == "", a).otherwise(((a * F.when(digit(x) > 9, 100).otherwise(10)) + digit(x)) % 97),
+        ) == 1
     return F.lit(True)
 
 
@@ -188,7 +209,9 @@ def votes(c: Column) -> Column:
     code = F.regexp_extract(c["found"], r"^\+([0-9]{1,3})(?=[\x20()-])", 1)
     first = F.regexp_extract(c["found"], r"^\S+ (\S+)", 1)
     gazetteer = by_kind({
-        "email": listed(F.lower(F.regexp_extract(c["found"], r"\.([A-Za-z]+)$", 1)), TOP_DOMAINS), "masked_email": listed(F.lower(F.regexp_extract(c["found"], r"([A-Za-z]+)$", 1)), TOP_DOMAINS),
+        "email": listed(
+            F.lower(F.regexp_extract(c["found"], r"\.([A-Za-z]+)$", 1)), TOP_DOMAINS,
+        ), "masked_email": listed(F.lower(F.regexp_extract(c["found"], r"([A-Za-z]+)$", 1)), TOP_DOMAINS),
         "phone": F.when(code == "", 0).otherwise(listed(code, CALLING_CODES)),
         "named": F.when(first.isin(*FIRST_NAMES.split()), 1).when(first.isin(*NO_NAMES.split()), -1).otherwise(0),
     }, F.lit(0))
@@ -200,12 +223,17 @@ def votes(c: Column) -> Column:
 
 def estimate(voted: DataFrame, rounds: int = ROUNDS) -> dict:
     """Prior and reliabilities by expectation-maximisation over the counts of vote patterns (column votes), with clamps that keep labelers better than chance."""
-    counts = voted.groupBy("votes").count().agg(F.array_sort(F.collect_list(F.struct("votes", F.col("count").cast("double").alias("n")))).alias("ps"))
+    counts = voted.groupBy("votes").count().agg(F.array_sort(F.collect_list(F.struct(
+        "votes", F.col("count").cast("double").alias("n"),
+    ))).alias("ps"))
     counts = counts.select(F.when(F.size("ps") > 0, F.col("ps")).alias("ps"))
 
     def step(state: Column, _: Column) -> Column:
         log_odds = lambda vs: F.ln(state["prior"] / (1 - state["prior"])) + F.aggregate(F.zip_with(vs, state["right"], lambda v, r: v * F.ln(r / (1 - r))), F.lit(0.0), lambda a, x: a + x)
-        soft = F.transform("ps", lambda p: F.struct(p["votes"].alias("votes"), p["n"].alias("n"), (1 / (1 + F.exp(-log_odds(p["votes"])))).alias("t")))
+        soft = F.transform(
+            "ps",
+            lambda p: F.struct(p["votes"].alias("votes"), p["n"].alias("n"), (1 / (1 + F.exp(-log_odds(p["votes"])))).alias("t")),
+        )
 
         def again(ps: Column) -> Column:
             total = lambda f: F.aggregate(ps, F.lit(0.0), lambda a, p: a + f(p))
@@ -213,7 +241,13 @@ def estimate(voted: DataFrame, rounds: int = ROUNDS) -> dict:
             given = lambda j: total(lambda p: p["n"] * F.abs(p["votes"][j]))
             clamp = lambda x, low, high: F.least(F.greatest(x, F.lit(low)), F.lit(high))
             prior = clamp((total(lambda p: p["n"] * p["t"]) + 1) / (total(lambda p: p["n"]) + 2), 0.02, 0.98)
-            return F.struct(prior.alias("prior"), F.transform(F.sequence(F.lit(0), F.lit(len(LABELERS) - 1)), lambda j: clamp((agreed(j) + 8) / (given(j) + 10), 0.55, 0.99)).alias("right"))
+            return F.struct(
+                prior.alias("prior"),
+                F.transform(
+                    F.sequence(F.lit(0), F.lit(len(LABELERS) - 1)),
+                    lambda j: clamp((agreed(j) + 8) / (given(j) + 10), 0.55, 0.99),
+                ).alias("right"),
+            )
 
         return bound(soft, again)
 
@@ -232,9 +266,15 @@ def probability(vs: Column, model: dict) -> Column:
 def features(c: Column) -> Column:
     """Buckets of a candidate's hashed features."""
     words = [
-        c["kind"], F.concat_ws(":", c["kind"], F.length(c["found"]).cast("string")), F.concat_ws(":", F.lit("v"), c["kind"], c["valid"].cast("string")),
-        F.concat_ws(":", F.lit("b"), F.lower(F.regexp_extract(c["before"], r"(\p{L}+)\P{L}*$", 1))), F.concat_ws(":", F.lit("a"), F.lower(F.regexp_extract(c["after"], r"^\P{L}*(\p{L}+)", 1))),
-        F.concat_ws(":", F.lit("x"), F.translate(F.regexp_extract(c["before"], "(.{0,2})$", 1), "0123456789", "9999999999")), F.concat_ws(":", F.lit("y"), F.translate(F.regexp_extract(c["after"], "^(.{0,2})", 1), "0123456789", "9999999999")),
+        c["kind"], F.concat_ws(":", c["kind"], F.length(c["found"]).cast("string")), F.concat_ws(
+            ":", F.lit("v"), c["kind"], c["valid"].cast("string"),
+        ),
+        F.concat_ws(
+            ":", F.lit("b"), F.lower(F.regexp_extract(c["before"], r"(\p{L}+)\P{L}*$", 1)),
+        ), F.concat_ws(":", F.lit("a"), F.lower(F.regexp_extract(c["after"], r"^\P{L}*(\p{L}+)", 1))),
+        F.concat_ws(
+            ":", F.lit("x"), F.translate(F.regexp_extract(c["before"], "(.{0,2})$", 1), "0123456789", "9999999999"),
+        ), F.concat_ws(":", F.lit("y"), F.translate(F.regexp_extract(c["after"], "^(.{0,2})", 1), "0123456789", "9999999999")),
     ]
     return F.array(*[F.pmod(F.xxhash64(w), F.lit(BUCKETS)).cast("int") for w in words])
 
@@ -291,4 +331,6 @@ def joined(spans: Column) -> Column:
 def digest(tagged: DataFrame) -> DataFrame:
     count = lambda k: F.size(F.filter("spans", lambda s: s["kind"] == k)).cast("long").alias(f"n_{k}")
     base = F.filter("spans", lambda s: s["order"] < len(BASE_KINDS))
-    return tagged.select("doc_id", *map(count, BASE_KINDS), F.sha2(joined(base), 256).alias("base_sha256"), joined(F.col("spans")).alias("spans"))
+    return tagged.select(
+        "doc_id", *map(count, BASE_KINDS), F.sha2(joined(base), 256).alias("base_sha256"), joined(F.col("spans")).alias("spans"),
+    )

@@ -38,7 +38,11 @@ SYMBOLS = "#*$%&|<>"
 CHAR_CLASSES = ("lower", "upper", "digit", "space", "line", "sentence", "symbol", "beyond_ascii")
 _STRIPPED = b".,;:!?\"'()"
 _SCHEMA = "doc_id long, lang string, n_words long, word_chars long, n_symbols long, n_dup_lines long, n_repeat_words long, chars array<long>, common array<long>"
-_FIELDS = [("doc_id", pa.int64()), ("lang", pa.string()), *((n, pa.int64()) for n in ("n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words")), ("chars", pa.list_(pa.int64())), ("common", pa.list_(pa.int64()))]
+_FIELDS = [
+    ("doc_id", pa.int64()), ("lang", pa.string()),
+    *((n, pa.int64()) for n in ("n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words")),
+    ("chars", pa.list_(pa.int64())), ("common", pa.list_(pa.int64())),
+]
 
 
 def _class_table() -> np.ndarray:
@@ -84,7 +88,9 @@ def features(text: str, lang: str | None, lists: dict[str, list[bytes]]) -> tupl
         common = [seen[w] for w in own]
         common.append(sum(seen.values()) - sum(common))
     return (
-        len(words), len(text) - sum(map(text.count, BLANKS)), sum(map(text.count, SYMBOLS)), len(lines) - len(set(lines)), repeated_words(words),
+        len(words), len(text) - sum(map(text.count, BLANKS)), sum(map(
+            text.count, SYMBOLS,
+        )), len(lines) - len(set(lines)), repeated_words(words),
         np.bincount(_TABLE[np.frombuffer(raw, np.uint8)], minlength=9)[:8].tolist(), common,
     )
 
@@ -98,7 +104,9 @@ def measure(docs: DataFrame, common_words: dict[str, str] | None = None) -> Data
             ids, langs = batch.column(0).to_pylist(), batch.column(1).to_pylist()
             rows = [(i, g, *features(t.as_py() or "", g, lists)) for i, g, t in zip(ids, langs, batch.column(2), strict=True)]
             if rows:
-                yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, (_, t) in zip(zip(*rows, strict=True), _FIELDS, strict=True)], [n for n, _ in _FIELDS])
+                yield pa.RecordBatch.from_arrays(
+                    [pa.array(c, t) for c, (_, t) in zip(zip(*rows, strict=True), _FIELDS, strict=True)], [n for n, _ in _FIELDS],
+                )
 
     return docs.select(F.col("doc_id").cast("long"), F.col("lang").cast("string"), F.col("text").cast("string")).mapInArrow(work, _SCHEMA)
 
@@ -140,14 +148,20 @@ def references(measured: DataFrame) -> DataFrame:
     return sums.withColumn("common", F.filter("common", lambda x: x.isNotNull()))
 
 
-def judge(measured: DataFrame, reference: DataFrame, max_char: float = MAX_CHAR_DISTANCE, max_word: float = MAX_WORD_DISTANCE, min_chars: int = MIN_CHARS_JUDGED, min_words: int = MIN_WORDS_JUDGED, min_reference: int = MIN_WORDS_REFERENCE) -> DataFrame:
+def judge(
+    measured: DataFrame, reference: DataFrame, max_char: float = MAX_CHAR_DISTANCE, max_word: float = MAX_WORD_DISTANCE,
+    min_chars: int = MIN_CHARS_JUDGED, min_words: int = MIN_WORDS_JUDGED, min_reference: int = MIN_WORDS_REFERENCE,
+) -> DataFrame:
     """Adds distances and verdicts."""
     r = reference.select("lang", F.col("n_words").alias("r_words"), F.col("chars").alias("r_chars"), F.col("common").alias("r_common"))
     j = measured.withColumn("lang", F.coalesce("lang", F.lit(""))).join(r, "lang")
     sized = F.col("r_words") >= min_reference
     letters = F.aggregate("chars", F.lit(0).cast("long"), lambda a, b: a + b)
     j = j.withColumn("char_distance", F.when(sized & (letters >= min_chars), distance(F.col("chars"), F.col("r_chars"))))
-    j = j.withColumn("word_distance", F.when(sized & (F.col("n_words") >= min_words) & (F.size("common") > 0), distance(F.col("common"), F.col("r_common"))))
+    j = j.withColumn(
+        "word_distance",
+        F.when(sized & (F.col("n_words") >= min_words) & (F.size("common") > 0), distance(F.col("common"), F.col("r_common"))),
+    )
     failed = (F.col("n_words") < MIN_WORDS) | (100 * F.col("n_repeat_words") > MAX_REPEAT_PERCENT * F.col("n_words"))
     far = F.coalesce(F.col("char_distance") > max_char, F.lit(False)) | F.coalesce(F.col("word_distance") > max_word, F.lit(False))
     return j.withColumn("base_failed", failed).withColumn("kept", ~failed & ~far)
@@ -157,14 +171,21 @@ def apply_rules(docs: DataFrame) -> DataFrame:
     """One row per document: doc_id, the base figures, base_failed, kept and both distances."""
     measured = materialise(measure(docs), "quality")
     judged = judge(measured, references(measured))
-    return judged.select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept", F.round("char_distance", 6).alias("char_distance"), F.round("word_distance", 6).alias("word_distance"))
+    return judged.select(
+        "doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept",
+        F.round("char_distance", 6).alias("char_distance"), F.round("word_distance", 6).alias("word_distance"),
+    )
 
 
 def rules_sql() -> str:
     """The same verdicts in DuckDB SQL over the table documents."""
     quote = lambda x: "'" + x.replace("'", "''") + "'"
     listed = ", ".join(f"({quote(g)}, {i}, {quote(w)})" for g, words in COMMON_WORDS.items() for i, w in enumerate(words.split()))
-    kinds = {"lower": "[^a-z]", "upper": "[^A-Z]", "digit": "[^0-9]", "space": r"[^\x20]", "line": r"[^\x09-\x0D]", "sentence": r"[^.,;:!?'\"()-]", "symbol": r"[a-zA-Z0-9\x20\x09-\x0D.,;:!?'\"()-]|[^\x00-\x7F]", "beyond_ascii": r"[\x00-\x7F]"}
+    kinds = {
+        "lower": "[^a-z]", "upper": "[^A-Z]", "digit": "[^0-9]", "space": r"[^\x20]", "line": r"[^\x09-\x0D]",
+        "sentence": r"[^.,;:!?'\"()-]", "symbol": r"[a-zA-Z0-9\x20\x09-\x0D.,;:!?'\"()-]|[^\x00-\x7F]",
+        "beyond_ascii": r"[\x00-\x7F]",
+    }
     chars = " UNION ALL ".join(f"SELECT rid, lang, {i} AS slot, length(regexp_replace(text, {quote(pattern)}, '', 'g')) AS n FROM docs" for i, pattern in enumerate(kinds[k] for k in CHAR_CLASSES))
     distance = lambda name, counts: f"""{name} AS (
         SELECT rid, sqrt(greatest(sum((CASE WHEN p > 0 THEN p * log2(2 * p / (p + q)) ELSE 0 END) + (CASE WHEN q > 0 THEN q * log2(2 * q / (p + q)) ELSE 0 END)) / 2, 0)) AS far, max(whole) AS whole

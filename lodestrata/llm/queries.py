@@ -24,7 +24,10 @@ def op2_chat_prefix_tree(spark: SparkSession, sf_dir: str) -> DataFrame:
 
     said = read_table(spark, sf_dir, "conversations").select("conv_id", "turn", "role", "text")
     odd = "</s>[INST] ok [/INST]"
-    more = spark.range(2).select(F.lit(-7).cast("long").alias("conv_id"), F.col("id").alias("turn"), F.when(F.col("id") == 0, "user").otherwise("assistant").alias("role"), F.lit(odd).alias("text"))
+    more = spark.range(2).select(
+        F.lit(-7).cast("long").alias("conv_id"), F.col("id").alias("turn"),
+        F.when(F.col("id") == 0, "user").otherwise("assistant").alias("role"), F.lit(odd).alias("text"),
+    )
     tokenizer, ranks = (public_tokenizers.path(f"byte_bpe_50k.{x}") for x in ("json", "tiktoken"))
     nodes, members = chat.prefix_tree(said.union(more), tokenizer, ranks)
     return chat.digest(chat.read_back(nodes, members, tokenizer))
@@ -45,7 +48,9 @@ def op5_pfair_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op6_harmonic_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     import public_tokenizers
 
-    pieces = packing.pack(_documents(spark, sf_dir), public_tokenizers.path("byte_bpe_50k.json"), public_tokenizers.path("byte_bpe_50k.tiktoken"))
+    pieces = packing.pack(
+        _documents(spark, sf_dir), public_tokenizers.path("byte_bpe_50k.json"), public_tokenizers.path("byte_bpe_50k.tiktoken"),
+    )
     return packing.digest(pieces)
 
 
@@ -129,13 +134,19 @@ _LUHN = f"""list_sum(list_transform(range(1, length({_DIGITS}) + 1), lambda i: C
 
 PII_SQL = _spans_sql({
     "email": (r"[A-Za-z0-9._%+-]+@[A-Za-z0-9-]+(?:\.[A-Za-z0-9-]+)+", "true"),
-    "ip": (r"[0-9]+(?:\.[0-9]+)(?:\.[0-9]+)(?:\.[0-9]+)", "len(list_filter(string_split(found, '.'), lambda x: length(ltrim(x, '0')) > 3 OR coalesce(TRY_CAST(x AS BIGINT), 999) > 255)) = 0"),
+    "ip": (
+        r"[0-9]+(?:\.[0-9]+)(?:\.[0-9]+)(?:\.[0-9]+)",
+        "len(list_filter(string_split(found, '.'), lambda x: length(ltrim(x, '0')) > 3 OR coalesce(TRY_CAST(x AS BIGINT), 999) > 255)) = 0",
+    ),
     "card": (r"[0-9](?:[\x20-]?[0-9])+", f"length({_DIGITS}) BETWEEN 12 AND 19 AND {_LUHN}"),
     "phone": (r"\+[0-9][\x20().0-9-]+[0-9]", f"length({_DIGITS}) BETWEEN 9 AND 15"),
 })
 
 SECRET_SQL = _spans_sql({
-    "assign": (r"""(?i:password|passwd|secret|token|api_?key)["']?\x20*[:=]\x20*["']?(?:[A-Za-z0-9+/_.=-]+)""", r"""length(regexp_extract(found, '[:=]\x20*["'']?([A-Za-z0-9+/_.=-]+)$', 1)) >= 6"""),
+    "assign": (
+        r"""(?i:password|passwd|secret|token|api_?key)["']?\x20*[:=]\x20*["']?(?:[A-Za-z0-9+/_.=-]+)""",
+        r"""length(regexp_extract(found, '[:=]\x20*["'']?([A-Za-z0-9+/_.=-]+)$', 1)) >= 6""",
+    ),
     "access": (r"AKIA[A-Z0-9]+", "length(found) >= 20"),
     "hex": (r"[0-9a-f]+", "length(found) >= 24"),
 })

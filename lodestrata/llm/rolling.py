@@ -78,7 +78,9 @@ def least_leftmost(values: np.ndarray, width: int) -> np.ndarray:
 def identity(docs: DataFrame) -> DataFrame:
     """doc_id, the hash that tells rows of one doc_id apart, and the text's bytes."""
     raw = F.coalesce(F.col("text").cast("string"), F.lit("")).cast("binary")
-    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), raw.alias("raw")).select("doc_id", F.xxhash64("raw").alias("th"), "raw")
+    return docs.select(
+        F.col("doc_id").cast("long").alias("doc_id"), raw.alias("raw"),
+    ).select("doc_id", F.xxhash64("raw").alias("th"), "raw")
 
 
 def grouped(batch: pa.RecordBatch) -> Iterator[tuple[int, int, np.ndarray, np.ndarray]]:

@@ -147,7 +147,9 @@ def scan(docs: DataFrame) -> DataFrame:
             spans = [[{"kind": k, "start": a, "end": b} for k, a, b in spans_of(t.as_py() or "")] for t in batch.column(1)]
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(spans, pa.list_(kinds))], ["doc_id", "spans"])
 
-    return docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string")).mapInArrow(work, "doc_id long, spans array<struct<kind:string,start:long,end:long>>")
+    return docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string")).mapInArrow(
+        work, "doc_id long, spans array<struct<kind:string,start:long,end:long>>",
+    )
 
 
 def redact(docs: DataFrame) -> DataFrame:
@@ -167,4 +169,6 @@ def joined(spans):
 def digest(scanned: DataFrame) -> DataFrame:
     count = lambda k: F.size(F.filter("spans", lambda s: s["kind"] == k)).cast("long").alias(f"n_{k}")
     base = F.filter("spans", lambda s: s["kind"].isin(*BASE_KINDS))
-    return scanned.select("doc_id", *map(count, BASE_KINDS), F.sha2(joined(base), 256).alias("base_sha256"), joined(F.col("spans")).alias("spans"))
+    return scanned.select(
+        "doc_id", *map(count, BASE_KINDS), F.sha2(joined(base), 256).alias("base_sha256"), joined(F.col("spans")).alias("spans"),
+    )

@@ -45,7 +45,10 @@ def fingerprint(text: str | bytes, size: int = SHINGLE) -> int:
     starts, stops = (ends - lengths)[: len(words) - size + 1].tolist(), ends[size - 1 :].tolist()
     counts, n = np.zeros(BITS, np.int64), len(starts)
     for at in range(0, n, _CHUNK):
-        hashes = np.array([xxh64_intdigest(line[a:b], SEED) for a, b in zip(starts[at : at + _CHUNK], stops[at : at + _CHUNK], strict=True)], "<u8")
+        hashes = np.array(
+            [xxh64_intdigest(line[a:b], SEED) for a, b in zip(starts[at : at + _CHUNK], stops[at : at + _CHUNK], strict=True)],
+            "<u8",
+        )
         counts += np.unpackbits(hashes.view(np.uint8).reshape(-1, 8), axis=1, bitorder="little").sum(axis=0, dtype=np.int64)
     return int(np.packbits(2 * counts > n, bitorder="little").view("<u8")[0])
 
@@ -160,7 +163,9 @@ def classes(marked: DataFrame, budget: int = BUDGET) -> DataFrame:
     linked = grouped_prints(distinct.select("fp"), budget)
     homes = distinct.join(linked, "fp")
     least = homes.groupBy("root").agg(F.min("least").alias("component_id"))
-    mapped = distinct.join(linked.join(least, "root"), "fp", "left").select("fp", F.when(F.col("root").isNull(), F.col("least")).otherwise(F.col("component_id")).alias("component_id"))
+    mapped = distinct.join(linked.join(least, "root"), "fp", "left").select(
+        "fp", F.when(F.col("root").isNull(), F.col("least")).otherwise(F.col("component_id")).alias("component_id"),
+    )
     # written, so that both sides of the last join are plain exchanges, of which a frequent fingerprint's can be split
     return marked.join(materialise(mapped, "simhash-classes"), "fp").select("doc_id", "fp", "component_id")
 

@@ -176,7 +176,9 @@ def _mark(docs: DataFrame, length: int) -> DataFrame:
                 rows = at + s["doc"][lead]
                 offsets = np.append(lead, len(order)).astype(np.int32)
                 arrays = [
-                    pa.array(np.where(null[rows], 0, ids[rows]).astype(np.int64), mask=null[rows]), pa.array(th[rows]), pa.array(s["key"][lead]), pa.array(s["h1"][lead]), pa.array(s["h2"][lead]),
+                    pa.array(
+                        np.where(null[rows], 0, ids[rows]).astype(np.int64), mask=null[rows],
+                    ), pa.array(th[rows]), pa.array(s["key"][lead]), pa.array(s["h1"][lead]), pa.array(s["h2"][lead]),
                     pa.array((s["last"] - s["first"])[lead].astype(np.int32)), pa.array((s["anchor"] - s["first"])[lead].astype(np.int32)), pa.ListArray.from_arrays(pa.array(offsets), pa.array(s["first"].astype(np.int32))),
                 ]
                 yield pa.RecordBatch.from_arrays(arrays, ["doc_id", "th", "key", "h1", "h2", "span", "dist", "firsts"])
@@ -190,7 +192,9 @@ def _fetch(wanted: DataFrame, docs: DataFrame, length: int) -> DataFrame:
     gathered = wanted.groupBy("doc_id", "th").agg(F.collect_list(F.struct(*fields)).alias("ws"))
     d = identity(docs)
     # rows repeated whole would give each body several times; one is enough
-    rows = gathered.join(d, gathered["doc_id"].eqNullSafe(d["doc_id"]) & (gathered["th"] == d["th"])).select(F.explode("ws").alias("w"), "raw")
+    rows = gathered.join(
+        d, gathered["doc_id"].eqNullSafe(d["doc_id"]) & (gathered["th"] == d["th"]),
+    ).select(F.explode("ws").alias("w"), "raw")
     return rows.select("w.*", F.substring("raw", F.col("w.first") + 1, F.col("w.span") + length).alias("body"))
 
 
@@ -247,8 +251,14 @@ class Group:
 _SPANS = "array<struct<start:int,end:int>>"
 _KEY = [("key", pa.int64()), ("h1", pa.int64()), ("h2", pa.int64())]
 _SHAPES = {
-    "spans": ("key long, h1 long, h2 long, spans " + _SPANS, pa.schema([*_KEY, ("spans", pa.list_(pa.struct([("start", pa.int32()), ("end", pa.int32())])))])),
-    "occurrences": ("key long, h1 long, h2 long, repeat long, size int, start int", pa.schema([*_KEY, ("repeat", pa.int64()), ("size", pa.int32()), ("start", pa.int32())])),
+    "spans": (
+        "key long, h1 long, h2 long, spans " + _SPANS,
+        pa.schema([*_KEY, ("spans", pa.list_(pa.struct([("start", pa.int32()), ("end", pa.int32())])))]),
+    ),
+    "occurrences": (
+        "key long, h1 long, h2 long, repeat long, size int, start int",
+        pa.schema([*_KEY, ("repeat", pa.int64()), ("size", pa.int32()), ("start", pa.int32())]),
+    ),
 }
 
 
@@ -258,7 +268,10 @@ def _repeats(groups: DataFrame, length: int, shape: str = "spans") -> DataFrame:
 
     def table(held: list) -> pa.RecordBatch:
         rows = getattr(Group(held, length), shape)()
-        return pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(zip(*rows, strict=True) if rows else [[]] * len(schema), schema, strict=True)], schema=schema)
+        return pa.RecordBatch.from_arrays(
+            [pa.array(c, f.type) for c, f in zip(zip(*rows, strict=True) if rows else [[]] * len(schema), schema, strict=True)],
+            schema=schema,
+        )
 
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held: list[tuple[int, int, int, bytes]] = []
@@ -311,16 +324,30 @@ def _split(big: DataFrame, length: int, steps: tuple[int, ...], shape: str) -> D
     for step in steps:
         pieces = materialise(_pieces(big, length, step), "suffix-pieces")
         kinds = pieces.groupBy("sub", "p1", "p2").agg(F.count("*").alias("n"), F.first("size").alias("size"))
-        subs = kinds.groupBy("sub").agg(F.count("*").alias("kinds"), F.count_if(F.col("n") == 1).alias("open"), F.sum("size").alias("bytes"))
-        settled = pieces.join(kinds.filter("n > 1").select("sub", "p1", "p2"), ["sub", "p1", "p2"]).select("key", "h1", "h2", "p1", "size", "rel")
+        subs = kinds.groupBy("sub").agg(
+            F.count("*").alias("kinds"), F.count_if(F.col("n") == 1).alias("open"), F.sum("size").alias("bytes"),
+        )
+        settled = pieces.join(
+            kinds.filter("n > 1").select("sub", "p1", "p2"), ["sub", "p1", "p2"],
+        ).select("key", "h1", "h2", "p1", "size", "rel")
         todo = subs.filter("kinds > 1 AND open > 0")
-        small = pieces.join(todo.filter(F.col("bytes") <= GROUP_BYTES).select("sub"), "sub").join(big.select("key", "h1", "h2", "body"), ["key", "h1", "h2"])
-        small = small.select("sub", "p1", "p2", "key", "h1", "h2", "rel", F.substring("body", F.col("rel").cast("int") + 1, F.col("size").cast("int")).alias("body"))
+        small = pieces.join(
+            todo.filter(F.col("bytes") <= GROUP_BYTES).select("sub"), "sub",
+        ).join(big.select("key", "h1", "h2", "body"), ["key", "h1", "h2"])
+        small = small.select(
+            "sub", "p1", "p2", "key", "h1", "h2", "rel",
+            F.substring("body", F.col("rel").cast("int") + 1, F.col("size").cast("int")).alias("body"),
+        )
         small = materialise(small, "suffix-piece-bodies")
-        solved = _repeats(small.select(F.col("sub").alias("key"), F.col("p1").alias("h1"), F.col("p2").alias("h2"), "body"), length, shape).withColumnsRenamed({"key": "sub", "h1": "p1", "h2": "p2"})
+        solved = _repeats(
+            small.select(F.col("sub").alias("key"), F.col("p1").alias("h1"), F.col("p2").alias("h2"), "body"), length, shape,
+        ).withColumnsRenamed({"key": "sub", "h1": "p1", "h2": "p2"})
         solved = small.drop("body").join(solved, ["sub", "p1", "p2"])
         if shape == "spans":
-            solved = solved.select("key", "h1", "h2", "rel", F.explode("spans").alias("s")).select("key", "h1", "h2", F.lit(0).cast("long").alias("p1"), F.col("s.end") - F.col("s.start"), F.col("rel") + F.col("s.start"))
+            solved = solved.select("key", "h1", "h2", "rel", F.explode("spans").alias("s")).select(
+                "key", "h1", "h2", F.lit(0).cast("long").alias("p1"), F.col("s.end") - F.col("s.start"),
+                F.col("rel") + F.col("s.start"),
+            )
         else:
             solved = solved.select("key", "h1", "h2", "repeat", "size", F.col("rel") + F.col("start"))
         found = settled.union(solved)
@@ -330,7 +357,10 @@ def _split(big: DataFrame, length: int, steps: tuple[int, ...], shape: str) -> D
             break
         big = big.join(rest, ["key", "h1", "h2"])
     if shape == "occurrences":
-        return out.select("key", "h1", "h2", F.col("p1").alias("repeat"), F.col("size").cast("int").alias("size"), F.col("rel").cast("int").alias("start"))
+        return out.select(
+            "key", "h1", "h2", F.col("p1").alias("repeat"), F.col("size").cast("int").alias("size"),
+            F.col("rel").cast("int").alias("start"),
+        )
     spans = F.collect_set(F.struct(F.col("rel").cast("int").alias("start"), (F.col("rel") + F.col("size")).cast("int").alias("end")))
     return out.groupBy("key", "h1", "h2").agg(spans.alias("spans"))
 
@@ -341,8 +371,14 @@ _PARTS = ["key", "h1", "h2"]
 def _classes(docs: DataFrame, length: int) -> tuple[DataFrame, DataFrame, DataFrame]:
     """The documents' segments; the classes of equal segments whose anchor occurs twice or more; the texts of those classes that must be compared."""
     marks = materialise(_mark(docs, length), "suffix-segments")
-    classes = marks.groupBy(*_PARTS).agg(F.sum(F.size("firsts")).alias("n"), *[F.first(c).alias(c) for c in ("doc_id", "th", "span", "dist")], F.first(F.element_at("firsts", 1)).alias("first"))
-    groups = classes.groupBy("key").agg(F.count("*").alias("kinds"), F.sum("n").alias("total"), F.count_if(F.col("n") == 1).alias("open"), F.sum(F.col("span") + length).alias("bytes")).filter("total > 1")
+    classes = marks.groupBy(*_PARTS).agg(
+        F.sum(F.size("firsts")).alias("n"), *[F.first(c).alias(c) for c in ("doc_id", "th", "span", "dist")],
+        F.first(F.element_at("firsts", 1)).alias("first"),
+    )
+    groups = classes.groupBy("key").agg(
+        F.count("*").alias("kinds"), F.sum("n").alias("total"), F.count_if(F.col("n") == 1).alias("open"),
+        F.sum(F.col("span") + length).alias("bytes"),
+    ).filter("total > 1")
     alike = materialise(classes.join(groups, "key"), "suffix-classes")
     release(docs.sparkSession)
     wanted = alike.filter("kinds > 1 AND open > 0").select(*_PARTS, "doc_id", "th", "first", "span", "dist", "bytes")
@@ -363,22 +399,30 @@ def _compare(bodies: DataFrame, length: int, shape: str) -> DataFrame:
 def repeat_groups(docs: DataFrame, length: int = LENGTH) -> DataFrame:
     """(repeat, size, doc_id, start): every occurrence, in bytes, of every repeat of at least ``length`` bytes that is maximal inside its segments. Rows of one repeat are its group."""
     marks, alike, bodies = _classes(docs, length)
-    whole = alike.filter("n > 1").select(*_PARTS, F.col("h1").alias("repeat"), (F.col("span") + length).alias("size"), F.lit(0).alias("start"))
+    whole = alike.filter("n > 1").select(
+        *_PARTS, F.col("h1").alias("repeat"), (F.col("span") + length).alias("size"), F.lit(0).alias("start"),
+    )
     found = whole.union(_compare(bodies, length, "occurrences"))
     placed = marks.select("doc_id", *_PARTS, "firsts").join(found, _PARTS)
-    return placed.select("repeat", "size", "doc_id", F.explode("firsts").alias("at"), "start").select("repeat", "size", "doc_id", (F.col("at") + F.col("start")).alias("start")).distinct()
+    return placed.select("repeat", "size", "doc_id", F.explode("firsts").alias("at"), "start").select(
+        "repeat", "size", "doc_id", (F.col("at") + F.col("start")).alias("start"),
+    ).distinct()
 
 
 def dedup(docs: DataFrame, length: int = LENGTH) -> DataFrame:
     """One row per document: doc_id, n_bytes, the maximal removed runs (start, end, name) and the kept bytes. Runs of equal bytes have the same name, a hash: wherever a repeat is not cut by another, however long, they are its occurrences."""
     marks, alike, bodies = _classes(docs, length)
     found = _compare(bodies, length, "spans")
-    whole = alike.filter("n > 1").select(*_PARTS, F.array(F.struct(F.lit(0).alias("start"), (F.col("span") + length).alias("end"))).alias("spans"))
+    whole = alike.filter("n > 1").select(
+        *_PARTS, F.array(F.struct(F.lit(0).alias("start"), (F.col("span") + length).alias("end"))).alias("spans"),
+    )
     settled = alike.filter("n > 1").select(*_PARTS)
     # what counting has settled needs no spans of the suffix array
     found = materialise(whole.union(found.join(settled, _PARTS, "left_anti")), "suffix-found")
     release(docs.sparkSession)
-    cover = marks.select("doc_id", "th", *_PARTS, "firsts").join(found, _PARTS).groupBy("doc_id", "th").agg(F.collect_list(F.struct("firsts", "spans")).alias("found"))
+    cover = marks.select(
+        "doc_id", "th", *_PARTS, "firsts",
+    ).join(found, _PARTS).groupBy("doc_id", "th").agg(F.collect_list(F.struct("firsts", "spans")).alias("found"))
     cover = materialise(cover, "suffix-cover")
     release(docs.sparkSession)
     d = identity(docs)
@@ -396,7 +440,10 @@ def dedup(docs: DataFrame, length: int = LENGTH) -> DataFrame:
                 starts, ends = _covered(cell)
                 spans.append([{"start": a, "end": b, "name": xxh3_64_hexdigest(raw[a:b])} for a, b in zip(starts, ends, strict=True)])
                 kept.append(b"".join(raw[a:b] for a, b in zip([0, *ends], [*starts, len(raw)], strict=True)))
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(sizes, pa.int64()), pa.array(spans, pa.list_(span)), pa.array(kept, pa.binary())], ["doc_id", "n_bytes", "spans", "kept"])
+            yield pa.RecordBatch.from_arrays(
+                [batch.column(0), pa.array(sizes, pa.int64()), pa.array(spans, pa.list_(span)), pa.array(kept, pa.binary())],
+                ["doc_id", "n_bytes", "spans", "kept"],
+            )
 
     return rows.mapInArrow(work, "doc_id long, n_bytes long, spans array<struct<start:long,end:long,name:string>>, kept binary")
 
@@ -418,6 +465,8 @@ def _covered(cell: pa.Scalar) -> tuple[list[int], list[int]]:
 
 def digest(cleaned: DataFrame) -> DataFrame:
     removed = F.aggregate("spans", F.lit(0).cast("long"), lambda a, s: a + s["end"] - s["start"])
-    runs = F.array_join(F.transform("spans", lambda s: F.concat_ws(":", s["start"].cast("string"), s["end"].cast("string"), s["name"])), ",")
+    runs = F.array_join(
+        F.transform("spans", lambda s: F.concat_ws(":", s["start"].cast("string"), s["end"].cast("string"), s["name"])), ",",
+    )
     counts = [removed.alias("n_removed"), F.size("spans").cast("long").alias("n_spans")]
     return cleaned.select("doc_id", "n_bytes", *counts, F.sha2("kept", 256).alias("kept_sha256"), runs.alias("runs"))

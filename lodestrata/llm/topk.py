@@ -46,7 +46,9 @@ def quantised(vectors: DataFrame, scale: float = SCALE) -> DataFrame:
     xs = vectors.select(F.col("vec_id").cast("long").alias("vec_id"), F.col("embedding").cast("array<double>").alias("v"))
     whole = F.forall("v", lambda x: F.coalesce(~F.isnan(x) & (F.abs(x) < float("inf")), F.lit(False)))
     fit = xs.filter(F.col("vec_id").isNotNull() & F.col("v").isNotNull() & (F.size("v") > 0)).filter(whole)
-    return fit.select("vec_id", F.transform("v", lambda x: F.floor(x * scale).cast("double")).alias("v"), F.size("v").alias("dim")).distinct()
+    return fit.select(
+        "vec_id", F.transform("v", lambda x: F.floor(x * scale).cast("double")).alias("v"), F.size("v").alias("dim"),
+    ).distinct()
 
 
 def packed(**arrays: np.ndarray) -> bytes:
@@ -80,7 +82,10 @@ def build(ids: np.ndarray, v: np.ndarray, leaf: int = LEAF) -> dict[str, np.ndar
             order[lo:hi] = order[lo:hi][np.argpartition(split(own)[1], half)]
             stack += [(lo + half, hi, me, 1), (lo, lo + half, me, 0)]
     lo, hi, centre, radius, left, right = zip(*nodes, strict=True)
-    return {"ids": ids[order], "v": v[order], "lo": np.array(lo), "hi": np.array(hi), "centre": np.array(centre), "radius": np.array(radius), "child": np.array([left, right]).T}
+    return {
+        "ids": ids[order], "v": v[order], "lo": np.array(lo), "hi": np.array(hi), "centre": np.array(centre),
+        "radius": np.array(radius), "child": np.array([left, right]).T,
+    }
 
 
 def split(own: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -148,7 +153,9 @@ class Best:
         some = ((scores >= self.floor[rows, None]) & ~own).any(axis=1)
         rows, scores = rows[some], scores[some]
         s = np.concatenate((self.scores[rows], scores), axis=1)
-        i = np.concatenate((self.ids[rows], np.where(scores == self.low, np.iinfo(np.int64).max, np.broadcast_to(ids, scores.shape))), axis=1)
+        i = np.concatenate(
+            (self.ids[rows], np.where(scores == self.low, np.iinfo(np.int64).max, np.broadcast_to(ids, scores.shape))), axis=1,
+        )
         pick = np.lexsort((i, ~s), axis=1)[:, : self.k]  # ~s orders downwards without overflow
         self.scores[rows], self.ids[rows] = np.take_along_axis(s, pick, 1), np.take_along_axis(i, pick, 1)
         self.floor[rows] = np.maximum(self.floor[rows], self.scores[rows, -1])
@@ -232,7 +239,10 @@ def _meet(trees: DataFrame, blocks: DataFrame, k: int) -> DataFrame:
     return both.mapInPandas(work, "nth long, query_id long, vec_id long, score long, dim int, block long")
 
 
-def top_k(vectors: DataFrame, k: int = K, every: int = EVERY, shard_rows: int = SHARD_ROWS, block_queries: int = BLOCK_QUERIES, leaf: int = LEAF) -> DataFrame:
+def top_k(
+    vectors: DataFrame, k: int = K, every: int = EVERY, shard_rows: int = SHARD_ROWS, block_queries: int = BLOCK_QUERIES,
+    leaf: int = LEAF,
+) -> DataFrame:
     """(query_id, rank, vec_id, score) of the k best for each vec_id divisible by ``every``."""
     fit = materialise(quantised(vectors), "vectors")
     lengths = fit.groupBy("dim").agg(F.count("*").alias("n")).orderBy(F.desc("n"), "dim").limit(FITTED_LENGTHS).collect()
@@ -245,20 +255,27 @@ def top_k(vectors: DataFrame, k: int = K, every: int = EVERY, shard_rows: int =
         f = f.iloc[np.lexsort((f["v"].map(lambda v: v.tobytes()), f["vec_id"]))]  # the same order whenever it is run
         tree = build(f["vec_id"].to_numpy(), np.stack(f["v"].to_numpy()), leaf)
         centre, radius = tree["centre"][0], tree["radius"][0]
-        return pd.DataFrame({"dim": [key[0]], "part": [key[1]], "nth_part": [key[2]], "tree": [packed(**tree | {"v": narrow(tree["v"])})], "centre": [centre], "radius": [radius]})
+        return pd.DataFrame({
+            "dim": [key[0]], "part": [key[1]], "nth_part": [key[2]], "tree": [packed(**tree | {"v": narrow(tree["v"])})],
+            "centre": [centre], "radius": [radius],
+        })
 
     schema = "dim int, part long, nth_part long, tree binary, centre array<double>, radius double"
     trees = materialise(dealt.select(*shard, "vec_id", "v").groupBy(*shard).applyInPandas(plant, schema), "trees")
 
     # roots in pages of ROOTS, numbered by a window over one row per shard and length
-    roots = trees.select(*shard, "centre", "radius").withColumn("page", F.floor((F.row_number().over(Window.partitionBy("dim").orderBy("part", "nth_part")) - 1) / ROOTS))
+    roots = trees.select(*shard, "centre", "radius").withColumn(
+        "page", F.floor((F.row_number().over(Window.partitionBy("dim").orderBy("part", "nth_part")) - 1) / ROOTS),
+    )
     roots = materialise(roots, "roots")
     pages = roots.groupBy("dim", "page").agg(F.array_sort(F.collect_list(F.struct("part", "nth_part", "centre", "radius"))).alias("roots"))
     pages = materialise(pages, "root-pages")
     paged = materialise(roots.groupBy("dim").agg((F.max("page") + 1).alias("pages")), "root-page-counts")
 
     def held(page) -> tuple[np.ndarray, ...]:
-        return tuple(np.array([r[c] for r in page]) for c in ("part", "nth_part")) + (np.stack([r["centre"] for r in page]), np.array([r["radius"] for r in page]))
+        return tuple(np.array([r[c] for r in page]) for c in ("part", "nth_part")) + (
+            np.stack([r["centre"] for r in page]), np.array([r["radius"] for r in page]),
+        )
 
     def homes(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         """The shard of a page whose root has the highest bound, for each query."""
@@ -270,12 +287,19 @@ def top_k(vectors: DataFrame, k: int = K, every: int = EVERY, shard_rows: int =
                 part, nth, centre, radius = kept[1]
                 high = bounds(np.stack(own["v"].to_numpy()), centre, radius)
                 at = high.argmax(axis=1)
-                yield pd.DataFrame({"dim": own["dim"], "vec_id": own["vec_id"], "v": own["v"], "part": part[at], "nth_part": nth[at], "bound": high[np.arange(len(at)), at]})
+                yield pd.DataFrame({
+                    "dim": own["dim"], "vec_id": own["vec_id"], "v": own["v"], "part": part[at], "nth_part": nth[at],
+                    "bound": high[np.arange(len(at)), at],
+                })
 
     asked = fit.filter(F.col("vec_id") % every == 0)
     # the stated queries against all roots, page by page
-    asked = asked.join(paged, "dim").withColumn("page", F.explode(F.sequence(F.lit(0).cast("long"), F.col("pages") - 1))).join(pages, ["dim", "page"])
-    asked = asked.select("dim", "page", "vec_id", "v", "roots").mapInPandas(homes, "dim int, vec_id long, v array<double>, part long, nth_part long, bound double")
+    asked = asked.join(paged, "dim").withColumn(
+        "page", F.explode(F.sequence(F.lit(0).cast("long"), F.col("pages") - 1)),
+    ).join(pages, ["dim", "page"])
+    asked = asked.select("dim", "page", "vec_id", "v", "roots").mapInPandas(
+        homes, "dim int, vec_id long, v array<double>, part long, nth_part long, bound double",
+    )
     first = F.max_by(F.struct("part", "nth_part"), F.struct("bound", "part", "nth_part")).alias("home")
     asked = materialise(asked.groupBy("dim", "vec_id", "v").agg(first).select("dim", "home.*", "vec_id", "v"), "queries")
     counted = asked.groupBy(*shard).agg(F.ceil(F.count("*") / block_queries).alias("blocks"))
@@ -286,7 +310,9 @@ def top_k(vectors: DataFrame, k: int = K, every: int = EVERY, shard_rows: int =
         queries = packed(ids=f["vec_id"].to_numpy(), q=narrow(np.stack(f["v"].to_numpy())))
         return pd.DataFrame({"dim": [key[0]], "part": [key[1]], "nth_part": [key[2]], "nth_block": [key[3]], "queries": [queries]})
 
-    blocks = numbered.select(*shard, "nth_block", "vec_id", "v").groupBy(*shard, "nth_block").applyInPandas(gather, "dim int, part long, nth_part long, nth_block long, queries binary")
+    blocks = numbered.select(*shard, "nth_block", "vec_id", "v").groupBy(*shard, "nth_block").applyInPandas(
+        gather, "dim int, part long, nth_part long, nth_block long, queries binary",
+    )
     name = F.shiftrightunsigned(F.xxhash64(*shard, "nth_block"), 1).alias("block")
     blocks = materialise(blocks.select(*shard, name, "queries"), "query-blocks")
     seeds = materialise(_meet(trees, blocks.withColumn("floors", F.lit(None).cast("binary")), k), "query-seeds")
@@ -295,7 +321,9 @@ def top_k(vectors: DataFrame, k: int = K, every: int = EVERY, shard_rows: int =
         full = f[f["rank"] == k]
         return pd.DataFrame({"dim": [key[0]], "block": [key[1]], "nths": [full["nth"].to_numpy()], "scores": [full["score"].to_numpy()]})
 
-    floors = _ranked(seeds, k).select("dim", "block", "nth", "score", "rank").groupBy("dim", "block").applyInPandas(thresholds, "dim int, block long, nths array<long>, scores array<long>")
+    floors = _ranked(seeds, k).select("dim", "block", "nth", "score", "rank").groupBy("dim", "block").applyInPandas(
+        thresholds, "dim int, block long, nths array<long>, scores array<long>",
+    )
     ready = blocks.withColumnsRenamed({"part": "home", "nth_part": "home_nth"}).join(floors, ["dim", "block"], "left")
 
     def filled(f: pd.Series, queries: bytes) -> np.ndarray:
@@ -311,7 +339,9 @@ def top_k(vectors: DataFrame, k: int = K, every: int = EVERY, shard_rows: int =
                 queries = unpacked(row.queries)
                 floor = filled(row, queries)
                 part, nth, centre, radius = held(row.roots)
-                near = (bounds(queries["q"].astype(np.float64), centre, radius) >= floor[:, None]).any(axis=0) & ~((part == row.home) & (nth == row.home_nth))
+                near = (bounds(
+                    queries["q"].astype(np.float64), centre, radius,
+                ) >= floor[:, None]).any(axis=0) & ~((part == row.home) & (nth == row.home_nth))
                 yield pd.DataFrame({"dim": row.dim, "block": row.block, "part": part[near], "nth_part": nth[near]})
 
     def packed_floors(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
@@ -320,8 +350,12 @@ def top_k(vectors: DataFrame, k: int = K, every: int = EVERY, shard_rows: int =
             yield f[["dim", "block", "queries"]].assign(floors=floors)
 
     ready = materialise(ready, "query-thresholds")
-    pairs = ready.join(paged, "dim").withColumn("page", F.explode(F.sequence(F.lit(0).cast("long"), F.col("pages") - 1))).join(pages, ["dim", "page"])
-    pairs = pairs.select("dim", "block", "home", "home_nth", "queries", "nths", "scores", "roots").mapInPandas(needed, "dim int, block long, part long, nth_part long")
+    pairs = ready.join(paged, "dim").withColumn(
+        "page", F.explode(F.sequence(F.lit(0).cast("long"), F.col("pages") - 1)),
+    ).join(pages, ["dim", "page"])
+    pairs = pairs.select(
+        "dim", "block", "home", "home_nth", "queries", "nths", "scores", "roots",
+    ).mapInPandas(needed, "dim int, block long, part long, nth_part long")
     pairs = materialise(pairs, "query-pairs")
     moved = pairs.join(ready.mapInPandas(packed_floors, "dim int, block long, queries binary, floors binary"), ["dim", "block"])
     found = _meet(trees.join(pairs.select(*shard).distinct(), shard, "left_semi"), moved, k)
