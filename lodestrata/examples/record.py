@@ -13,9 +13,17 @@ from ..plans.voice import say
 # The fields of the steps' notes.
 NOTES = {
     "step_local": ("executed", "environment", "environment_name", "python_executable", "process_id", "params_used"),
-    "step_local_2": ("executed", "environment", "environment_name", "python_executable", "process_id", "params_used", "previous_steps_found"),
-    "step_env": ("executed", "requested_environment", "actual_environment", "environment_match", "python_executable", "process_id", "params_used"),
-    "step_env_b": ("executed", "requested_environment", "actual_environment", "environment_match", "python_executable", "process_id", "params_used"),
+    "step_local_2": (
+        "executed", "environment", "environment_name", "python_executable", "process_id", "params_used", "previous_steps_found",
+    ),
+    "step_env": (
+        "executed", "requested_environment", "actual_environment", "environment_match", "python_executable", "process_id",
+        "params_used",
+    ),
+    "step_env_b": (
+        "executed", "requested_environment", "actual_environment", "environment_match", "python_executable", "process_id",
+        "params_used",
+    ),
     "step_pickle": ("executed", "data_transfer", "received_previous_data", "environment", "process_id"),
 }
 #: What a state holds besides the steps' results.
@@ -40,9 +48,15 @@ def noted(state: dict, step: str, declared: dict[str, Any], params: dict[str, An
 
 
 # One of each kind, a mixed list among them.
-RECORD = {"string": "hello_from_step_write_data", "integer": 42, "float": 3.14159, "boolean": True, "list": [1, 2, 3, "four", 5.0], "nested": {"key": "value", "numbers": [10, 20, 30]}, "none_value": None}
+RECORD = {
+    "string": "hello_from_step_write_data", "integer": 42, "float": 3.14159, "boolean": True, "list": [1, 2, 3, "four", 5.0],
+    "nested": {"key": "value", "numbers": [10, 20, 30]}, "none_value": None,
+}
 # Names of the checks and where each looks.
-PLACES = {"string": ("string",), "integer": ("integer",), "float": ("float",), "boolean": ("boolean",), "list_mixed_types": ("list",), "nested_key": ("nested", "key"), "nested_numbers": ("nested", "numbers"), "none_value": ("none_value",)}
+PLACES = {
+    "string": ("string",), "integer": ("integer",), "float": ("float",), "boolean": ("boolean",), "list_mixed_types": ("list",),
+    "nested_key": ("nested", "key"), "nested_numbers": ("nested", "numbers"), "none_value": ("none_value",),
+}
 SIGNED = {"has_written_by_env": ("written_by_env", str), "has_written_by_pid": ("written_by_pid", int)}
 _ABSENT = object()
 

@@ -12,5 +12,8 @@ def run(state, **params):
     found = state["segment"]
     features = written(region_properties(found["pixels"], tuple(found["keys"])))  # the percentile and the selection read it several times
     threshold = exact_percentile(features, feature, percentile)
-    state["extract_features"] = {"properties": features, "select_by": feature, "percentile": percentile, "threshold": threshold, "selected": at_or_above(features, feature, threshold)}
+    state["extract_features"] = {
+        "properties": features, "select_by": feature, "percentile": percentile, "threshold": threshold,
+        "selected": at_or_above(features, feature, threshold),
+    }
     return state

@@ -9,7 +9,10 @@ def run(state, **params):
 
     chosen, about = state["extract_features"], state["metadata"]
     records = cells(chosen["selected"])
-    made = document(records, state["segment"]["counted"], about["label"], chosen["select_by"], chosen["percentile"], chosen["threshold"], about["datetime"])
+    made = document(
+        records, state["segment"]["counted"], about["label"], chosen["select_by"], chosen["percentile"], chosen["threshold"],
+        about["datetime"],
+    )
     where = params.get("output_dir", ".")
     state["feedback"] = {"cells": records, "document": made, "filepath": write_file(made, where, about["label"]) if where else None}
     return state

@@ -11,7 +11,9 @@ def run(state, **params):
 
     spark, source = SparkSession.getActiveSession(), state["input"]["data_source"]
     if state["input"].get("format") == "images":
-        images = read_images(spark, source).selectExpr("xxhash64(path) AS image_id", "height", "width", "transform(pixels, v -> v / (shiftleft(1, depth) - 1)) AS pixels")
+        images = read_images(spark, source).selectExpr(
+            "xxhash64(path) AS image_id", "height", "width", "transform(pixels, v -> v / (shiftleft(1, depth) - 1)) AS pixels",
+        )
     else:
         images = from_vectors(spark.read.parquet(f"{source}/embeddings.parquet"))
     sigma, clip = params.get("sigma", 1.0), params.get("clip_limit", 0.03)

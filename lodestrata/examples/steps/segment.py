@@ -13,7 +13,13 @@ def run(state, **params):
     images = pre["image_preprocessed"].withColumn("pixels", F.transform("pixels", lambda v: v / F.lit(255.0)))
     labelled = segment(images, threshold_components(params.get("threshold", 0.5)))
     # features are measured on the pictures as they came
-    raw = pre["image"].select("image_id", "width", F.posexplode("pixels").alias("i", "value")).select("image_id", F.floor(F.col("i") / F.col("width")).cast("int").alias("y"), (F.col("i") % F.col("width")).cast("int").alias("x"), "value")
+    raw = pre["image"].select("image_id", "width", F.posexplode("pixels").alias("i", "value")).select(
+        "image_id", F.floor(F.col("i") / F.col("width")).cast("int").alias("y"),
+        (F.col("i") % F.col("width")).cast("int").alias("x"), "value",
+    )
     pixels = labelled.drop("value").join(raw, ["image_id", "y", "x"])
-    state["segment"] = {"pixels": pixels, "keys": ["image_id", "label"], "counted": count_labels(labelled), "diameter": params.get("diameter"), "segmenter": "threshold_components"}
+    state["segment"] = {
+        "pixels": pixels, "keys": ["image_id", "label"], "counted": count_labels(labelled), "diameter": params.get("diameter"),
+        "segmenter": "threshold_components",
+    }
     return state

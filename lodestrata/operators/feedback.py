@@ -16,12 +16,17 @@ def cells(selected: DataFrame) -> DataFrame:
     return selected.select(*[F.col(c).cast(kinds.get(c, "double")).alias(c) for c in CELL_FIELDS])
 
 
-def document(records: DataFrame, counted: DataFrame, label: str, feature: str, percentile: float, threshold: float | None, at: str) -> DataFrame:
+def document(
+    records: DataFrame, counted: DataFrame, label: str, feature: str, percentile: float, threshold: float | None, at: str,
+) -> DataFrame:
     """One row: criteria, counts and records in order of label. More than MAX_RECORDS records are an error: keep them as a table."""
     if records.limit(MAX_RECORDS + 1).count() > MAX_RECORDS:
         raise ValueError(f"over {MAX_RECORDS} records: they are no document for a person; write the records as a table")
     body = records.agg(F.count("*").alias("n_selected"), F.array_sort(F.collect_list(F.struct(*CELL_FIELDS))).alias("cells"))
-    criteria = F.struct(F.lit(feature).alias("feature"), F.lit(float(percentile)).alias("percentile"), F.lit(threshold).cast("double").alias("threshold"))
+    criteria = F.struct(
+        F.lit(feature).alias("feature"), F.lit(float(percentile)).alias("percentile"),
+        F.lit(threshold).cast("double").alias("threshold"),
+    )
     facts = [F.lit(at).alias("datetime"), F.lit(label).alias("label"), criteria.alias("selection_criteria")]
     # both sides are one row, of MAX_RECORDS records at most
     return counted.join(F.broadcast(body)).select(*facts, "n_selected", F.col("n_cells").alias("n_total"), "cells")
@@ -29,4 +34,7 @@ def document(records: DataFrame, counted: DataFrame, label: str, feature: str, p
 
 def report(records: DataFrame) -> DataFrame:
     """A line of text per record."""
-    return records.select("label", F.format_string("label=%3d  pos=(%.1f, %.1f)  area=%dpx", "label", "centroid_x", "centroid_y", "area").alias("line"))
+    return records.select(
+        "label",
+        F.format_string("label=%3d  pos=(%.1f, %.1f)  area=%dpx", "label", "centroid_x", "centroid_y", "area").alias("line"),
+    )

@@ -34,7 +34,10 @@ def _pass(values: Column, along_rows: bool, weights: list[float]) -> Column:
         y, x = (y, F.least(F.greatest(x + d, F.lit(0)), w - 1)) if along_rows else (F.least(F.greatest(y + d, F.lit(0)), h - 1), x)
         return F.get(values, y * w + x)
 
-    return F.transform(F.sequence(F.lit(0), h * w - 1), lambda i: sum((at(i, d) * weights[d + radius] for d in range(-radius, radius + 1)), F.lit(0.0)))
+    return F.transform(
+        F.sequence(F.lit(0), h * w - 1),
+        lambda i: sum((at(i, d) * weights[d + radius] for d in range(-radius, radius + 1)), F.lit(0.0)),
+    )
 
 
 def smooth(images: DataFrame, sigma: float = 1.0) -> DataFrame:
@@ -106,7 +109,9 @@ def _each_image(images: DataFrame, f) -> DataFrame:
             done = [f(np.asarray(p, float).reshape(h, w)).ravel() for p, h, w in zip(frame["pixels"], frame["height"], frame["width"], strict=True)]
             yield frame.assign(pixels=done)
 
-    return images.select("image_id", "height", "width", "pixels").mapInPandas(work, "image_id long, height int, width int, pixels array<double>")
+    return images.select("image_id", "height", "width", "pixels").mapInPandas(
+        work, "image_id long, height int, width int, pixels array<double>",
+    )
 
 
 def smooth_binary(images: DataFrame, sigma: float = 1.0) -> DataFrame:

@@ -51,6 +51,9 @@ def segment(images: DataFrame, make: Callable[[], Segmenter]) -> DataFrame:
                 image = np.asarray(pixels, float).reshape(h, w)
                 labels = segmenter(image)
                 y, x = np.nonzero(labels)
-                yield pd.DataFrame({"image_id": image_id, "y": y.astype(np.int32), "x": x.astype(np.int32), "label": labels[y, x].astype(np.int32), "value": image[y, x]})
+                yield pd.DataFrame({
+                    "image_id": image_id, "y": y.astype(np.int32), "x": x.astype(np.int32),
+                    "label": labels[y, x].astype(np.int32), "value": image[y, x],
+                })
 
     return images.select("image_id", "height", "width", "pixels").mapInPandas(work, "image_id long, y int, x int, label int, value double")

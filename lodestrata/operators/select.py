@@ -35,7 +35,9 @@ def exact_percentiles(features: DataFrame, percentiles: dict[str, float], few: i
     found = {f: float("nan") if x["nan"] else None for f, x in facts.items()}
     rest = [f for f, x in facts.items() if x["n"] and not x["nan"]]
     if rest and max(facts[f]["n"] for f in rest) <= few:
-        return found | dict(zip(rest, features.agg(*[F.percentile(values[f], F.lit(percentiles[f] / 100)) for f in rest]).first(), strict=True))
+        return found | dict(zip(
+            rest, features.agg(*[F.percentile(values[f], F.lit(percentiles[f] / 100)) for f in rest]).first(), strict=True,
+        ))
     return found | {f: _percentile(features, f, percentiles[f], facts[f], few) for f in rest}
 
 

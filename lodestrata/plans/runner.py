@@ -38,7 +38,10 @@ def load_step(name: str, folder: Path):
 def settings(module) -> dict[str, Any]:
     declared = getattr(module, "METADATA", None) or {}
     transfer = declared.get("data_transfer") or "file_paths"
-    return {"environment": declared.get("environment") or LOCAL, "mode": "pickle" if transfer == "pickle" else "file_paths", "materialize": bool(declared.get("materialize"))}
+    return {
+        "environment": declared.get("environment") or LOCAL, "mode": "pickle" if transfer == "pickle" else "file_paths",
+        "materialize": bool(declared.get("materialize")),
+    }
 
 
 def _session():
@@ -157,9 +160,14 @@ def _facts(step: StepSpec, module: Any, chosen: dict, began: float) -> dict[str,
     }
 
 
-def _whole_in_environment(spec: PipelineSpec, label: str, input_data: dict | None, registry: Registry, shared: str | None, output: str | Path | None) -> Any:
+def _whole_in_environment(
+    spec: PipelineSpec, label: str, input_data: dict | None, registry: Registry, shared: str | None, output: str | Path | None,
+) -> Any:
     folder = _table_folder(shared)
-    pipeline = {"yaml_path": str(spec.path), "label": label, "input_data": input_data or None, "environments": registry.executables, "shared": shared, "output": output and str(output)}
+    pipeline = {
+        "yaml_path": str(spec.path), "label": label, "input_data": input_data or None, "environments": registry.executables,
+        "shared": shared, "output": output and str(output),
+    }
     request = {"pipeline": handoff.detach(pipeline, folder), "folder": folder}
     return _elsewhere(request, spec.environment, "file_paths", PIPELINE_SECONDS, registry, spec.verbose)
 
@@ -187,7 +195,9 @@ def main(argv: list[str] | None = None) -> int:
     parser.add_argument("--input", help="JSON with the pipeline's input")
     parser.add_argument("--source", help="the input's data_source: a folder of tables or pictures")
     parser.add_argument("--output", help="where to leave a folder with the run's records")
-    parser.add_argument("--environment", action="append", default=[], metavar="NAME=PYTHON", help="an environment's executable; may be repeated")
+    parser.add_argument(
+        "--environment", action="append", default=[], metavar="NAME=PYTHON", help="an environment's executable; may be repeated",
+    )
     args = parser.parse_args(argv)
     logging.basicConfig(level=logging.INFO, format="%(message)s")
     given = json.loads(args.input) if args.input else {}

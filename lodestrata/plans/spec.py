@@ -88,5 +88,8 @@ def load(path: str | Path) -> PipelineSpec:
 
 def run_metadata(spec: PipelineSpec, label: str, at: datetime.datetime) -> dict[str, Any]:
     """What steps find under ``metadata``. The file's own metadata comes last and wins."""
-    own = {"datetime": at.strftime("%Y%m%d-%H%M%S"), "label": label, "workflow_name": spec.workflow, "yaml_filename": spec.path.name, "steps": spec.step_names, "verbose": spec.verbose}
+    own = {
+        "datetime": at.strftime("%Y%m%d-%H%M%S"), "label": label, "workflow_name": spec.workflow, "yaml_filename": spec.path.name,
+        "steps": spec.step_names, "verbose": spec.verbose,
+    }
     return own | {k: v for k, v in spec.metadata.items() if k not in ENGINE_KEYS}

@@ -40,7 +40,9 @@ def _chosen(wanted: Iterable[str], only: str | None) -> list[str]:
     return wanted if only is None else [only]
 
 
-def setup_plan(info: dict[str, Any], prefix: str, wanted: dict[str, dict[str, Any]], conda: str = "conda", only: str | None = None) -> list[Action]:
+def setup_plan(
+    info: dict[str, Any], prefix: str, wanted: dict[str, dict[str, Any]], conda: str = "conda", only: str | None = None,
+) -> list[Action]:
     """wanted: by step, its "python" version and pip "packages" (optional). An unknown ``only`` is a LookupError."""
     known, plan = set(known_names(info)), []
     for step in _chosen(wanted, only):
@@ -63,7 +65,9 @@ def _call(command: tuple[str, ...]) -> bool:
     return subprocess.run(command, capture_output=True, text=True).returncode == 0
 
 
-def carry_out(plan: list[Action], dry: bool = True, call: Callable[[tuple[str, ...]], bool] = _call, tell: Callable[[str], None] = print) -> Tally:
+def carry_out(
+    plan: list[Action], dry: bool = True, call: Callable[[tuple[str, ...]], bool] = _call, tell: Callable[[str], None] = print,
+) -> Tally:
     """Run a plan's commands; a failing one ends its environment's turn only. A dry run tells them and does nothing."""
     done, skipped, failed = [], [], []
     for action in plan:

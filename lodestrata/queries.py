@@ -66,7 +66,9 @@ _REGIONS = """
 _SELECTED = _REGIONS + """,
     threshold AS (SELECT quantile_cont(area, 0.99) AS threshold FROM features),
     selected AS (SELECT features.*, threshold FROM features, threshold WHERE area >= threshold)"""
-_R6 = ", ".join(f"round({c}, 6) AS {c}" for c in ("centroid_y", "centroid_x", "eccentricity", "mean_intensity", "max_intensity", "major_axis_length", "minor_axis_length"))
+_R6 = ", ".join(f"round({c}, 6) AS {c}" for c in (
+    "centroid_y", "centroid_x", "eccentricity", "mean_intensity", "max_intensity", "major_axis_length", "minor_axis_length",
+))
 
 
 @_query(f"WITH {_REGIONS} SELECT label, area, {_R6} FROM features")
@@ -107,7 +109,9 @@ def rare_event_select(spark, sf_dir):
 
 
 _BY_FEATURE = " UNION ALL ".join(
-    f"SELECT '{f}' AS feature, label FROM features WHERE {f} >= (SELECT quantile_cont({f}, 0.95) FROM features)" for f in ("centroid_y", "centroid_x", "mean_intensity", "max_intensity", "major_axis_length")
+    f"SELECT '{f}' AS feature, label FROM features WHERE {f} >= (SELECT quantile_cont({f}, 0.95) FROM features)" for f in (
+        "centroid_y", "centroid_x", "mean_intensity", "max_intensity", "major_axis_length",
+    )
 )
 
 
@@ -148,7 +152,10 @@ def feedback_lookup(spark, sf_dir):
 @_query(f"WITH {_SELECTED} SELECT (SELECT count(*) FROM selected) AS n_selected, (SELECT coalesce(max(label), 0) FROM pixels WHERE label > 0) AS n_total, 'area' AS feature, CAST(99 AS DOUBLE) AS percentile, (SELECT round(threshold, 6) FROM threshold) AS threshold")
 def feedback_summary(spark, sf_dir):
     doc = _document(spark, sf_dir)
-    return doc.select("n_selected", "n_total", "selection_criteria.feature", "selection_criteria.percentile", F.round("selection_criteria.threshold", 6).alias("threshold"))
+    return doc.select(
+        "n_selected", "n_total", "selection_criteria.feature", "selection_criteria.percentile",
+        F.round("selection_criteria.threshold", 6).alias("threshold"),
+    )
 
 
 def _document(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -173,8 +180,13 @@ def feedback_json(spark, sf_dir):
 def feedback_json_parsed(spark, sf_dir):
     """The document's text, read as JSON again: a row per record."""
     schema = "datetime string, label string, selection_criteria struct<feature:string>, n_selected long, n_total long, cells array<struct<label:int,area:long>>"
-    read = sinks.as_json(_document(spark, sf_dir)).select(F.from_json("document", schema).alias("d")).select("d.*", F.explode("d.cells").alias("c"))
-    return read.select("label", "datetime", "selection_criteria.feature", "n_selected", "n_total", F.col("c.label").alias("cell"), F.col("c.area").alias("area"))
+    read = sinks.as_json(_document(spark, sf_dir)).select(F.from_json("document", schema).alias("d")).select(
+        "d.*", F.explode("d.cells").alias("c"),
+    )
+    return read.select(
+        "label", "datetime", "selection_criteria.feature", "n_selected", "n_total", F.col("c.label").alias("cell"),
+        F.col("c.area").alias("area"),
+    )
 
 
 @_query(f"WITH {_SELECTED} SELECT CAST(label AS INTEGER) AS label, printf('label=%3d  pos=(%.1f, %.1f)  area=%dpx', label, centroid_x, centroid_y, area) AS line FROM selected")
@@ -249,7 +261,9 @@ def segment_components(spark, sf_dir):
     cells AS (SELECT image_id, label, count(*) AS area, avg(y) AS centroid_y, avg(x) AS centroid_x, avg(value) AS mean_intensity FROM labelled GROUP BY image_id, label)
     SELECT image_id, label, area, round(centroid_y, 6) AS centroid_y, round(centroid_x, 6) AS centroid_x, round(mean_intensity, 6) AS mean_intensity FROM cells WHERE area >= (SELECT quantile_cont(area, 0.99) FROM cells)""")
 def rare_cells(spark, sf_dir):
-    features = regions.region_properties(_segmented(spark, sf_dir), ("image_id", "label"), ("area", "centroid_y", "centroid_x", "mean_intensity"))
+    features = regions.region_properties(
+        _segmented(spark, sf_dir), ("image_id", "label"), ("area", "centroid_y", "centroid_x", "mean_intensity"),
+    )
     return _rounded(select.select_rare(features).drop("threshold"))
 
 
@@ -289,7 +303,10 @@ def pipeline_local(spark, sf_dir):
 @_query("SELECT * FROM (VALUES ('step_local', 'first', ''), ('step_local_2', 'second', 'step_local')) t(step, stage, before)")
 def pipeline_mixed(spark, sf_dir):
     s = _run(spark, "mixed")
-    return _rows(spark, "step string, stage string, before string", [(n, s[n]["params_used"]["stage"], ",".join(s[n].get("previous_steps_found", []))) for n in ("step_local", "step_local_2")])
+    return _rows(
+        spark, "step string, stage string, before string",
+        [(n, s[n]["params_used"]["stage"], ",".join(s[n].get("previous_steps_found", []))) for n in ("step_local", "step_local_2")],
+    )
 
 
 @_query("SELECT * FROM (VALUES ('metadata', false), ('input', false), ('step_local', true), ('step_env_b', true), ('step_local_2', true)) t(step, counted)")
@@ -325,7 +342,10 @@ def pipeline_combined(spark, sf_dir):
     return _rows(spark, "step string, environment string", [(n, s[n][field]) for n, field in where.items()])
 
 
-_CHECKS = ("string", "integer", "float", "boolean", "list_length", "list_mixed_types", "nested_key", "nested_numbers", "none_value", "has_written_by_env", "has_written_by_pid")
+_CHECKS = (
+    "string", "integer", "float", "boolean", "list_length", "list_mixed_types", "nested_key", "nested_numbers", "none_value",
+    "has_written_by_env", "has_written_by_pid",
+)
 _SURVIVED = "SELECT * FROM (VALUES " + ", ".join(f"('{c}', true)" for c in _CHECKS) + ") t(name, passed)"
 
 
@@ -368,7 +388,10 @@ def verbosity_matrix(spark, sf_dir):
 
 @_query("SELECT * FROM (VALUES ('local', 'base', false), ('LOCAL', 'base', false), ('Base', 'base', false), ('other', 'base', true), (NULL, 'base', false)) t(requested, current, process)")
 def env_placement(spark, sf_dir):
-    asked = _rows(spark, "requested string, current string", [("local", "base"), ("LOCAL", "base"), ("Base", "base"), ("other", "base"), (None, "base")])
+    asked = _rows(
+        spark, "requested string, current string",
+        [("local", "base"), ("LOCAL", "base"), ("Base", "base"), ("other", "base"), (None, "base")],
+    )
     return asked.withColumn("process", envs.needs_process(F.col("requested"), F.col("current")))
 
 
@@ -377,7 +400,9 @@ _ENVS = ["/opt/conda", "/opt/conda/envs/flow--one", "/opt/conda/envs/flow--two",
 
 @_query("SELECT * FROM (VALUES ('flow--one', true), ('flow', false), ('other', true)) t(name, found)")
 def env_exists(spark, sf_dir):
-    return _rows(spark, "name string, envs array<string>", [(n, _ENVS) for n in ("flow--one", "flow", "other")]).select("name", envs.env_exists(F.col("envs"), F.col("name")).alias("found"))
+    return _rows(
+        spark, "name string, envs array<string>", [(n, _ENVS) for n in ("flow--one", "flow", "other")],
+    ).select("name", envs.env_exists(F.col("envs"), F.col("name")).alias("found"))
 
 
 @_query("SELECT * FROM (VALUES ('flow--', 'flow--one,flow--two'), ('x', '')) t(prefix, names)")
@@ -394,9 +419,18 @@ def env_prefix(spark, sf_dir):
     ('CUDA Version: 10.2', 'cu124', 'NVIDIA CUDA 12.4', 'torch torchvision --index-url https://download.pytorch.org/whl/cu124'),
     ('none', 'cu124', 'NVIDIA CUDA 12.4', 'torch torchvision --index-url https://download.pytorch.org/whl/cu124')) t(report, tag, label, args)""")
 def gpu_tag(spark, sf_dir):
-    reports = _rows(spark, "report string", [("| CUDA Version: 12.8 |",), ("CUDA Version: 12.5",), ("CUDA Version: 13.0",), ("CUDA Version: 11.8",), ("CUDA Version: 10.2",), ("none",)])
+    reports = _rows(
+        spark, "report string",
+        [
+            ("| CUDA Version: 12.8 |",), ("CUDA Version: 12.5",), ("CUDA Version: 13.0",), ("CUDA Version: 11.8",),
+            ("CUDA Version: 10.2",), ("none",),
+        ],
+    )
     tagged = reports.withColumn("tag", hardware.gpu_tag(*hardware.cuda_version(F.col("report"))))
-    return tagged.select("report", "tag", hardware.gpu_label(F.col("tag")).alias("label"), F.array_join(hardware.torch_install_args(F.col("tag")), " ").alias("args"))
+    return tagged.select(
+        "report", "tag", hardware.gpu_label(F.col("tag")).alias("label"),
+        F.array_join(hardware.torch_install_args(F.col("tag")), " ").alias("args"),
+    )
 
 
 @_query("SELECT 9 AS total, 9 AS as_expected, true AS all_ok")
@@ -406,7 +440,11 @@ def suite_summary(spark, sf_dir):
     ship(spark)
     rows = [(name, good, passed) for name, good, passed, _ in suite.outcomes()]
     told = _rows(spark, "name string, expected boolean, passed boolean", rows)
-    return told.agg(F.count("*").cast("int").alias("total"), F.count_if(F.col("expected") == F.col("passed")).cast("int").alias("as_expected"), F.every(F.col("expected") == F.col("passed")).alias("all_ok"))
+    return told.agg(
+        F.count("*").cast("int").alias("total"),
+        F.count_if(F.col("expected") == F.col("passed")).cast("int").alias("as_expected"),
+        F.every(F.col("expected") == F.col("passed")).alias("all_ok"),
+    )
 
 
 @_query(f"WITH {_SELECTED} SELECT CAST(label AS INTEGER) AS label, area, round(mean_intensity, 6) AS mean_intensity FROM selected")

@@ -22,7 +22,9 @@ class RunFolder:
     def end(self, done: list[str]) -> None:
         """Adds to the metadata which steps were run and how long the run took."""
         path = self.path / "metadata.yaml"
-        told = json.loads(path.read_text(encoding="utf-8")) | {"steps_executed": done, "total_runtime_seconds": round(time.time() - self.began, 1)}
+        told = json.loads(path.read_text(encoding="utf-8")) | {
+            "steps_executed": done, "total_runtime_seconds": round(time.time() - self.began, 1),
+        }
         path.write_text(json.dumps(told, indent=2, default=str) + "\n", encoding="utf-8")
 
     def step(self, index: int, name: str, facts: dict[str, Any]) -> Path:

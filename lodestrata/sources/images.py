@@ -85,7 +85,10 @@ def write_tiff(image: np.ndarray) -> bytes:
     """A grey picture (uint8 or uint16) as a little-endian TIFF in one strip."""
     h, w = image.shape
     body = image.astype("<u2" if image.dtype.itemsize == 2 else "u1").tobytes()
-    tags = [(256, 4, w), (257, 4, h), (258, 3, 8 * image.dtype.itemsize), (259, 3, 1), (262, 3, 1), (273, 4, 8), (277, 3, 1), (278, 4, h), (279, 4, len(body))]
+    tags = [
+        (256, 4, w), (257, 4, h), (258, 3, 8 * image.dtype.itemsize), (259, 3, 1), (262, 3, 1), (273, 4, 8), (277, 3, 1),
+        (278, 4, h), (279, 4, len(body)),
+    ]
     body += b"\0" * (len(body) % 2)
     entries = b"".join(struct.pack("<HHII", tag, kind, 1, value) for tag, kind, value in tags)
     return struct.pack("<2sHI", b"II", 42, 8 + len(body)) + body + struct.pack("<H", len(tags)) + entries + struct.pack("<I", 0)
@@ -111,7 +114,10 @@ def decode_images(files: DataFrame) -> DataFrame:
                     image = decode(bytes(content))
                 except (ValueError, KeyError, struct.error, zlib.error, TypeError) as e:
                     raise ValueError(f"{path}: {e}") from e
-                yield pd.DataFrame({"path": [path], "height": [image.shape[0]], "width": [image.shape[1]], "depth": [8 * image.dtype.itemsize], "pixels": [image.astype(float).ravel()]})
+                yield pd.DataFrame({
+                    "path": [path], "height": [image.shape[0]], "width": [image.shape[1]], "depth": [8 * image.dtype.itemsize],
+                    "pixels": [image.astype(float).ravel()],
+                })
 
     return files.select("path", "content").mapInPandas(work, SCHEMA)
 
@@ -158,4 +164,7 @@ def from_vectors(vectors: DataFrame, height: int = 8, width: int = 8, low: float
 
 def events_as_regions(events: DataFrame) -> DataFrame:
     """Events as pixels of regions: one region per user, hour by a property, with the event's value."""
-    return events.select(F.col("user_id").alias("label"), F.hour("ts").alias("y"), F.get_json_object("props", "$.k").cast("int").alias("x"), "value")
+    return events.select(
+        F.col("user_id").alias("label"), F.hour("ts").alias("y"), F.get_json_object("props", "$.k").cast("int").alias("x"),
+        "value",
+    )
