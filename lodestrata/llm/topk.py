@@ -279,40 +279,39 @@ def top_k(
 
     def homes(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         """The shard of a page whose root has the highest bound, for each query."""
-        kept: tuple = ((), ())
         for f in frames:
-            for (dim, page), own in f.groupby(["dim", "page"], sort=False):
-                if kept[0] != (dim, page):
-                    kept = ((dim, page), held(own["roots"].iloc[0]))
-                part, nth, centre, radius = kept[1]
-                high = bounds(np.stack(own["v"].to_numpy()), centre, radius)
+            for row in f.itertuples(index=False):
+                queries = unpacked(row.queries)
+                q = queries["q"].astype(np.float64)
+                part, nth, centre, radius = held(row.roots)
+                high = bounds(q, centre, radius)
                 at = high.argmax(axis=1)
-                yield pd.DataFrame({
-                    "dim": own["dim"], "vec_id": own["vec_id"], "v": own["v"], "part": part[at], "nth_part": nth[at],
-                    "bound": high[np.arange(len(at)), at],
-                })
-
-    asked = fit.filter(F.col("vec_id") % every == 0)
-    # the stated queries against all roots, page by page
-    asked = asked.join(paged, "dim").withColumn(
-        "page", F.explode(F.sequence(F.lit(0).cast("long"), F.col("pages") - 1)),
-    ).join(pages, ["dim", "page"])
-    asked = asked.select("dim", "page", "vec_id", "v", "roots").mapInPandas(
-        homes, "dim int, vec_id long, v array<double>, part long, nth_part long, bound double",
-    )
-    first = F.max_by(F.struct("part", "nth_part"), F.struct("bound", "part", "nth_part")).alias("home")
-    asked = materialise(asked.groupBy("dim", "vec_id", "v").agg(first).select("dim", "home.*", "vec_id", "v"), "queries")
-    counted = asked.groupBy(*shard).agg(F.ceil(F.count("*") / block_queries).alias("blocks"))
-    numbered = asked.join(counted, shard).withColumn("nth_block", F.pmod(F.xxhash64("vec_id", "v"), F.col("blocks")))
+                best = high[np.arange(len(at)), at]
+                yield pd.DataFrame({"dim": row.dim, "vec_id": queries["ids"], "v": list(q), "part": part[at], "nth_part": nth[at], "bound": best})
 
     def gather(key: tuple, f: pd.DataFrame) -> pd.DataFrame:
         f = f.iloc[np.lexsort((f["v"].map(lambda v: v.tobytes()), f["vec_id"]))]
         queries = packed(ids=f["vec_id"].to_numpy(), q=narrow(np.stack(f["v"].to_numpy())))
         return pd.DataFrame({"dim": [key[0]], "part": [key[1]], "nth_part": [key[2]], "nth_block": [key[3]], "queries": [queries]})
 
-    blocks = numbered.select(*shard, "nth_block", "vec_id", "v").groupBy(*shard, "nth_block").applyInPandas(
-        gather, "dim int, part long, nth_part long, nth_block long, queries binary",
-    )
+    def in_blocks(queries: DataFrame) -> DataFrame:
+        """(dim, part, nth_part, nth_block, queries): the queries of each shard, block_queries to a row."""
+        counted = queries.groupBy(*shard).agg(F.ceil(F.count("*") / block_queries).alias("blocks"))
+        numbered = queries.join(counted, shard).withColumn("nth_block", F.pmod(F.xxhash64("vec_id", "v"), F.col("blocks")))
+        made = "dim int, part long, nth_part long, nth_block long, queries binary"
+        return numbered.select(*shard, "nth_block", "vec_id", "v").groupBy(*shard, "nth_block").applyInPandas(gather, made)
+
+    def on_pages(blocks: DataFrame) -> DataFrame:
+        """The stated queries, in blocks, against all roots, page by page."""
+        each = F.explode(F.sequence(F.lit(0).cast("long"), F.col("pages") - 1))
+        return blocks.join(paged, "dim").withColumn("page", each).join(pages, ["dim", "page"])
+
+    asked = fit.filter(F.col("vec_id") % every == 0).withColumns({"part": F.lit(0).cast("long"), "nth_part": F.lit(0).cast("long")})
+    asked = on_pages(in_blocks(asked).select("dim", "queries")).select("dim", "queries", "roots")
+    asked = asked.mapInPandas(homes, "dim int, vec_id long, v array<double>, part long, nth_part long, bound double")
+    first = F.max_by(F.struct("part", "nth_part"), F.struct("bound", "part", "nth_part")).alias("home")
+    asked = materialise(asked.groupBy("dim", "vec_id", "v").agg(first).select("dim", "home.*", "vec_id", "v"), "queries")
+    blocks = in_blocks(asked)
     name = F.shiftrightunsigned(F.xxhash64(*shard, "nth_block"), 1).alias("block")
     blocks = materialise(blocks.select(*shard, name, "queries"), "query-blocks")
     seeds = materialise(_meet(trees, blocks.withColumn("floors", F.lit(None).cast("binary")), k), "query-seeds")
@@ -350,12 +349,8 @@ def top_k(
             yield f[["dim", "block", "queries"]].assign(floors=floors)
 
     ready = materialise(ready, "query-thresholds")
-    pairs = ready.join(paged, "dim").withColumn(
-        "page", F.explode(F.sequence(F.lit(0).cast("long"), F.col("pages") - 1)),
-    ).join(pages, ["dim", "page"])
-    pairs = pairs.select(
-        "dim", "block", "home", "home_nth", "queries", "nths", "scores", "roots",
-    ).mapInPandas(needed, "dim int, block long, part long, nth_part long")
+    pairs = on_pages(ready).select("dim", "block", "home", "home_nth", "queries", "nths", "scores", "roots")
+    pairs = pairs.mapInPandas(needed, "dim int, block long, part long, nth_part long")
     pairs = materialise(pairs, "query-pairs")
     moved = pairs.join(ready.mapInPandas(packed_floors, "dim int, block long, queries binary, floors binary"), ["dim", "block"])
     found = _meet(trees.join(pairs.select(*shard).distinct(), shard, "left_semi"), moved, k)
