@@ -203,7 +203,9 @@ def _parts(fit: DataFrame, sizes: list[tuple[int, int]], shard_rows: int) -> Dat
     """fit with the ``part`` of space of each vector. sizes: (dim, vectors) of the lengths to fit."""
     cuts = {}
     for dim, n in sizes:
-        own = fit.filter(F.col("dim") == dim).orderBy(F.xxhash64("vec_id", "v")).limit(SAMPLE).select("v").toPandas()
+        # thinned by a hash to about two samples first, so that tasks send the driver no more than that in sum
+        own = fit.filter(F.col("dim") == dim).withColumn("h", F.xxhash64("vec_id", "v"))
+        own = own.filter(F.pmod("h", F.lit(max(1, n // (2 * SAMPLE)))) == 0).orderBy("h").limit(SAMPLE).select("v").toPandas()
         cuts[dim] = cut(np.stack(own["v"].to_numpy()), min(LEAVES, -(-n // shard_rows))) if len(own) else []
 
     def work(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
