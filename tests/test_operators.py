@@ -94,8 +94,8 @@ def test_no_document_of_too_many_records(spark, monkeypatch):
     assert feedback.document(records.limit(3), spark.range(1).selectExpr("id AS n_cells"), "a", "area", 99, 5.0, "x").first()["n_selected"] == 3
 
 
-def test_hulls_against_shapely_like_counting():
-    """Pixels in the hull, counted by half planes over all pairs of corner points."""
+def test_hulls_against_counting_by_angles():
+    """A pixel is in or on the hull unless all corner points are seen from it within less than half a turn."""
     rng = np.random.default_rng(8)
     for _ in range(40):
         rows = np.sort(rng.choice(12, rng.integers(1, 7), replace=False))
