@@ -181,7 +181,7 @@ def told(result: Any) -> str:
     if isinstance(chosen, dict) and hasattr(chosen.get("cells"), "toLocalIterator"):
         from ..operators.feedback import report
 
-        lines = [r["line"] for r in report(chosen["cells"]).orderBy("label").toLocalIterator()]
+        lines = [r["line"] or f"label={r['label']:3d}" for r in report(chosen["cells"]).orderBy("label").toLocalIterator()]
     return "\n".join([*lines, json.dumps(result, indent=2, default=str)])
 
 

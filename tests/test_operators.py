@@ -1,11 +1,13 @@
 import json
 
+import duckdb
 import numpy as np
 import pytest
 from pyspark.errors import AnalysisException
 from pyspark.sql import functions as F
 
 from lodestrata.operators import feedback, image, regions, segment, select
+from lodestrata.plans.runner import told
 from lodestrata.sources import feedback as sinks
 from lodestrata.sources import images
 from lodestrata.sources.artefacts import RunFolder
@@ -86,6 +88,21 @@ def test_document_and_file(spark, tmp_path):
     assert none["n_selected"] == 0 and none["cells"] == [] and none["selection_criteria"]["threshold"] is None
 
 
+def test_report_rounds_as_printf_does(spark):
+    """Exact binary values, ties to even: format_string made 11.3 of 11.25 and 0.2 of 0.15. A null gives no text."""
+    centres = [k / 20 for k in range(-41, 400)] + [49.15, 1201.25, 1e15 + 0.25, 1e17, -0.0, float("nan"), float("inf"), None]
+    made = [(i + 1, x, centres[-1 - i], i, 0.0, 0.0) for i, x in enumerate(centres)]
+    records = feedback.cells(spark.createDataFrame(made, "label int, centroid_x double, centroid_y double, area int, mean_intensity double, eccentricity double"))
+    con = duckdb.connect()
+    sql = "SELECT printf('label=%3d  pos=(%.1f, %.1f)  area=%dpx', CAST(? AS INTEGER), CAST(? AS DOUBLE), CAST(? AS DOUBLE), CAST(? AS BIGINT))"
+    want = {r[0]: con.execute(sql, r[:4]).fetchone()[0] for r in made}
+    got = {r.label: r.line for r in feedback.report(records).collect()}
+    assert got == want
+    at = centres.index(11.25) + 1
+    assert "pos=(11.2, " in got[at] and got[1] is None and got[len(made)] is None
+    assert told({"feedback": {"cells": records}}).startswith("label=  1\nlabel=  2  pos=(-2.0, inf)  area=1px\n")
+
+
 def test_no_document_of_too_many_records(spark, monkeypatch):
     monkeypatch.setattr(feedback, "MAX_RECORDS", 3)
     records = spark.range(4).selectExpr("CAST(id AS INT) AS label", "0D AS centroid_x", "0D AS centroid_y", "1L AS area", "0D AS mean_intensity", "0D AS eccentricity")
