@@ -25,19 +25,21 @@ paragraphs; rows of one doc_id are one document, however often repeated. Spans a
 from __future__ import annotations
 
 from collections.abc import Callable, Iterator
+from functools import reduce
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import materialise, release
+from .common import drop_table, materialise, materialise_at, release, shuffles_removed
 from .components import components
 from .rolling import Hasher, grouped, identity, least_leftmost, mix
 
 SHINGLE, THRESHOLD, RECALL, MAX_BANDS = 5, 0.8, 0.99, 9
 MIN_WORDS, TRIPLE, ANCHOR, PASSAGE, BLOCK = 40, 3, 20, 32, 2048
 LINE, PASSAGE_KIND = 0, 1
+DEALS = 3  # bands are shuffled in so many parts, one after the other; each bucket is whole in one of them
 _BLANK = np.isin(np.arange(256), list(b" \t\n\r\x0b\x0c"))
 _LOWER = np.where((np.arange(256) >= 65) & (np.arange(256) <= 90), np.arange(256) + 32, np.arange(256)).astype(np.uint8)
 _NO_DOC = (1 << 63) - 1
@@ -202,20 +204,25 @@ def _links(
     lines = marked.filter(F.col("kind") == LINE).groupBy("h1", "h2").agg(*[F.first(c).alias(c) for c in marked.columns if c not in (
         "kind", "h1", "h2",
     )])
-    lines = materialise(lines, "paragraph-lines")
-    keyed = lines.select(
-        "h1", "h2", F.posexplode("bands").alias("band", "key"),
-    ).select("h1", "h2", F.xxhash64("band", "key").alias("bucket"))
+    spark = docs.sparkSession
+    lines, lines_at = materialise_at(lines, "paragraph-lines")
+    banded = lines.select("h1", "h2", F.posexplode("bands").alias("band", "key"))
+    deals = [
+        banded.filter(F.col("band") % DEALS == i).select("h1", "h2", F.xxhash64("band", "key").alias("bucket")) for i in range(DEALS)
+    ]
     if more:
-        keyed = keyed.union(more(lines))
-    buckets = keyed.groupBy("bucket").agg(
+        deals.append(more(lines))
+    buckets = [materialise_at(keyed.groupBy("bucket").agg(
         F.count("*").alias("n"), F.bit_xor("h1").alias("x"), F.sum(F.shiftright("h2", 16)).alias("s"),
-    ).filter("n > 1")
-    # buckets with the same members need one look
-    kept = buckets.groupBy("n", "x", "s").agg(F.min("bucket").alias("bucket")).select(
+    ).filter("n > 1"), "paragraph-buckets") for keyed in deals]
+    # buckets with the same members, of whichever band, need one look
+    kept = reduce(DataFrame.union, [b for b, _ in buckets]).groupBy("n", "x", "s").agg(F.min("bucket").alias("bucket")).select(
         "bucket", F.ceil(F.col("n") / block).cast("int").alias("parts"),
     )
-    members = materialise(keyed.join(kept, "bucket"), "paragraph-members")
+    kept = materialise(kept, "paragraph-kept")
+    for _, path in buckets:
+        drop_table(spark, path)
+    members = reduce(DataFrame.union, [materialise(keyed.join(kept, "bucket"), "paragraph-members") for keyed in deals])
     wanted = lines.join(members.select("h1", "h2").distinct(), ["h1", "h2"]).select("doc_id", "th", "h1", "h2", "start", "end")
     gathered = wanted.groupBy("doc_id", "th").agg(F.collect_list(F.struct("h1", "h2", "start", "end")).alias("ws"))
     d = identity(docs).select(
@@ -224,6 +231,7 @@ def _links(
     body = F.substring("text", F.col("w.start") + 1, F.col("w.end") - F.col("w.start"))
     bodies = gathered.join(d, ["doc_id", "th"]).select(F.explode("ws").alias("w"), "text").select("w.h1", "w.h2", body.alias("body"))
     bodies = materialise(bodies.dropDuplicates(["h1", "h2"]), "paragraph-bodies")
+    drop_table(spark, lines_at)
     dealt = members.filter("parts = 1").select("bucket", F.lit(-1).alias("i"), F.lit(-1).alias("j"), F.lit(False).alias("side"), "h1", "h2")
     hot = members.filter("parts > 1")
     if hot.isEmpty():
@@ -307,7 +315,13 @@ def _verified(dealt: DataFrame, bodies: DataFrame, threshold: float) -> DataFram
 
 def repeated(docs: DataFrame, threshold: float = THRESHOLD, block: int = BLOCK, min_words: int = MIN_WORDS) -> DataFrame:
     """One row per document with a paragraph that another document has too, or nearly: doc_id, component_id (the smallest doc_id of its component over documents that share one), n_paragraphs, n_removed (code points) and the removed spans."""
-    marked = materialise(paragraphs(docs, *tune(threshold), min_words), "paragraphs")
+    with shuffles_removed(docs.sparkSession):
+        return _repeated(docs, threshold, block, min_words)
+
+
+def _repeated(docs: DataFrame, threshold: float, block: int, min_words: int) -> DataFrame:
+    """As ``repeated``. Tables that nothing reads any more are removed at once; the result reads those that stay."""
+    marked, marked_at = materialise_at(paragraphs(docs, *tune(threshold), min_words), "paragraphs")
     spark = docs.sparkSession
     release(spark)
     linked = components(materialise(_links(marked, docs, threshold, block), "paragraph-links").distinct(), "paragraph-components")
@@ -320,7 +334,7 @@ def repeated(docs: DataFrame, threshold: float = THRESHOLD, block: int = BLOCK,
     )
     classes = marked.groupBy("kind", "h1", "h2").agg(F.min("doc_id").alias("least"), F.max("doc_id").alias("most"))
     # lines alone can be linked; a class without links is its own cluster
-    classes = materialise(classes, "paragraph-classes")
+    classes, classes_at = materialise_at(classes, "paragraph-classes")
     near = classes.filter(F.col("kind") == LINE).join(linked, ["h1", "h2"])
     spread = near.groupBy("r1", "r2").agg(F.min("least").alias("least"), F.max("most").alias("most")).filter("least < most")
     near = near.select("h1", "h2", "r1", "r2").join(spread, ["r1", "r2"]).select(
@@ -333,8 +347,10 @@ def repeated(docs: DataFrame, threshold: float = THRESHOLD, block: int = BLOCK,
         near.union(alone.select("kind", "h1", "h2", F.col("h1").alias("r1"), F.col("h2").alias("r2"), "least")),
         "paragraph-clusters",
     )
+    drop_table(spark, classes_at)
     found = marked.select("doc_id", "kind", "h1", "h2", "start", "end").join(clusters, ["kind", "h1", "h2"])
     found = materialise(found.select("doc_id", "kind", "r1", "r2", "start", "end", "least"), "paragraph-found")
+    drop_table(spark, marked_at)
     release(spark)
     # written, so that a cluster with very many paragraphs can be split when joined
     first = materialise(found.filter("doc_id = least").groupBy("kind", "r1", "r2").agg(F.min("start").alias("first")), "paragraph-first")

@@ -1,10 +1,13 @@
 import random
+import re
+import time
 from collections import defaultdict
+from pathlib import Path
 
 import numpy as np
 import pytest
 
-from lodestrata.llm import paragraphs, queries
+from lodestrata.llm import common, paragraphs, queries
 
 
 def words(rng, n):
@@ -199,3 +202,27 @@ def test_the_whole_result_against_brute_force(spark, block):
     df = spark.createDataFrame([(d, t) for d, t in texts.items()], "doc_id long, text string")
     got = paragraphs.digest(paragraphs.every(df, paragraphs.repeated(df, block=block, min_words=paragraphs.SHINGLE)))
     assert sorted(map(tuple, got.collect())) == brute_result(texts, paragraphs.SHINGLE)
+
+
+def test_disk_is_freed_without_garbage_collection(spark, monkeypatch):
+    """Shuffle files go as each execution ends, and tables once nothing reads them; all of them together are more than the disk allowed."""
+    rng = random.Random(23)
+    line = words(rng, 60)
+    texts = [" ".join(words(rng, 80)) + "\n" + " ".join([*line[:-1], f"edit{i % 4}"]) for i in range(200)]
+    df = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    monkeypatch.setattr(paragraphs, "release", lambda session: None)
+    manager = spark.sparkContext._jvm.org.apache.spark.SparkEnv.get().blockManager().diskBlockManager()
+    tops = [Path(x) for x in manager.localDirsString()]
+    shuffled = lambda: {p for top in tops for p in top.rglob("shuffle_*")}
+    tables = lambda: {p for p in Path(common.application_dir(spark).removeprefix("file:")).glob("*")}
+    shuffles_before, tables_before = shuffled(), tables()
+    setting = spark.conf.get(common._CLEANUP)
+    found = paragraphs.repeated(df)
+    until = time.time() + 10
+    while shuffled() - shuffles_before and time.time() < until:  # they are removed beside the query
+        time.sleep(0.1)
+    assert not shuffled() - shuffles_before
+    left = {re.sub("-[0-9a-f]{32}$", "", p.name) for p in tables() - tables_before}
+    assert not left & {"paragraphs", "paragraph-lines", "paragraph-buckets", "paragraph-classes"} and "paragraph-found" in left
+    assert spark.conf.get(common._CLEANUP) == setting
+    assert found.count() == 200
